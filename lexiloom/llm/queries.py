@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, leakage, mojibake, near_duplicates, packing, prose, ranking, tokens
+from . import defects, leakage, mojibake, near_duplicates, packing, prose, ranking, tokens
 from .base import materialize, table
 
 PAIRS = near_duplicates.NearDupConfig(shingle=3, threshold=0.5)
@@ -50,6 +50,15 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.text_statistics(table(spark, d, "processed_shards"), table(spark, d, "lang_samples"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each defect of a pair."""
+    return p4_pairs(spark, d).select("sft_id", F.explode("defects").alias("defect"))
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return defects.pair_defects(table(spark, d, "sft_sample"), table(spark, d, "lang_samples"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(table(spark, d, "processed_shards"), "id", "text", "written_at", PAIRS)
 
@@ -97,7 +106,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_languages, p2_found, p2_strengths, p3_found, p3_statistics, p5_found, p5_groups,
+        p1_found, p1_languages, p2_found, p2_strengths, p3_found, p3_statistics, p4_found, p4_pairs, p5_found, p5_groups,
         p6_record_tokens, p6_slice_totals, p7_containers, p8_found, p8_containment, p9_found, p9_restored,
     )
     return {f.__name__: f for f in own}
@@ -105,6 +114,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {}
-
-
-__all__ = ["language", "oracle_sql", "queries"]
