@@ -28,7 +28,6 @@ _FORMAT = regex.compile(r"\p{Cf}+")
 _CORE = regex.compile(r"^[^\p{L}\p{M}\p{N}]*(.*?)[^\p{L}\p{M}\p{N}]*$", regex.S)
 _PURE = regex.compile(r"^[\p{L}\p{M}]+(?:['’.\-–…/,!?]+[\p{L}\p{M}]+)*$")
 _RUNS = regex.compile(r"(?P<ta>[஀-௿]+)|(?P<la>[\p{Latin}]+)|(?P<ot>[\p{L}\p{M}]+)")
-_BREAK = regex.compile(r"[\s;|,\u200b]+")
 _WIDE = regex.compile(r"[ \t]{2,}")
 NAME_WEIGHT, HINT_LETTERS, SHORT_ENTRY, NO_WORDS = 0.4, 25.0, 40, 0.47
 
@@ -139,21 +138,26 @@ def _words_only(text: str) -> list[str]:
 
 def unspaced(line: str) -> str:
     """Join letters set apart ('c o a s t  r o a d'): words are then the parts between wider gaps."""
+    if line.count(" ") * 3 < len(line):
+        return line
     parts = line.split()
     if len(parts) >= 8 and sum(len(p) <= 2 for p in parts) > 0.85 * len(parts) and _WIDE.search(line.strip()):
         return " ".join(p.replace(" ", "") for p in _WIDE.split(line))
     return line
 
 
+def parts_of(line: str) -> list[str]:
+    """Split at white space and at separators of lists and tables."""
+    return line.replace(";", " ").replace("|", " ").replace(",", " ").replace("\u200b", " ").split()
+
+
 def analyse_line(model: LanguageModel, line: str) -> tuple[list[list[float]], int, int, int, float]:
     """(sentences as [Tamil, Latin, other letters, three Latin costs, letters of prior evidence], letters, visible characters, tokens, phrases)."""
     sentences, cur = [], [0, 0, 0, 0.0, 0.0, 0.0, HINT_LETTERS]
     visible = tokens = 0
     phrases = 0.0
     memo, make = model.memo, model.token
-    for token in _BREAK.split(unspaced(line)):
-        if not token:
-            continue
+    for token in parts_of(unspaced(line)):
         t = memo.get(token) or make(token)
         visible += t[6]
         tokens += 1
