@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import as_col, literal, strip, sub
+from ..functions.chars import WS, as_col, literal, strip, sub
 
 TURN = "struct<role:string,content:string>"
 IGNORE = -100
@@ -49,8 +49,8 @@ def prompt_response(prompt: str | Column, response: str | Column) -> Column:
 
 def strip_prefix(c: str | Column, prefixes: Sequence[str]) -> Column:
     """Left-stripped text without the first prefix of the list that it starts with, left-stripped again."""
-    t = sub(c, r"^\s+")
-    return sub(t, "^(?:" + "|".join(literal(p) for p in prefixes) + r")\s*") if prefixes else t
+    t = sub(c, f"^[{WS}]+")
+    return sub(t, "^(?:" + "|".join(literal(p) for p in prefixes) + f")[{WS}]*") if prefixes else t
 
 
 def question_answer(context: str | Column, question: str | Column, answer: str | Column, template: str = QA_TEMPLATE, unanswerable: str | None = UNANSWERABLE, prefixes: Sequence[str] = ()) -> Column:

@@ -305,7 +305,7 @@ def category_sizes(spark, d):
     return pipeline.category_sizes(split.fraction_split(x, "doc_id", 0.1))
 
 
-@query("WITH c AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, t, substr(t, 1, 400) AS h FROM c), p AS (SELECT *, CASE WHEN instr(reverse(h), chr(10)) = 0 THEN -1 ELSE length(h) - instr(reverse(h), chr(10)) END AS cut FROM h) SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN cut > 200 THEN substr(h, 1, cut) ELSE h END AS text FROM p")
+@query("WITH c AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, t, substr(t, 1, 400) AS h FROM c), p AS (SELECT *, length(regexp_extract(h, '(?s)^(.*)\n', 1)) AS cut FROM h) SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN cut > 200 THEN substr(h, 1, cut) ELSE h END AS text FROM p")
 def truncated(spark, d):
     return docs(spark, d).select("doc_id", augment.truncate("text", 400).alias("text"))
 
@@ -744,13 +744,16 @@ def prefixes_stripped(spark, d):
     return load(spark, d, "chat_eval_prompts").select("id", chat.strip_prefix("prompt", ["Explain this in brief:", "சுருக்கமாக எழுதுக:"]).alias("text"))
 
 
-@query("SELECT text, 'documents' AS source, (row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR AS source_id, doc_id AS seq FROM documents QUALIFY coalesce(text, '') <> ''")
+_LSTRIP = s_sub("coalesce(text, '')", f"^[{WS}]+")
+
+
+@query(f"SELECT {_LSTRIP} AS text, 'documents' AS source, (row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR AS source_id, doc_id AS seq FROM documents QUALIFY {_LSTRIP} <> ''")
 def source_documents(spark, d):
     x = load(spark, d, "documents").drop("source_id")
     return readers.source_documents(x, {"name": "documents"}, "doc_id")
 
 
-@query("""SELECT coalesce(text, '') AS text, 0 AS source_ordinal FROM documents WHERE coalesce(text, '') <> '' UNION ALL SELECT text, 1 FROM lang_samples WHERE text <> ''""")
+@query(f"SELECT {_LSTRIP} AS text, 0 AS source_ordinal FROM documents WHERE {_LSTRIP} <> '' UNION ALL SELECT {_LSTRIP}, 1 FROM lang_samples WHERE {_LSTRIP} <> ''")
 def union_of_sources(spark, d):
     sources = [{"name": "documents", "order": "doc_id"}, {"name": "missing", "order": "x"}, {"name": "off", "enabled": False, "order": "x"}, {"name": "lang_samples", "order": "sample_id"}]
 
