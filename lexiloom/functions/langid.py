@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wordlists
-from .chars import as_col, ratio
+from .chars import as_col, bind, ratio
 from .script import script_counts
 
 LATIN_WORD = r"([A-Za-z]+(?:'[A-Za-z]+)?)"
@@ -45,9 +45,12 @@ def latin_words(c: str | Column) -> Column:
 
 def latin_scores(c: str | Column, cfg: LangIdConfig = LangIdConfig()) -> tuple[Column, Column]:
     """(share of romanised Tamil words, share of English function words); 0 without words."""
+    return word_scores(latin_words(c), cfg)
+
+
+def word_scores(words: Column, cfg: LangIdConfig) -> tuple[Column, Column]:
     lexicon = wordlists.romanised_tamil(cfg.lexicon)
     english = wordlists.load_words(cfg.english_stopwords) if cfg.english_stopwords else frozenset(wordlists.ENGLISH)
-    words = latin_words(c)
     ending = "(?:" + "|".join(wordlists.ROMANISED_ENDINGS) + ")$"
     known = F.size(F.filter(words, lambda w: member(w, lexicon)))
     likely = F.size(F.filter(words, lambda w: ~member(w, lexicon) & (F.length(w) >= 5) & ~member(w, english) & w.rlike(ending)))
@@ -61,23 +64,35 @@ def detect(c: str | Column, cfg: LangIdConfig = LangIdConfig(), english_ok: Colu
 
     Scores are 0 where an earlier rule already decided.  ``english_ok`` is an optional second opinion on English.
     """
-    n = script_counts(c)
-    letters = n["tamil"] + n["latin"] + n["other"]
-    tamil, latin = ratio(n["tamil"], letters), ratio(n["latin"], letters)
-    tang, eng = latin_scores(c, cfg)
+    t = as_col(c)
+    n = script_counts(t)
+    counted = F.struct(*[n[k].alias(k) for k in ("tamil", "latin", "other")])
+    ok = F.lit(True) if english_ok is None else english_ok
+
+    def scored(x: Column) -> Column:
+        letters = x.tamil + x.latin + x.other
+        tamil, latin = ratio(x.tamil, letters), ratio(x.latin, letters)
+        early = (letters < cfg.min_letters) | (tamil >= cfg.tamil_min_ratio)
+        nothing = F.struct(F.lit(0.0).alias("tang"), F.lit(0.0).alias("eng"))
+        late = bind(latin_words(t), lambda w: F.struct(*[v.alias(k) for k, v in zip(("tang", "eng"), word_scores(w, cfg))]))
+        return F.struct(letters.alias("letters"), tamil.alias("tamil"), latin.alias("latin"), F.when(early, nothing).otherwise(late).alias("s"))
+
+    return bind(bind(counted, scored), lambda x: _decided(x, cfg, ok))
+
+
+def _decided(x: Column, cfg: LangIdConfig, english_ok: Column) -> Column:
+    letters, tamil, latin, tang, eng = x.letters, x.tamil, x.latin, x.s.tang, x.s.eng
     few = letters < cfg.min_letters
     mostly = tamil >= cfg.tamil_min_ratio
     both = (tamil >= cfg.code_mixed_min_tamil) & (latin >= cfg.code_mixed_min_latin)
-    early = few | mostly
     lang = (
         F.when(few, "other")
         .when(mostly & (latin >= cfg.code_mixed_min_latin), "code_mixed").when(mostly, "ta").when(both, "code_mixed")
         .when((latin >= cfg.latin_min_ratio) & (tang >= cfg.tanglish_min_score) & (tang >= eng * 0.5), "tanglish")
-        .when((latin >= cfg.latin_min_ratio) & (eng >= cfg.english_min_score) & (F.lit(True) if english_ok is None else english_ok), "en")
+        .when((latin >= cfg.latin_min_ratio) & (eng >= cfg.english_min_score) & english_ok, "en")
         .otherwise("other")
     )
-    score = lambda x: F.round(F.when(early, 0.0).otherwise(x), 4)
-    return F.struct(lang.alias("lang"), F.round(tamil, 4).alias("tamil_ratio"), F.round(latin, 4).alias("latin_ratio"), score(tang).alias("tanglish_score"), score(eng).alias("english_score"))
+    return F.struct(lang.alias("lang"), F.round(tamil, 4).alias("tamil_ratio"), F.round(latin, 4).alias("latin_ratio"), F.round(tang, 4).alias("tanglish_score"), F.round(eng, 4).alias("english_score"))
 
 
 def allowed(lang: str | Column, langs: Sequence[str]) -> Column:

@@ -191,7 +191,7 @@ def deduplicate(df: DataFrame, text_col: str, order_col: str, cfg: DedupConfig =
     """
     marked = exact_duplicates(df, text_col, order_col) if cfg.exact else df.withColumn("is_duplicate", F.lit(False))
     if not cfg.near:
-        return marked.withColumn("dup", F.when("is_duplicate", F.lit("exact"))).drop("is_duplicate")
+        return marked.withColumn("dup", F.when(F.col("is_duplicate"), F.lit("exact"))).drop("is_duplicate")
     marked = materialize(marked, "marked")
     near = greedy_near_duplicates(marked.where("not is_duplicate"), text_col, order_col, cfg)
     joined = marked.join(near, order_col, "left")

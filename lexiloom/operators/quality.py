@@ -6,6 +6,8 @@ import dataclasses
 from dataclasses import dataclass, field
 from typing import Any, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +70,22 @@ def total_length(w: Column) -> Column:
     return F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
 
 
-def basic_metrics(c: str | Column) -> dict[str, Column]:
-    """Metrics that need one look at the text, without n-grams."""
+BASIC = (
+    "n_chars", "n_words", "n_lines", "mean_word_len", "symbol_word_ratio", "bullet_line_frac", "ellipsis_line_frac", "digit_frac",
+    "punct_frac", "dup_line_frac", "dup_line_char_frac",
+)
+
+
+def basic_metrics(c: str | Column) -> Column:
+    """struct of the metrics that need no n-grams.  Words and lines are split once and bound."""
     t = F.coalesce(as_col(c), F.lit(""))
-    w, ls = words(t), lines(t)
-    cw = clean_words(w)
+    parts = F.struct(t.alias("t"), words(t).alias("w"), lines(t).alias("ls"))
+    return bind(parts, lambda a: bind(clean_words(a.w), lambda cw: _basic(a.t, a.w, a.ls, cw)))
+
+
+def _basic(t: Column, w: Column, ls: Column, cw: Column) -> Column:
     n_chars, n_lines = F.length(t), F.size(ls)
-    return {
+    made = {
         "n_chars": n_chars, "n_words": F.size(w), "n_lines": n_lines,
         "mean_word_len": ratio(total_length(cw), F.size(cw)),
         "symbol_word_ratio": count(t, r"#|\.\.\.|…").cast("double") / F.greatest(F.size(w), F.lit(1)),
@@ -84,6 +95,7 @@ def basic_metrics(c: str | Column) -> dict[str, Column]:
         "punct_frac": ratio(n_chars - F.length(F.translate(t, STRIP_MARKS, "")), n_chars),
         **duplicate_lines(ls),
     }
+    return F.struct(*[made[k].alias(k) for k in BASIC])
 
 
 def duplicate_lines(ls: Column) -> dict[str, Column]:
@@ -112,38 +124,57 @@ def grams(w: Column, n: int) -> Column:
     return bind(w, runs)
 
 
-def ngram_metrics(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, top_2gram .. top_4gram, dup_5gram .. dup_10gram) per document.
+GRAM_NAMES = (*(f"top_{n}gram" for n in TOP_SIZES), *(f"dup_{n}gram" for n in DUP_SIZES))
+
 
-    Grams are counted by a hash aggregate over (document, n, gram), which is combined before the shuffle; documents of
-    any length therefore spread over all tasks, and no document is compared with itself.
-    top_n: characters of the most frequent gram times its count, over the characters of all words (ties: first seen).
-    dup_n: characters of the words covered by any gram that occurs more than once.
+def gram_shares(text: str | None) -> tuple[float, ...]:
+    """Of one text: for 2, 3 and 4 words, characters of the most frequent gram times its count over the characters of
+    all words (ties: first seen; 0 unless it occurs twice); for 5, 7 and 10, characters of the words covered by any gram
+    that occurs more than once.
+
+    Grams are numbered exactly by extending shorter ones, a word at a time, so no hash can collide and the cost is a
+    sort per size.
+    """
+    w = text.split() if text else []
+    total = sum(map(len, w))
+    if len(w) < 3:
+        return (0.0,) * len(GRAM_NAMES)
+    lengths = np.fromiter(map(len, w), dtype=np.int64, count=len(w))
+    known: dict[str, int] = {}
+    ids = np.fromiter((known.setdefault(x, len(known)) for x in w), dtype=np.int64, count=len(w))
+    out, g, values = {}, ids, len(known)
+    ends = np.r_[0, np.cumsum(lengths)]
+    for n in range(2, DUP_SIZES[-1] + 1):
+        k = len(w) - n + 1
+        if k < 2:
+            break
+        _, first, g, counts = np.unique(g[:k] * values + ids[n - 1 :], return_index=True, return_inverse=True, return_counts=True)
+        most = counts.max()
+        if most == 1:
+            break  # longer grams are all different as well
+        if n in TOP_SIZES:
+            at = first[counts == most].min()
+            out[f"top_{n}gram"] = float((ends[at + n] - ends[at]) * most / total)
+        if n in DUP_SIZES:
+            edge = np.zeros(len(w) + 1, dtype=np.int64)
+            starts = np.nonzero(counts[g] > 1)[0]
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + n, -1)
+            out[f"dup_{n}gram"] = float(lengths[np.cumsum(edge[:-1]) > 0].sum() / total)
+    return tuple(out.get(name, 0.0) for name in GRAM_NAMES)
+
+
+def ngram_metrics(c: str | Column) -> Column:
+    """struct of ``gram_shares``; null texts cost nothing, so callers blank what they need not know.
+
+    A document's grams never leave its row: no shuffle of six times the text.
     """
-    w = df.select(F.col(key).alias("_k"), words(text_col).alias("w"))
-    total = F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x))
-    arrays = F.array(*[F.struct(F.lit(n).alias("n"), grams(F.col("w"), n).alias("g")) for n in TOP_SIZES + DUP_SIZES])
-    sized = w.select("_k", total.alias("total"), F.explode(arrays).alias("x")).select("_k", "total", "x.n", F.posexplode("x.g").alias("p", "gram"))
-    per = sized.groupBy("_k", "n", "gram").agg(F.count("*").alias("c"), F.min("p").alias("first"), F.when(F.col("n") >= 5, F.collect_list("p")).alias("at"), F.first("total").alias("total"))
-    # A gram that occurs once has nothing to add.
-    often = per.where("c > 1")
-    top = (
-        often.where(F.col("n") <= 4).groupBy("_k", "n")
-        .agg(F.max_by(F.struct((F.length(F.translate("gram", " ", "")) * F.col("c")).alias("chars"), "total"), F.struct("c", -F.col("first"))).alias("b"))
-        .select("_k", "n", ratio(F.col("b.chars"), F.col("b.total")).alias("v"))
-    )
-    spots = often.where(F.col("n") >= 5).select("_k", "n", "total", F.explode("at").alias("p"), F.split("gram", " ").alias("gw"))
-    covered = (
-        spots.select("_k", "n", "total", "p", F.posexplode("gw").alias("j", "word"))
-        .groupBy("_k", "n", (F.col("p") + F.col("j")).alias("spot")).agg(F.first("word").alias("word"), F.first("total").alias("total"))
-        .groupBy("_k", "n").agg(F.sum(F.length("word")).alias("chars"), F.first("total").alias("total"))
-        .select("_k", "n", ratio(F.col("chars"), F.col("total")).alias("v"))
-    )
-    both = top.union(covered).groupBy("_k").pivot("n", list(TOP_SIZES + DUP_SIZES)).agg(F.first("v"))
-    names = [f"top_{n}gram" for n in TOP_SIZES] + [f"dup_{n}gram" for n in DUP_SIZES]
-    filled = [F.coalesce(F.col(str(n)), F.lit(0.0)).alias(name) for n, name in zip(TOP_SIZES + DUP_SIZES, names)]
-    out = w.select("_k").distinct().join(both, "_k", "left").select("_k", *filled)
-    return out.withColumnRenamed("_k", key)
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in GRAM_NAMES))
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([gram_shares(t) for t in s], columns=list(GRAM_NAMES), dtype="float64")
+
+    return run(as_col(c))
 
 
 def stopword_count(c: str | Column, listed: str) -> Column:
@@ -173,15 +204,12 @@ def reject_reason(m: Mapping[str, Column], th: QualityThresholds, stopwords: Col
     return F.coalesce(*checks)
 
 
-def quality_filter(df: DataFrame, key: str, text_col: str, th: QualityThresholds) -> DataFrame:
-    """df with ``reject_reason``: cheap metrics first, n-grams only of the documents that pass them."""
-    cheap = basic_metrics(text_col)
-    base = df.select("*", F.struct(*[v.alias(k) for k, v in cheap.items()]).alias("_m"))
-    m = {k: F.col(f"_m.{k}") for k in cheap}
-    first = base.withColumn("_first", reject_reason(m, th))
-    deep = ngram_metrics(first.where("_first is null"), key, text_col)
-    joined = first.join(deep, key, "left")
-    names = [f"top_{n}gram" for n in TOP_SIZES] + [f"dup_{n}gram" for n in DUP_SIZES]
+def quality_filter(df: DataFrame, text_col: str, th: QualityThresholds) -> DataFrame:
+    """df with ``reject_reason``: cheap metrics first, n-grams only of the texts that pass them.  No shuffle."""
+    base = df.withColumn("_m", basic_metrics(text_col))
+    cheap = {k: F.col(f"_m.{k}") for k in BASIC}
+    first = base.withColumn("_first", reject_reason(cheap, th))
+    deep = first.withColumn("_g", ngram_metrics(F.when(F.col("_first").isNull(), F.col(text_col))))
     stop = stopword_count(text_col, th.stopwords) if th.stopwords else None
-    rest = reject_reason(m | {n: F.col(n) for n in names}, th, stop)
-    return joined.withColumn("reject_reason", F.coalesce("_first", rest)).drop("_m", "_first", *names)
+    rest = reject_reason(cheap | {n: F.col(f"_g.{n}") for n in GRAM_NAMES}, th, stop)
+    return deep.withColumn("reject_reason", F.coalesce("_first", rest)).drop("_m", "_first", "_g")

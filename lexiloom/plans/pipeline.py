@@ -65,7 +65,7 @@ def label(df: DataFrame, cfg: PipelineConfig) -> DataFrame:
     return out.withColumn("category", category).withColumn("profile", profile)
 
 
-def judge(df: DataFrame, cfg: PipelineConfig, key: str) -> DataFrame:
+def judge(df: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """Quality thresholds of each profile, on documents that are still in."""
     profiles = quality.resolve_profiles(cfg.quality)
     named = [p for p in profiles if p != "default"]
@@ -73,7 +73,7 @@ def judge(df: DataFrame, cfg: PipelineConfig, key: str) -> DataFrame:
     live = df.where("reject_reason is null").drop("reject_reason").withColumn("_p", chosen)
     out = df.where("reject_reason is not null")
     for name, th in profiles.items():
-        part = quality.quality_filter(live.where(F.col("_p") == name), key, "text", th).drop("_p")
+        part = quality.quality_filter(live.where(F.col("_p") == name), "text", th).drop("_p")
         out = out.unionByName(part.select(*out.columns))
     return out
 
@@ -84,7 +84,7 @@ def curate(df: DataFrame, cfg: PipelineConfig, order_col: str = "seq") -> DataFr
     Cheap steps come first, and what they reject never reaches the n-gram metrics or the signatures.
     """
     seen = materialize(label(clean(df, cfg), cfg), "labelled")  # filters below would evaluate the chain again
-    judged = materialize(judge(seen, cfg, order_col), "judged")
+    judged = materialize(judge(seen, cfg), "judged")
     kept = dedup.deduplicate(judged.where("reject_reason is null"), "text", order_col, cfg.dedup)
     rejected = judged.where("reject_reason is not null").withColumn("dup", F.lit(None).cast("string"))
     both = kept.unionByName(rejected)

@@ -210,9 +210,9 @@ _BASIC_COLS = ("mean_word_len", "symbol_word_ratio", "bullet_line_frac", "ellips
 
 @query(f"WITH {_BASIC} SELECT doc_id, n_chars, n_words, n_lines, {', '.join(_BASIC_COLS)}, stopwords FROM m")
 def quality_metrics(spark, d):
-    m = quality.basic_metrics("text")
-    whole = [m[k].cast("long").alias(k) for k in ("n_chars", "n_words", "n_lines")]
-    return docs(spark, d).select("doc_id", *whole, *[m[k].alias(k) for k in _BASIC_COLS], quality.stopword_count("text", "english").cast("long").alias("stopwords"))
+    m = docs(spark, d).select("doc_id", quality.basic_metrics("text").alias("m"), quality.stopword_count("text", "english").cast("long").alias("stopwords"))
+    whole = [F.col(f"m.{k}").cast("long").alias(k) for k in ("n_chars", "n_words", "n_lines")]
+    return m.select("doc_id", *whole, *[f"m.{k}" for k in _BASIC_COLS], "stopwords")
 
 
 def s_top(n: int) -> str:
@@ -236,7 +236,7 @@ _NGRAMS = f"{_NG}, ng AS (SELECT a.doc_id, {_NG_COLS} FROM (SELECT *, {_LEN('w')
 
 @query(f"WITH {_BASIC}, {_NGRAMS} SELECT * FROM ng")
 def ngram_metrics(spark, d):
-    return quality.ngram_metrics(docs(spark, d), "doc_id", "text")
+    return docs(spark, d).select("doc_id", quality.ngram_metrics("text").alias("g")).select("doc_id", "g.*")
 
 
 _TH = quality.QualityThresholds(min_stopwords=2, stopwords="english", min_mean_word_len=2.5, max_mean_word_len=12.0)
@@ -250,12 +250,12 @@ _JUDGED = f"{_BASIC}, {_NGRAMS}, j AS (SELECT doc_id, coalesce(source, 'unknown'
 
 @query(f"WITH {_JUDGED} SELECT doc_id, reject_reason FROM j")
 def reject_reasons(spark, d):
-    return quality.quality_filter(docs(spark, d).select("doc_id", "text"), "doc_id", "text", _TH).select("doc_id", "reject_reason")
+    return quality.quality_filter(docs(spark, d).select("doc_id", "text"), "text", _TH).select("doc_id", "reject_reason")
 
 
 @query(f"WITH {_JUDGED} SELECT source, coalesce(reject_reason, 'kept') AS outcome, count(*) AS n FROM j GROUP BY ALL")
 def stats_by_source(spark, d):
-    x = quality.quality_filter(docs(spark, d).select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), "text"), "doc_id", "text", _TH)
+    x = quality.quality_filter(docs(spark, d).select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), "text"), "text", _TH)
     return x.groupBy("source", F.coalesce("reject_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
