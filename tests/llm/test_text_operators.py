@@ -100,7 +100,8 @@ def test_statistics_tell_prose(spark, data, samples):
         ("z5", "The lamp of the town was warm because the sea was early. She said that the door had been wet. " * 4, "en", t),
         ("z5", "lamp\n" * 30, "en", t.replace(month=3)), ("z6", "?!&% *** &&&", "other", t),
     ]
-    df = corpus(spark, data).unionByName(shards(spark, odd), allowMissingColumns=True)
+    larger = data.replace("sf0.001", "sf0.01")  # common words need some hundred occurrences
+    df = corpus(spark, larger).unionByName(shards(spark, odd), allowMissingColumns=True)
     got = {r.id: r for r in prose.text_statistics(df, samples).collect()}
     assert len(got) == df.select("id").distinct().count()
     assert not any(got[k].is_prose for k in ("z1", "z2", "z3", "z4", "z5", "z6"))
@@ -108,7 +109,7 @@ def test_statistics_tell_prose(spark, data, samples):
     share = sum(r.is_prose for r in got.values()) / len(got)
     assert 0.8 < share < 0.99
     for r in got.values():
-        assert sum(r[f"c_{s}"] for s in prose.STATS) == pytest.approx(r.distance**2, abs=1e-3)
+        assert sum(r[f"c_{s}"] for s in prose.STATS) == pytest.approx(r.distance**2, rel=1e-6, abs=1e-3)
 
 
 def test_statistics_do_not_depend_on_partitions(spark, data, samples):
