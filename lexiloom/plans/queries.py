@@ -34,7 +34,8 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = readers.spread(load(spark, d, "documents"), "doc_id")
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 # --- pieces of SQL ------------------------------------------------------------------------------------------------------

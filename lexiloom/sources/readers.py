@@ -36,6 +36,15 @@ def expand(path: str) -> list[str]:
     return found
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its files are fewer: one small file is one task, however heavy the work on its rows.
+
+    Tables with enough files, as any large one has, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_parquet(spark: SparkSession, paths: Sequence[str], **_: Any) -> DataFrame:
     return spark.read.parquet(*paths)
 
