@@ -12,6 +12,7 @@ once, the latest delivery stands; an empty answer has no further defect.
 
 from __future__ import annotations
 
+import heapq
 import html
 import unicodedata
 
@@ -161,35 +162,71 @@ def is_refusal(output: str) -> bool:
 
 
 # --- copies: greedy string tiling ---------------------------------------------------------------------------------------
+def whole_runs(pattern: list[str], text: list[str]) -> list[int]:
+    """Starts of the leftmost non-overlapping occurrences of the whole pattern, in linear time (Knuth-Morris-Pratt)."""
+    back, k = [0] * len(pattern), 0
+    for i in range(1, len(pattern)):
+        while k and pattern[i] != pattern[k]:
+            k = back[k - 1]
+        k += pattern[i] == pattern[k]
+        back[i] = k
+    out, k = [], 0
+    for j, w in enumerate(text if pattern else ()):
+        while k and w != pattern[k]:
+            k = back[k - 1]
+        k += w == pattern[k]
+        if k == len(pattern):
+            out.append(j + 1 - k)
+            k = 0
+    return out
+
+
 def tiling(pattern: list[str], text: list[str], least: int = 3) -> tuple[int, int]:
     """(tokens of the text covered, tokens of the pattern used) by maximal common runs, longest first.
 
-    A token of the text is tiled once; tokens of the pattern may serve again, since copies may be repeated.
+    A token of the text is tiled once; tokens of the pattern may serve again, since copies may be repeated.  Whole
+    patterns are the longest runs there can be, so they are taken first; the other runs wait in a heap and are cut
+    where tiles have been laid since.  Texts of any length are tiled.
     """
-    free, used, covered = [True] * len(text), [False] * len(pattern), 0
+    free, used, covered, size = bytearray(b"\1" * len(text)), bytearray(len(pattern)), 0, len(pattern)
+    for j in whole_runs(pattern, text):
+        free[j : j + size] = bytes(size)
+        used[:] = b"\1" * size
+        covered += size
+    least = max(1, min(least, size))
     starts: dict[str, list[int]] = {}
     for i, w in enumerate(pattern):
         starts.setdefault(w, []).append(i)
-    while True:
-        best = (0, 0, 0)
-        for j in range(len(text)):
-            if not free[j]:
-                continue
-            for i in starts.get(text[j], ()):
-                if i and j and free[j - 1] and pattern[i - 1] == text[j - 1]:
-                    continue  # part of a longer run that begins further left
-                n = 0
-                while i + n < len(pattern) and j + n < len(text) and free[j + n] and pattern[i + n] == text[j + n]:
-                    n += 1
-                if n > best[0]:
-                    best = (n, i, j)
-        n, i, j = best
-        if n == 0 or n < min(least, len(pattern)):
-            return covered, sum(used)
-        for k in range(n):
-            free[j + k] = False
-            used[i + k] = True
-        covered += n
+    heap: list[tuple[int, int, int]] = []
+    for j, w in enumerate(text):
+        if not free[j]:
+            continue
+        for i in starts.get(w, ()):
+            if i and j and free[j - 1] and pattern[i - 1] == text[j - 1]:
+                continue  # part of a longer run that begins further left
+            n = 1
+            while i + n < size and j + n < len(text) and free[j + n] and pattern[i + n] == text[j + n]:
+                n += 1
+            if n >= least:
+                heap.append((-n, j, i))
+    heapq.heapify(heap)
+    while heap:
+        n, j, i = heapq.heappop(heap)
+        n = -n
+        taken = free.find(0, j, j + n)
+        if taken < 0:
+            free[j : j + n] = bytes(n)
+            used[i : i + n] = b"\1" * n
+            covered += n
+            continue
+        at, end = j, j + n
+        while 0 <= at < end:  # what is left of the run between the tiles
+            stop = free.find(0, at, end)
+            stop = end if stop < 0 else stop
+            if stop - at >= least:
+                heapq.heappush(heap, (at - stop, at, i + at - j))
+            at = free.find(1, stop, end)
+    return covered, sum(used)
 
 
 LABEL_WORDS = 4
@@ -199,13 +236,15 @@ SURE = 0.88  # confidence from which the language of words in Latin letters coun
 def is_copy(instruction: str | None, output: str, keep_text: bool) -> bool:
     """keep_text: the instruction asks for its text back (a correction), so only the order itself can be copied."""
     p, t = tokens(instruction), tokens(_TAG.sub(" ", output))
-    if not p or not t or len(t) > 6 * len(p) + 40:
+    if not p or not t or keep_text:
         return False
-    have = set(t)
-    if sum(w in have for w in p) < 0.75 * len(p):
+    have, known = set(t), set(p)
+    spare = max(LABEL_WORDS, 0.15 * len(t))
+    # Neither bound can be missed by a copy: words of the one that the other hasn't are never tiled.
+    if sum(w in have for w in p) < 0.75 * len(p) or sum(w not in known for w in t) > spare:
         return False
     covered, used = tiling(p, t, 2)
-    return used >= 0.75 * len(p) and len(t) - covered <= max(LABEL_WORDS, 0.15 * len(t)) and not keep_text
+    return used >= 0.75 * len(p) and len(t) - covered <= spare
 
 
 # --- languages ------------------------------------------------------------------------------------------------------------

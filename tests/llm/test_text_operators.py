@@ -149,6 +149,42 @@ def test_tiling():
     assert defects.tiling(p, [], 3) == (0, 0) and defects.tiling([], p, 3) == (0, 0)
 
 
+def plain_tiling(pattern, text, least):
+    """The longest free common run again and again, by trying every pair of places."""
+    free, used, covered = [True] * len(text), [False] * len(pattern), 0
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(text)):
+            for i in range(len(pattern)):
+                n = 0
+                while i + n < len(pattern) and j + n < len(text) and free[j + n] and pattern[i + n] == text[j + n]:
+                    n += 1
+                best = max(best, (n, -j, -i))
+        n, j, i = best[0], -best[1], -best[2]
+        if not n or n < min(least, len(pattern)):
+            return covered, sum(used)
+        for k in range(n):
+            free[j + k], used[i + k] = False, True
+        covered += n
+
+
+def test_tiling_as_by_trying():
+    rng = random.Random(5)
+    for _ in range(300):
+        p = [rng.choice("abcd") for _ in range(rng.randrange(1, 9))]
+        t = [rng.choice("abcde") for _ in range(rng.randrange(30))] + p * rng.randrange(3) + p[1:] * rng.randrange(3)
+        assert defects.tiling(p, t, 2) == plain_tiling(p, t, 2)
+
+
+@pytest.mark.parametrize("times", [10, 2000])
+def test_copies_repeated_many_times(times):
+    order = "Tell me what the old lamp of the town by the sea was"
+    assert len(defects.tokens(order)) == 13
+    assert defects.is_copy(order, f"{order}. " * times, False)
+    assert defects.is_copy(order, f"{order.replace('old', 'new')}. " * times, False)
+    assert not defects.is_copy(order, f"{order}. " + "The lamp stood near a harbour and burned all night. " * times, False)
+
+
 def test_pairs_take_the_latest_row(spark, samples):
     import datetime as dt
 
