@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,12 +118,22 @@ def common_words(counts: DataFrame, model: language.LanguageModel) -> frozenset[
     return frozenset(out)
 
 
+@lru_cache(100_000)
+def _script_of(c: str) -> str:
+    """Script of a letter or of a script's own mark; '' for all else, and for accents, which belong to the letter before."""
+    if unicodedata.category(c)[0] not in "LM":
+        return ""
+    name = unicodedata.name(c, "").split(" ")[0]
+    return "" if name == "COMBINING" else name
+
+
 def script(text: str | None) -> str:
-    """Name of the script of most letters among the first thousand (TAMIL, LATIN, ...); '' without letters."""
+    """Name of the script of most letters of the whole text (TAMIL, LATIN, ...); '' without letters."""
     counts: dict[str, int] = {}
-    for run in _LETTERS.findall((text or "")[:1000]):
-        name = unicodedata.name(run[0], "").split(" ")[0]
-        counts[name] = counts.get(name, 0) + len(run)
+    for c, n in Counter(text or "").items():
+        name = _script_of(c)
+        if name:
+            counts[name] = counts.get(name, 0) + n
     return max(counts, key=counts.get) if counts else ""
 
 

@@ -143,6 +143,16 @@ def test_defects(model, instruction, output, want):
     assert defects.defects(model, instruction, output) == want
 
 
+def test_script_of_the_whole_text(model):
+    latin, hindi = "Die alte Straße. " * 70, "एक ठंडा बाज़ार और मौसम गया। " * 200
+    assert len(latin) > 1000 and prose.script(latin + hindi) == "DEVANAGARI" and prose.script(hindi + latin) == "DEVANAGARI"
+    assert prose.script("१२ 12 34 %%") == "" and prose.script(None) == "" and prose.script("e\u0301te\u0301 1 மழை") == "LATIN"
+    assert prose.model_key("other", latin + hindi) == prose.model_key("other", hindi)
+    order = "Give the Hindi version of this text."
+    assert "wrong_language" not in defects.defects(model, order, latin + hindi)
+    assert defects.defects(model, order, hindi[:1100] + latin * 20) == ["wrong_language"]
+
+
 def test_tiling():
     p = "a b c d e f".split()
     assert defects.tiling(p, "x a b c y d e f a b c".split(), 3) == (9, 6)
