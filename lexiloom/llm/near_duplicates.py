@@ -5,7 +5,8 @@ truncated, exponentially spaced minimum of the set under its own hash, so sketch
 register with a probability that follows the similarity.  Bands of ``ROWS`` registers give candidate pairs, the joint
 likelihood of the register order gives each pair's similarity, and what passes is verified on the exact sets.
 
-Defined results: null and blank texts, and texts with fewer than ``shingle`` words, have no set and are in no pair.
+Defined results: null and blank texts, and texts with fewer than ``shingle`` words, have no set and are in no pair; in
+groups they form a class with the texts of the same words, and null and blank ones one of their own.
 Rows repeated under one id count once, the latest delivery (``order_col``) stands.  Texts with equal sets form one
 class and are compared once, through the class's smallest id.  Empty tables give empty results.  Extra columns are
 ignored.  No bucket is capped: members of buckets beyond ``hot_bucket`` go through an exact prefix-filter join.
@@ -98,19 +99,20 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarra
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: NearDupConfig) -> DataFrame:
-    """One row per id: key of its set, size and registers.  Texts without a set are left out."""
+    """One row per id: key of its set, size and registers.  Texts without a set have size 0, no registers and the key of
+    their words in order, or no key without words."""
     n, registers = cfg.shingle, cfg.registers
     ids = base.WordIds()
 
     def run(cols: dict[str, pa.Array]) -> dict | None:
-        sets = shingle_sets(cols["text"].to_pylist(), n, ids)
+        texts = cols["text"].to_pylist()
+        sets = shingle_sets(texts, n, ids)
         regs = setsketch(sets, registers)
-        keep = pa.array([len(s) > 0 for s in sets])
-        keys = np.array([_set_key(s) for s in sets], dtype=np.int64)
         return {
-            "id": cols["id"].filter(keep), "at": cols["at"].filter(keep),
-            "set_key": pa.array(keys).filter(keep), "size": pa.array([len(s) for s in sets], pa.int32()).filter(keep),
-            "registers": pa.array([r.tobytes() for r in regs], pa.binary()).filter(keep),
+            "id": cols["id"], "at": cols["at"],
+            "set_key": pa.array([_set_key(s) if len(s) else _short_key(t, ids) for s, t in zip(sets, texts)], pa.int64()),
+            "size": pa.array([len(s) for s in sets], pa.int32()),
+            "registers": pa.array([r.tobytes() if len(s) else b"" for s, r in zip(sets, regs)], pa.binary()),
         }
 
     kinds = dict(df.dtypes)
@@ -125,10 +127,27 @@ def _set_key(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
 
 
+def _short_key(text: str | None, ids: base.WordIds) -> int | None:
+    got = base.token_ids(text, ids) if text else ()
+    return _set_key(got) if len(got) else None
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
     """(members: id, class_id) and (links: class_a < class_b, similarity) between classes of equal sets."""
+    return linked_classes(base.materialize(sketches(df, id_col, text_col, order_col, cfg), "one"), df, id_col, text_col, cfg)
+
+
+def short_classes(every: DataFrame) -> DataFrame:
+    """(id, class_id) of the ids without a set: equal words in order make a class, texts without words stand alone."""
+    short = every.where("size = 0").select("id", "set_key")
+    names = short.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("class_id"))
+    return short.where("set_key is not null").join(names, "set_key").select("id", "class_id").union(short.where("set_key is null").select("id", F.col("id").alias("class_id")))
+
+
+def linked_classes(every: DataFrame, df: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]:
+    """``near_duplicate_classes`` from the sketches of every id; those without a set are no members."""
     # Equal sets share their key; the key stands for the class until the end.
-    one = base.materialize(sketches(df, id_col, text_col, order_col, cfg), "one")
+    one = every.where("size > 0")
     classes = one.groupBy("set_key").agg(F.min("id").alias("class_id"), F.first("size").alias("size"), F.first("registers").alias("registers"))
     classes = base.materialize(classes, "classes")
     candidates = candidate_pairs(classes.select("set_key", "registers"), df, id_col, text_col, cfg, one)
@@ -283,8 +302,11 @@ def prefix_pairs(hot: DataFrame, df: DataFrame, id_col: str, text_col: str, one:
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """One row per id that has a set: its class, the number of linked classes, and the group (connected classes)."""
-    members, links = near_duplicate_classes(df, id_col, text_col, order_col, cfg)
+    """One row per id: its class, the number of linked classes, and the group (connected classes).  Ids without a set are
+    classed by their words and have no links."""
+    every = base.materialize(sketches(df, id_col, text_col, order_col, cfg), "one")
+    members, links = linked_classes(every, df, id_col, text_col, cfg)
+    members = members.union(short_classes(every))
     links = base.materialize(links, "links")
     groups = connected(links.select("class_a", "class_b"))
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))

@@ -65,6 +65,17 @@ def test_groups(spark):
         assert got[a].class_id == got[b].class_id or got[a].links and got[b].links
 
 
+def test_groups_hold_every_record(spark):
+    short = [("s3", "four words stand here", T), ("s1", "Four words, stand here!", T), ("s2", "here four words stand", T), ("s4", "one", T)]
+    rows = edited(random.Random(9), 60) + ODD + short
+    df = spark.createDataFrame(rows, "id string, text string, written_at timestamp")
+    got = {r.id: r for r in nd.near_duplicate_groups(df.union(df.limit(9)), "id", "text", "written_at").collect()}
+    assert nd.near_duplicate_groups(df.union(df.limit(9)), "id", "text", "written_at").count() == len(got) and set(got) == {r[0] for r in rows}
+    assert got["s1"].class_id == got["s3"].class_id == got["s3"].group_id == "s1"
+    for i in ("s2", "s4", "e1", "e2", "e3", "e4"):
+        assert (got[i].class_id, got[i].group_id, got[i].links) == (i, i, 0)
+
+
 def test_many_copies_stay_one_class(spark):
     rows = [(f"c{i}", "the same text of several words again", T) for i in range(400)]
     members, links = nd.near_duplicate_classes(spark.createDataFrame(rows, "id string, text string, written_at timestamp"), "id", "text", "written_at")
