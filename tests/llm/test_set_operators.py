@@ -56,6 +56,14 @@ def test_latest_delivery_counts(spark):
     assert nd.near_duplicate_pairs(df.limit(0), "id", "text", "written_at", nd.NearDupConfig()).count() == 0
 
 
+def test_latest_delivery_without_a_set_counts(spark):
+    t2 = T.replace(month=2)
+    rows = [(i, "one two three four", T) for i in "abcd"] + [("a", None, t2), ("b", " ", t2), ("c", "one two", t2)]
+    df = spark.createDataFrame(rows, "id string, text string, written_at timestamp")
+    members, links = nd.near_duplicate_classes(df, "id", "text", "written_at", nd.NearDupConfig(shingle=3, threshold=0.5))
+    assert [tuple(r) for r in members.collect()] == [("d", "d")] and links.count() == 0
+
+
 def test_groups(spark):
     rows = edited(random.Random(9), 200)
     df = spark.createDataFrame(rows, "id string, text string, written_at timestamp")
