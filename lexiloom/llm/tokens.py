@@ -112,25 +112,28 @@ def document_tokens(df: DataFrame, pieces: DataFrame, id_col: str, text_col: str
         return {c: batch[c] for c in cols} | {"n_tokens": [counts.value.count(t) for t in batch[text_col].to_pylist()]}
 
     def cut(batch: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in (*cols, "row", "chunk")}
+        out: dict[str, list] = {c: [] for c in (*cols, "row", "chunk", "first")}
         kept = {c: batch[c].to_pylist() for c in (*cols, "row")}
         for i, t in enumerate(batch[text_col].to_pylist()):
-            for part in counts.value.chunks(t, big_chars // 4):
+            for k, part in enumerate(counts.value.chunks(t, big_chars // 4)):
                 for c in kept:
                     out[c].append(kept[c][i])
                 out["chunk"].append(part)
+                out["first"].append(int(k == 0))
         return out
 
     def parts(batch: dict) -> dict:
-        return {c: batch[c] for c in (*cols, "row")} | {"n": [counts.value.count(t) for t in batch["chunk"].to_pylist()]}
+        return {c: batch[c] for c in (*cols, "row", "first")} | {"n": [counts.value.count(t) for t in batch["chunk"].to_pylist()]}
 
     rows = df.select(*cols, text_col)
     small = base.arrow_map(rows.where(F.coalesce(F.length(text_col), F.lit(0)) <= big_chars), whole, f"{schema}, n_tokens long")
-    # A row key keeps repeated rows of one id apart until the caller chooses among them.
+    # A row key keeps differing rows of one id apart until the caller chooses among them.  Equal rows share it and are cut
+    # alike, so their sum is parted by the number of first chunks; a key per row would not survive a repeated task.
     big = rows.where(F.length(text_col) > big_chars).withColumn("row", F.xxhash64(*cols, text_col))
-    pieces_ = base.arrow_map(big, cut, f"{schema}, row long, chunk string").repartition(df.sparkSession.sparkContext.defaultParallelism * 3, F.rand(7))
-    summed = base.arrow_map(pieces_, parts, f"{schema}, row long, n long").groupBy(*[c for c in cols if not kinds[c].startswith("map")], "row").agg(F.sum("n").alias("n_tokens")).drop("row")
-    return small.union(summed)
+    pieces_ = base.arrow_map(big, cut, f"{schema}, row long, chunk string, first int").repartition(df.sparkSession.sparkContext.defaultParallelism * 3, F.rand(7))
+    summed = base.arrow_map(pieces_, parts, f"{schema}, row long, first int, n long").groupBy(*[c for c in cols if not kinds[c].startswith("map")], "row").agg(F.sum("n").alias("n"), F.sum("first").alias("copies"))
+    each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("n_tokens", F.expr("n div copies"))
+    return small.union(each.select(*cols, "n_tokens"))
 
 
 def clean_category(c: str | Column) -> Column:

@@ -243,6 +243,19 @@ def test_oversized_documents(spark, data, pieces):
     assert tokens.record_tokens(df.limit(0), pieces).count() == 0
 
 
+def test_oversized_rows_delivered_twice(spark, pieces):
+    import datetime as dt
+
+    t, text = dt.datetime(2025, 1, 1), "இந்த lamp of the\n town " * 60
+    rows = [("a", t, "s", "ta", "c", text)] * 3 + [("b", t, "s", "ta", "c", text), ("b", t, "s", "ta", "c", text + "more"), ("c", t, "s", "ta", "c", "lamp")]
+    df = spark.createDataFrame(rows, "id string, written_at timestamp, source string, lang string, category string, text string").repartition(3)
+    n = tokens.counter(pieces).count
+    got = {r.id: r.n_tokens for r in tokens.record_tokens(df, pieces, big_chars=100).collect()}
+    assert got == {"a": n(text), "b": n(text + "more"), "c": n("lamp")}
+    each = tokens.document_tokens(df, pieces, "id", "text", ["source"], big_chars=100).collect()
+    assert sorted((r.id, r.n_tokens) for r in each) == sorted((r[0], n(r[5])) for r in rows)
+
+
 def test_clean_categories(spark):
     df = spark.createDataFrame([(" Ta-Web ",), ("TA  WEB",), ("ta_web",), ("",), (None,)], "c string")
     assert [r.x for r in df.select(tokens.clean_category("c").alias("x")).collect()] == ["ta_web"] * 3 + [None] * 2
