@@ -6,10 +6,10 @@ stationary distribution of the chain is the next estimate, and its fixed point i
 (Bradley-Terry-Luce) strength.  Ties count half for each side.
 
 Up to ``DENSE_ITEMS`` items the chain is solved exactly on the driver (the pair totals are then at most their square,
-which bounds what is collected); beyond, the same iteration runs on the distributed pair totals by uniformised steps.
+which bounds what is collected); beyond, the same maximum is found by Newton steps on the distributed pair totals.
 
-Defined results: items without votes, and items in no common strongly connected comparison, get ``PRIOR`` pseudo-votes
-on both sides against every linked item so that a unique solution exists; equal strengths rank by name; an empty registry gives no rows.
+Defined results: where the comparisons aren't strongly connected, every item gets ``PRIOR`` pseudo-wins both ways against
+one hub item, which is no result, so that a unique solution exists, at any number of items; equal strengths rank by name; an empty registry gives no rows.
 """
 
 from __future__ import annotations
@@ -59,45 +59,127 @@ def ilsr(wins: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     n = len(wins)
     if n < 2:
         return np.ones(n)
-    if not strongly_connected(wins):
-        wins = wins + prior * (1 - np.eye(n))
-    p = np.full(n, 1.0)
+    if not strongly_connected(wins):  # the last item is the hub
+        wins = np.pad(wins, ((0, 1), (0, 1)), constant_values=prior)
+        wins[-1, -1] = 0
+    size = len(wins)
+    p = np.full(size, 1.0)
     for _ in range(ROUNDS):
         rate = wins.T / (p[:, None] + p[None, :])  # rate[j, i]: from loser j to winner i
         np.fill_diagonal(rate, 0)
         balance = rate - np.diag(rate.sum(axis=1))
-        system = np.vstack([balance.T[:-1], np.ones(n)])
-        new = np.linalg.solve(system, np.r_[np.zeros(n - 1), n])
+        system = np.vstack([balance.T[:-1], np.ones(size)])
+        new = np.linalg.solve(system, np.r_[np.zeros(size - 1), size])
         new = np.maximum(new, 1e-300)
         if np.abs(np.log(new) - np.log(p)).max() < TOLERANCE:
-            return new
+            return new[:n] / new[:n].mean()
         p = new
-    return p
+    raise RuntimeError("strengths did not settle")
 
 
-def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-6, rounds: int = 400) -> DataFrame:
-    """(model, strength) for registries beyond DENSE_ITEMS, on distributed pair totals.
+def _strongly_connected(edges: DataFrame, n: int) -> bool:
+    """Whether every item is reached from the first, and reaches it; only items newly reached come to the driver."""
+    for start, end in (("i", "j"), ("j", "i")):
+        seen = np.zeros(n, dtype=bool)
+        seen[0] = True
+        while not seen.all():
+            before = seen.copy()
 
-    Every round rebuilds the rates from the current strengths and takes one uniformised step of the chain; its fixed
-    point is that of the dense solver.  A hub item with ``PRIOR`` wins either way against every item stands in for
-    prior votes on all pairs and makes the chain connected without a quadratic number of rows.
+            def reach(batches, before: np.ndarray = before, start: str = start, end: str = end):
+                import pyarrow as pa
+
+                parts = [(b.column(start).to_numpy(), b.column(end).to_numpy()) for b in batches if b.num_rows]
+                now, count = before.copy(), -1
+                while parts and count != now.sum():  # as far as this task's pairs lead
+                    count = now.sum()
+                    for u, v in parts:
+                        now[v[now[u]]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(now & ~before)[0].astype(np.int32))], names=["k"])
+
+            got = [r.k for r in edges.select(start, end).mapInArrow(reach, "k int").distinct().collect()]
+            if not got:
+                return False
+            seen[got] = True
+    return True
+
+
+def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
+    """(model, strength) for registries beyond DENSE_ITEMS, on distributed pair totals: the same strengths as ``ilsr``.
+
+    The driver holds numbers per item only.  Every round is a Newton step of the log likelihood, solved by conjugate
+    gradients whose products are summed over the pairs where they lie, and damped while it is long, so that it always
+    ends at the one maximum.  Raises if ``tolerance`` (of the logarithms) isn't reached.
     """
-    hub = items.select(F.col("model").alias("winner"), F.lit("\0hub").alias("loser"), F.lit(PRIOR).alias("wins"))
-    edges = base.materialize(wins.union(hub).union(hub.select("loser", "winner", "wins")), "edges")
-    start = items.sparkSession.createDataFrame([("\0hub", 1.0)], "model string, strength double")
-    x = base.materialize(items.select("model", F.lit(1.0).alias("strength")).union(start), "strength")
+    spark = items.sparkSession
+    names = sorted(r.model for r in items.select("model").collect())
+    n = len(names)
+    if n < 2:
+        return spark.createDataFrame([(m, 1.0) for m in names], "model string, strength double")
+    places = spark.createDataFrame(list(zip(names, range(n))), "model string, k int")
+    edges = base.materialize(
+        wins.join(places.toDF("winner", "i"), "winner").join(places.toDF("loser", "j"), "loser").where("wins > 0 and i <> j").select("i", "j", F.col("wins").cast("double").alias("w")), "edges"
+    )
+    hub = not _strongly_connected(edges, n)
+    size = n + hub
+    k = np.arange(n)
+    own = (np.r_[k, np.full(n, n)], np.r_[np.full(n, n), k], np.full(2 * n, PRIOR)) if hub else None
+
+    def sums(f) -> np.ndarray:
+        """Two numbers per item, summed over the pairs: f(i, j, w) gives one column for the winner and one for the loser each."""
+
+        def fold(i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+            return np.array([np.bincount(i, a, size) + np.bincount(j, b, size) for a, b in f(i, j, w)])
+
+        def run(cols: dict) -> dict:
+            got = fold(*(cols[c].to_numpy() for c in ("i", "j", "w")))
+            at = np.nonzero(got.any(axis=0))[0]
+            return {"k": at.astype(np.int32), "a": got[0, at], "b": got[1, at]}
+
+        out = fold(*own) if hub else np.zeros((2, size))
+        for r in base.arrow_map(edges, run, "k int, a double, b double").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+            out[:, r.k] += (r.a, r.b)
+        return out
+
+    def lost(t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Probability that j beats i."""
+        return 0.5 * (1 + np.tanh((t[j] - t[i]) / 2))
+
+    theta = np.zeros(size)
     for _ in range(rounds):
-        rates = edges.join(x.toDF("winner", "pw"), "winner").join(x.toDF("loser", "pl"), "loser").withColumn("rate", F.col("wins") / (F.col("pw") + F.col("pl")))
-        flow = rates.select("winner", "loser", "rate", (F.col("rate") * F.col("pl")).alias("f"))
-        sides = flow.select(F.col("winner").alias("model"), "f", F.lit(0.0).alias("r")).union(flow.select("loser", -F.col("f"), "rate"))
-        moved = sides.groupBy("model").agg(F.sum("f").alias("df"), F.sum("r").alias("r"))
-        # Each item moves by its own speed limit: the total rate that leaves it bounds the step.
-        step = x.join(moved, "model", "left").select("model", "strength", F.coalesce(F.col("df") / F.col("r"), F.lit(0.0)).alias("d"))
-        y = base.materialize(step.select("model", F.greatest(F.col("strength") + 0.9 * F.col("d"), F.lit(1e-300)).alias("strength"), F.abs(F.col("d") / F.col("strength")).alias("gap")), "strength")
-        x = y.select("model", "strength")
-        if y.agg(F.max("gap")).first()[0] < tolerance:
-            break
-    return x.where(F.col("model") != "\0hub")
+
+        def slope(i, j, w, t=theta):
+            q = lost(t, i, j)
+            m = w * q * (1 - q)
+            return (w * q, -w * q), (m, m)
+
+        def bend(x: np.ndarray) -> np.ndarray:
+            def f(i, j, w, t=theta):
+                q = lost(t, i, j)
+                y = w * q * (1 - q) * (x[i] - x[j])
+                return (y, -y), (0 * y, 0 * y)
+
+            return sums(f)[0]
+
+        gradient, diagonal = sums(slope)
+        step, rest = np.zeros(size), gradient
+        z = rest / diagonal
+        way, power = z, rest @ z
+        goal = 1e-8 * power
+        for _ in range(4 * size):
+            if power <= goal or power < 1e-26:
+                break
+            y = bend(way)
+            a = power / (way @ y)
+            step, rest = step + a * way, rest - a * y
+            z = rest / diagonal
+            way, power = z + way * ((rest @ z) / power), rest @ z
+        length = np.ptp(step)
+        theta = theta + step * (np.log1p(length) / length if length > 1 else 1.0)
+        theta -= theta[:n].mean()
+        if length < tolerance:
+            strength = np.exp(theta[:n] - theta[:n].max())
+            return spark.createDataFrame([(m, float(x)) for m, x in zip(names, strength / strength.mean())], "model string, strength double")
+    raise RuntimeError("strengths did not settle")
 
 
 def ranking(ratings: DataFrame, registry: DataFrame, dense_items: int = DENSE_ITEMS) -> DataFrame:

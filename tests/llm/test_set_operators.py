@@ -204,6 +204,23 @@ def test_distributed_steps_head_for_the_same_strengths(spark):
     assert got["a"] > got["b"] > got["c"] and score(np.ones(3)) < score(p) <= score(best) + 1e-9
 
 
+@pytest.mark.parametrize("connected", [True, False])
+def test_distributed_strengths_are_the_dense_ones(spark, connected):
+    rng = random.Random(3)
+    names = [f"m{i}" for i in range(7)]
+    wins = np.zeros((7, 7))
+    for i in range(6 if connected else 4):  # sparse: neighbours only, else with two items apart
+        wins[i, i + 1], wins[i + 1, i] = rng.randrange(2, 9), rng.randrange(1, 4)
+    table = spark.createDataFrame([(names[i], names[j], float(wins[i, j])) for i in range(7) for j in range(7) if wins[i, j]], "winner string, loser string, wins double").repartition(2)
+    items = spark.createDataFrame([(n,) for n in names], "model string")
+    got = {r.model: r.strength for r in ranking._spread(table, items).collect()}
+    assert [got[n] for n in names] == pytest.approx(list(ranking.ilsr(wins)), rel=1e-6)
+    if connected:
+        assert [got[n] for n in names] == pytest.approx(list(likelihood_ranking(wins)), rel=1e-5)
+        with pytest.raises(RuntimeError):
+            ranking._spread(table, items, rounds=1)
+
+
 def test_ranking_without_votes(spark):
     registry = spark.createDataFrame([("a",), ("b",), (None,)], "model string")
     none = spark.createDataFrame([], RATING)
