@@ -36,6 +36,7 @@ _SAFE = re.compile(r"^[0-9A-Za-zऀ-෿​-‍﻿]*[ऀ-෿​-‍﻿]+[ऀ-෿0
 _LATIN_SAFE = re.compile(r"^[ऀ-෿​-‍﻿]+$")
 _ENTITY = re.compile(r"&#[0-9xX]")
 LOST = "�"
+MOST_SIGNS = 1 << 22
 CODECS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "cp1253", "iso8859_15", "iso8859_2")
 
 
@@ -186,6 +187,17 @@ def matches(words: DataFrame) -> DataFrame:
         if not held:
             held.append(base.BloomTest(passing.value))
         out = {"form": [], "original": [], "chain": [], "n": []}
+        new: list[tuple] = []
+        signs = 0
+
+        def sift() -> None:
+            """Only forms that some document may hold are kept, tested by Spark's own hash."""
+            h = np.array([xxhash.xxh64_intdigest(x[0].encode(), seed=42) for x in new], dtype=np.uint64)
+            for at in np.nonzero(held[0](h))[0]:
+                for c, v in zip(out, new[at]):
+                    out[c].append(v)
+            new.clear()
+
         for word, n in zip(cols["word"].to_pylist(), cols["n"].to_pylist()):
             if not plain(word):
                 continue
@@ -194,31 +206,20 @@ def matches(words: DataFrame) -> DataFrame:
                 f = garble(word, chain)
                 if f and f not in seen and (len(f) > 1 or f == LOST):
                     seen.add(f)
-                    out["form"].append(f)
-                    out["chain"].append("+".join(chain))
-                    out["original"].append(word)
-                    out["n"].append(n)
+                    signs += len(f)
+                    new.append((f, word, "+".join(chain), n))
             f = _RUN.sub(lambda m: LOST * len(m.group()), word)
             if f not in seen and not f.strip(LOST) == "":
-                out["form"].append(f)
-                out["chain"].append(REPLACED)
-                out["original"].append(word)
-                out["n"].append(n)
+                new.append((f, word, REPLACED, n))
+            if signs > MOST_SIGNS:  # long words: their forms don't pile up
+                sift()
+                signs = 0
+        sift()
         return out
 
-    def passing_only(cols: dict) -> dict:
-        keep = pa.array(held_test()(cols["h"].to_numpy().view(np.uint64)))
-        return {c: cols[c].filter(keep) for c in ("form", "original", "chain", "n")}
-
-    def held_test() -> base.BloomTest:
-        if not held:
-            held.append(base.BloomTest(passing.value))
-        return held[0]
-
     kinds = "form string, original string, chain string, n long"
-    clean = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") < 200)
-    made = base.arrow_map(clean, forms, kinds).withColumn("h", F.xxhash64("form"))
-    few = base.arrow_map(made, passing_only, kinds)
+    clean = words.groupBy("word").agg(F.sum("n").alias("n"))
+    few = base.arrow_map(clean, forms, kinds)
     met = few.join(odd.select(F.col("word").alias("form"), F.col("n").alias("n_form")), "form")
     # A form that is a plain word itself, and no rarer than the supposed original, is that word.
     best = met.groupBy("form").agg(

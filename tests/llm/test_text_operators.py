@@ -275,6 +275,14 @@ def test_round_trips(spark, chain):
         assert got[100] == CLEAN[0]
 
 
+def test_long_words_are_garbled_too(spark):
+    word = "山川日月火水木金土天" * 30
+    bad = mojibake.garble(word, ("cp1252-",))
+    assert len(word) >= 200 and mojibake.ungarble(bad) is None
+    df = spark.createDataFrame([(1, word), (2, word), (3, f"a {bad} b"), (4, "plain")], "doc_id long, text string")
+    assert [(r.doc_id, r.restored) for r in mojibake.restored_documents(df).collect()] == [(3, f"a {word} b")]
+
+
 def test_what_is_no_case(spark):
     rows = [
         (1, None), (2, ""), (3, "plain words"), (4, "SÃO NÃO MAÇÃ café naïve Âmbar £120 °C ® © »"), (5, "&#2970;&#3007; &amp; &quot;"),
