@@ -7,8 +7,8 @@ documents, as sums).  A unit is an outlier beyond the 99.9 % distance; only devi
 than usual is no fault).  A record is not prose when more than half of its words lie in outlying units.
 
 Common words are learned from the corpus: frequent words that hardly occur in structured lines (short lines, lines with
-separators, bullets or trailing numbers), relative to the other words of their language.  A frequency share bounds
-their number by ``1 / MIN_SHARE``; a word needs 1.5 expected listings before it can count, so a corpus of a few
+separators, bullets or trailing numbers), relative to the other words of their language.  A frequency share within the
+language (in other languages, the script) bounds their number by ``1 / MIN_SHARE`` each; a word needs 1.5 expected listings before it can count, so a corpus of a few
 hundred records yields few of them and rests more on the other statistics.
 
 Defined results: null and blank texts have no words, zero statistics and are not prose (is_prose false, distance 0);
@@ -102,15 +102,25 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def common_words(counts: DataFrame, model: language.LanguageModel) -> frozenset[str]:
-    """At most 1 / MIN_SHARE words come to the driver, whatever the corpus."""
-    counts = base.materialize(counts, "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= F.lit(total * MIN_SHARE)).collect()
+    """At most 1 / MIN_SHARE words of each language, or script of other languages, come to the driver, whatever the corpus."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def group(cols: dict) -> dict:
+        out = []
+        for word in cols["word"].to_pylist():
+            costs = shared.value.costs(word)
+            lang = language.LANGS[min(range(4), key=lambda i: (costs[i], i))]
+            out.append(f"{lang}/{script(word)}" if lang == "other" else lang)
+        return {"group": out, **{c: cols[c] for c in ("word", "n", "listed")}}
+
+    counts = base.materialize(base.arrow_map(counts, group, "group string, word string, n long, listed long"), "words")
+    least = {r["group"]: r.total * MIN_SHARE for r in counts.groupBy("group").agg(F.sum("n").alias("total")).collect()}
+    if not least:
+        return frozenset()
+    floor = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
     groups: dict[str, list] = {}
-    for r in rows:
-        costs = model.costs(r.word)
-        lang = language.LANGS[min(range(4), key=lambda i: (costs[i], i))]
-        groups.setdefault(f"{lang}/{script(r.word)}" if lang == "other" else lang, []).append(r)
+    for r in counts.where(F.col("n") >= floor[F.col("group")]).collect():
+        groups.setdefault(r["group"], []).append(r)
     out = set()
     for members in groups.values():
         rate = sum(r.listed for r in members) / sum(r.n for r in members)

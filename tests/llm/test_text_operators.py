@@ -112,6 +112,14 @@ def test_statistics_tell_prose(spark, data, samples):
         assert sum(r[f"c_{s}"] for s in prose.STATS) == pytest.approx(r.distance**2, rel=1e-6, abs=1e-3)
 
 
+def test_rare_languages_have_common_words(spark, model):
+    """The share counts within the language: Russian is 1 in 50,000 words here."""
+    russian = [("и", 40, 1), ("город", 30, 30), ("песня", 30, 29)]
+    english = [(f"the{chr(97 + k % 26)}{chr(97 + k // 26)}", 20000, 5000) for k in range(250)] + [("the", 30000, 50)]
+    got = prose.common_words(spark.createDataFrame(russian + english, "word string, n long, listed long"), model)
+    assert "и" in got and "the" in got and not got & {"город", "песня"}
+
+
 def test_statistics_do_not_depend_on_partitions(spark, data, samples):
     df = corpus(spark, data)
     a = {(r.id, r.is_prose) for r in prose.text_statistics(df.repartition(1), samples).collect()}
