@@ -1,10 +1,11 @@
 """Defective prompt and response pairs, each with the kinds of its defect.
 
-empty: nothing but spaces, marks, markup or a placeholder.  truncated: a pushdown parser over fences, brackets,
-quotations, lists and markup says whether the text breaks off inside a structure, sentence or list after a whole
-sentence.  refusal: a grammar of openers, refusing cores and closers covers the answer, outside quotations.  copy:
-greedy string tiling covers both the answer and the instruction.  wrong_language: script and cross-parsing language
-against the language asked for, else the instruction's.
+empty: nothing but spaces, marks, markup or a placeholder.  truncated: one stack of a pushdown parser holds the open
+fences, tags, brackets, quotations, list entries and sentences; what is left on it at the end of the text decides, if a
+whole sentence came before.  refusal: a grammar of openers, refusing cores and closers covers the answer, outside
+quotations, but for at most one sentence of 12 words.  copy: greedy string tiling covers both the answer and the
+instruction.  wrong_language: script and cross-parsing language against the language asked for, else the instruction's;
+below 16 letters languages of one script aren't told apart.
 
 Defined results: a null instruction asks for nothing, so only empty, truncated and refusal apply; repeated ids count
 once, the latest delivery stands; an empty answer has no further defect.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import heapq
 import html
 import unicodedata
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -34,13 +36,24 @@ OPEN, CLOSE = "([{“‘«", ")]}”’»"
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(unicodedata.normalize("NFC", html.unescape(text or "")).lower())
+    if not text:
+        return []
+    return _TOKEN.findall(unicodedata.normalize("NFC", html.unescape(text) if "&" in text else text).lower())
+
+
+@lru_cache(200_000)
+def token_of(part: str) -> str | None:
+    """The one token of a part between spaces; None if it has none or several."""
+    got = tokens(part)
+    return got[0] if len(got) == 1 else None
 
 
 def is_empty(output: str | None) -> bool:
     if output is None:
         return True
-    bare = _TAG.sub(" ", output)
+    bare = _TAG.sub(" ", output) if "<" in output or "`" in output or "&" in output else output
+    if len(bare) > 200 and _TOKEN.search(bare):  # no placeholder is that long
+        return not tokens(bare)
     words = tokens(bare)
     return not words or (len(words) <= 3 and bool(_words_of_placeholder(bare)))
 
@@ -50,65 +63,140 @@ def _words_of_placeholder(bare: str) -> bool:
     return got in PLACEHOLDERS or got.replace("_", " ") in ("no answer", "no output", "no response", "not available", "your answer here", "to be done", "insert answer here", "fill in", "coming soon")
 
 
-def breaks_off(text: str) -> bool:
-    """Pushdown parse: fences, brackets, quotations, lists and markup, then the last sentence."""
-    body = regex.sub(r"[\s​﻿]+$", "", text)
-    stack: list[str] = []
-    fence = False
-    wholes = 0
-    for line in body.split("\n"):
-        if line.lstrip().startswith("```"):
-            fence = not fence
-            continue
-        if fence:
-            continue
-        item = _ITEM.match(line)
-        for i, c in enumerate(line):
-            if item and i < item.end():
-                continue
-            if c in OPEN:
-                stack.append(CLOSE[OPEN.index(c)])
-            elif c in CLOSE:
-                if stack and stack[-1] == c:
-                    stack.pop()
-                elif c in stack:
-                    del stack[stack.index(c) :]
-            elif c == '"':
-                if '"' in stack:
-                    del stack[stack.index('"') :]
+# Elements whose end tag can't be left out, and short forms whose full stop ends no sentence.
+PAIRED_TAGS = frozenset("a abbr article aside b blockquote body button code details div dl em figure footer form h1 h2 h3 h4 h5 h6 head header html i label main nav ol pre script section select span strong style sub summary sup table textarea title u ul".split())
+SHORT_FORMS = frozenset("mr mrs ms dr prof st no vs e.g i.e etc fig eq vol pp cf approx jr sr".split())
+_CLOSERS_AT = r"[\"'”’»)\]}*_]*"
+_PARTS = regex.compile(
+    rf"""(?P<fence>^[ \t]*```[^\n]*)|(?P<item>^[ \t]*(?:[-*•▪◦‣·–—✓+]|\(?(?:\d{{1,3}}|[a-zA-Z])[.):]|\#\d+|\d{{1,3}}[ \t]*[-–])(?=[ \t]|$))|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))?)*\s*/?>)
+    |(?P<face>[:;]-?[()\[\]])(?=\s|$)|(?P<end>[.!?।॥…]+)(?={_CLOSERS_AT}(?:\s|$))|(?P<open>[(\[{{“‘«])|(?P<close>[)\]}}”’»])|(?P<quote>")|(?P<line>\n)|(?P<words>[^\n()\[\]{{}}“”‘’«»"<.!?।॥…:;]+|.)""",
+    regex.X | regex.M,
+)
+_INK = regex.compile(r"[\p{L}\p{N}]")
+
+
+class Pushdown:
+    """One stack of open structures: fences, tags, brackets, quotations, list items, and the sentences inside them.
+
+    A word opens a sentence in the innermost structure, an end mark closes it, a closing sign closes its structure with
+    whatever is open inside.  Lines and entries that end without a mark close their sentence as well; how many did so
+    says whether the last one may.
+    """
+
+    def __init__(self, text: str):
+        self.stack: list[str] = []
+        self.wholes = 0  # sentences closed by an end mark
+        self.entries: list[bool] = []  # list entries closed so far: by an end mark?
+        self.lines: list[bool] = []  # likewise lines outside lists
+        self.marked = False  # the last words of the line were closed by an end mark
+        self.inked = False  # the line or entry holds words
+        fence = False
+        last = ""
+        for m in _PARTS.finditer(text):
+            kind, got = m.lastgroup, m.group()
+            if kind == "fence":
+                fence = not fence
+                if fence:
+                    self.stack.append("fence")
                 else:
-                    stack.append('"')
-        wholes += len(_WHOLE.findall(line))
-    if fence:
-        return True
-    lines = [x for x in body.split("\n") if x.strip()]
-    if not lines:
-        return False
-    last = _strip_tail(lines[-1])
-    ended = bool(_END.search(last))
-    if wholes - (1 if ended else 0) < 1 and not (ended and wholes):
-        return False
-    if ended:
-        return False
-    item = _ITEM.match(last)
-    if item:
-        entries = [x for x in lines if _ITEM.match(x)]
-        others = [e for e in entries[:-1]]
-        # Entries of a list need no end mark unless the other entries have one.
-        if others and not all(_END.search(_strip_tail(e)) for e in others):
-            return bool(stack) or not tokens(last[item.end() :])
-        return True
-    prose_before = [x for x in lines[:-1] if not _ITEM.match(x)]
-    if len(lines) > 1 and prose_before and len(prose_before) > 2 and sum(bool(_END.search(_strip_tail(x))) for x in prose_before) < 0.3 * len(prose_before) and not _WHOLE.search(last[:-1]):
-        return bool(stack)
-    return True
+                    self._close("fence")
+            elif fence:
+                continue
+            elif kind == "words":
+                if _INK.search(got):
+                    if not self.stack or self.stack[-1] != "sentence":
+                        self.stack.append("sentence")
+                    self.marked, self.inked, last = False, True, got
+            elif kind == "end":
+                self._end(got, last, m.end() == len(text) or text[m.end()] == "\n")
+            elif kind == "open":
+                if not (self.stack and self.stack[-1] == CLOSE[OPEN.index(got)] and got in "“‘«"):  # reopened in a new paragraph
+                    self.stack.append(CLOSE[OPEN.index(got)])
+            elif kind == "close":
+                self._close(got)
+            elif kind == "quote":
+                if '"' in self.stack:
+                    self._close('"')
+                elif not (last[-1:].isdigit() and m.start() and text[m.start() - 1].isdigit()):  # not an inch
+                    self.stack.append('"')
+            elif kind == "tag":
+                self._tag(got)
+            elif kind == "item":
+                self._line_end()
+                self._close("item")
+                self.stack.append("item")
+                self.inked = self.marked = False
+            elif kind == "line":
+                self._line_end()
+        self.unfinished = self.stack and self.stack[-1] == "sentence" and not fence
+
+    def _close(self, what: str) -> None:
+        """Close the innermost structure of this kind with all that is open inside; without one the sign means nothing."""
+        if what not in self.stack:
+            return
+        at = len(self.stack) - 1 - self.stack[::-1].index(what)
+        if what == "item" and self.inked:
+            self.entries.append(self.marked)
+        del self.stack[at:]
+        # An end mark just inside a quotation or bracket ends the sentence around it as well.
+        if what not in ("item", "fence") and self.marked and self.stack and self.stack[-1] == "sentence":
+            self.stack.pop()
+
+    def _end(self, mark: str, last: str, at_line_end: bool) -> None:
+        word = last.split()[-1].lower() if last.split() else ""
+        if mark == "." and not at_line_end and (word in SHORT_FORMS or (len(word) == 1 and word.isascii() and word.isalpha())):
+            return
+        if self.stack and self.stack[-1] == "sentence":
+            self.stack.pop()
+            self.wholes += 1
+            self.marked = True
+
+    def _tag(self, tag: str) -> None:
+        name = regex.match(r"</?([A-Za-z0-9]+)", tag).group(1).lower()
+        if name in PAIRED_TAGS and not tag.endswith("/>"):
+            if tag[1] == "/":
+                self._close(f"<{name}")
+            else:
+                self.stack.append(f"<{name}")
+
+    def _line_end(self) -> None:
+        """Outside brackets and quotations a line ends its sentence; an entry goes on until the next one begins."""
+        if not self.inked or "item" in self.stack:
+            return
+        self.lines.append(self.marked)
+        if self.stack and self.stack[-1] == "sentence":
+            self.stack.pop()
+        self.inked = self.marked = False
+
+    def breaks_off(self) -> bool:
+        if not self.wholes or not self.stack:
+            return False
+        open_ = [x for x in self.stack if x not in ("item", "sentence")]
+        if open_:
+            return True
+        if not self.unfinished:  # an entry that was opened but holds nothing
+            return self.stack[-1] == "item" and not self.inked and bool(self.entries)
+        if "item" in self.stack:  # entries need no end mark where others have none
+            return all(self.entries)
+        # Nor do lines of verse or of an address.
+        return not (len(self.lines) > 2 and sum(self.lines) < 0.3 * len(self.lines))
+
 
+def breaks_off(text: str) -> bool:
+    """Whether the stack of the pushdown parser is left with something that wants closing, after a whole sentence."""
+    return Pushdown(_strip_tail(text.rstrip("\u200b\ufeff \t\r\n"))).breaks_off()
+
+
+#: A source or signature behind the last sentence, and closing markup, emphasis and emoji; both are sought from the end.
+_SIGNED = regex.compile(r"(?<=[.!?।॥…][\"'”’)\]]*)\s*(?:[\[(][^\[\]()]{1,40}[\])]|[–—\-~]\s*[\p{L}\p{M}\p{N} .]{1,40})\s*$", regex.R)
+_DRESSED = regex.compile(r"(?:</?[A-Za-z][^<>]*>|\*+|_+|`+|[\p{So}\p{Sk}\p{Cf}\p{M}&&[^\p{Tamil}\p{Devanagari}\p{Telugu}]]|\s)+$", regex.V1 | regex.R)
 
-def _strip_tail(line: str) -> str:
-    """Without closing markup, emphasis and emoji behind the text."""
-    line = regex.sub(r"(?<=[.!?।॥…][\"'”’)\]]*)\s*(?:[\[(][^\[\]()]{1,40}[\])]|[–—\-~]\s*[\p{L}\p{M}\p{N} .]{1,40})\s*$", "", line)  # a source or signature
-    got = regex.sub(r"(?:</?[A-Za-z][^<>]*>|\*+|_+|`+|[\p{So}\p{Sk}\p{Cf}\p{M}&&[^\p{Tamil}\p{Devanagari}\p{Telugu}]]|\s)+$", "", line, flags=regex.V1)
-    return got or line
+
+def _strip_tail(text: str) -> str:
+    signed = _SIGNED.search(text)
+    rest = text[: signed.start()] if signed else text
+    dressed = _DRESSED.search(rest)
+    return (rest[: dressed.start()] if dressed else rest) or rest
 
 
 # --- refusals: openers, cores and closers; a refusal has a core and little besides them -------------------------------
@@ -125,6 +213,7 @@ _CORES = (
     r"(?:இயலாது|முடியாது|முடியவில்லை|இயலவில்லை|மாட்டேன்|மறுக்கிறேன்|இடம் தரவில்லை|அனுமதி இல்லை|அனுமதியில்லை|தவிர்க்க விரும்புகிறேன்|கூடாது|விரும்பவில்லை)\s*[.!]?\s*$",
     r"\b(?:help|badhil|bathil|udhavi|uthavi|padhil|sol+a|sollavo|pesa|ezhudha|eludha|ezhutha|answer)\b[^.!?]*\b(?:mudiyadhu|mudiyathu|mudiyala|maaten|maatten|koodadhu|koodathu|radhu illa|anumathi illa|virumbala)\b", r"\b(?:anumathi illa|anumadhi illa|badhil solradhu illa|vendam, naan badhil)\b", r"\bnaan\b[^.!?]*\b(?:maaten|maatten|koodadhu|solradhu illa)\b",
 )
+_STOP = r"(?=[.!?।…;\n\"“”«»]|$)"
 _CLOSERS = r"""
 (?:please (?:ask|try)[^.!?]*|is there (?:another|anything|something)[^.!?]*|i hope you understand|a specialist[^.!?]*|you (?:may|might|could) (?:want|wish|ask|try|consult)[^.!?]*|let me know[^.!?]*|feel free[^.!?]*|
 வேறு [^.!?]*கேளுங்கள்|புரிந்துகொள்வீர்கள்[^.!?]*|ஒரு வல்லுநரை[^.!?]*|நன்றி|
@@ -133,14 +222,19 @@ vera [^.!?]*(?:kelunga|kekalaam)|purinjukonga|theriynja[^.!?]*kelunga|therinja[^
 OPENER = regex.compile(r"^\W*" + _OPENERS.replace("\n", "") + r"\W*", regex.I)
 CLOSER = regex.compile(r"^\W*" + _CLOSERS.replace("\n", "") + r"\W*$", regex.I)
 CORE = regex.compile("|".join(f"(?:{c})" for c in _CORES), regex.I)
+#: Some core anywhere in a text: the same alternatives, ends of sentences included.
+ANY_CORE = regex.compile("|".join(f"(?:{c.replace('$', _STOP)})" for c in _CORES), regex.I)
+_UNSEEN = regex.compile(r"[\u200b-\u200f\ufeff]")
 _QUOTED = regex.compile(r"[“\"«][^”\"»]*[”\"»]")
 _SENTENCES = regex.compile(r"(?<=[.!?।…])\s+|\n+|;\s+")
 
 
 def is_refusal(output: str) -> bool:
     """A core outside quotations, and no more than one other sentence that is neither opener, core nor closer."""
-    text = _QUOTED.sub(" ", output.replace("’", "'").replace("‘", "'"))
-    text = regex.sub(r"[​-‏﻿]", "", text).strip()
+    text = _UNSEEN.sub("", output.replace("’", "'").replace("‘", "'"))
+    if not ANY_CORE.search(text):
+        return False
+    text = _QUOTED.sub(" ", text).strip()
     cores = others = other_words = 0
     for s in _SENTENCES.split(text):
         if not s or not tokens(s):
@@ -181,12 +275,58 @@ def whole_runs(pattern: list[str], text: list[str]) -> list[int]:
     return out
 
 
+def common_runs(pattern: list[str], text: list[str]) -> list[tuple[int, int, int]]:
+    """(length, start in the text, start in the pattern) of the common runs that can't be extended, in linear time.
+
+    A suffix automaton of the pattern reads the text; where the longest match that ends at a word doesn't go on, it is
+    such a run.  Every other common run is part of one of them.
+    """
+    nxt, link, length, end, last = [{}], [-1], [0], [0], 0
+    for i, w in enumerate(pattern):
+        cur = len(nxt)
+        nxt.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(i)
+        p = last
+        while p >= 0 and w not in nxt[p]:
+            nxt[p][w] = cur
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][w]
+            if length[q] != length[p] + 1:
+                twin = len(nxt)
+                nxt.append(dict(nxt[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and nxt[p].get(w) == q:
+                    nxt[p][w] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+            else:
+                link[cur] = q
+        last = cur
+    out, state, n = [], 0, 0
+    for j, w in enumerate(text):
+        if n and w not in nxt[state]:
+            out.append((n, j - n, end[state] - n + 1))
+        while state and w not in nxt[state]:
+            state = link[state]
+            n = length[state]
+        to = nxt[state].get(w)
+        state, n = (to, n + 1) if to is not None else (0, 0)
+    if n:
+        out.append((n, len(text) - n, end[state] - n + 1))
+    return out
+
+
 def tiling(pattern: list[str], text: list[str], least: int = 3) -> tuple[int, int]:
     """(tokens of the text covered, tokens of the pattern used) by maximal common runs, longest first.
 
     A token of the text is tiled once; tokens of the pattern may serve again, since copies may be repeated.  Whole
     patterns are the longest runs there can be, so they are taken first; the other runs wait in a heap and are cut
-    where tiles have been laid since.  Texts of any length are tiled.
+    where tiles have been laid since.  Texts of any length are tiled, in time near to their length.
     """
     free, used, covered, size = bytearray(b"\1" * len(text)), bytearray(len(pattern)), 0, len(pattern)
     for j in whole_runs(pattern, text):
@@ -194,21 +334,7 @@ def tiling(pattern: list[str], text: list[str], least: int = 3) -> tuple[int, in
         used[:] = b"\1" * size
         covered += size
     least = max(1, min(least, size))
-    starts: dict[str, list[int]] = {}
-    for i, w in enumerate(pattern):
-        starts.setdefault(w, []).append(i)
-    heap: list[tuple[int, int, int]] = []
-    for j, w in enumerate(text):
-        if not free[j]:
-            continue
-        for i in starts.get(w, ()):
-            if i and j and free[j - 1] and pattern[i - 1] == text[j - 1]:
-                continue  # part of a longer run that begins further left
-            n = 1
-            while i + n < size and j + n < len(text) and free[j + n] and pattern[i + n] == text[j + n]:
-                n += 1
-            if n >= least:
-                heap.append((-n, j, i))
+    heap = [(-n, j, i) for n, j, i in common_runs(pattern, text) if n >= least]
     heapq.heapify(heap)
     while heap:
         n, j, i = heapq.heappop(heap)
@@ -219,7 +345,7 @@ def tiling(pattern: list[str], text: list[str], least: int = 3) -> tuple[int, in
             used[i : i + n] = b"\1" * n
             covered += n
             continue
-        at, end = j, j + n
+        at, end = free.find(1, j, j + n), j + n
         while 0 <= at < end:  # what is left of the run between the tiles
             stop = free.find(0, at, end)
             stop = end if stop < 0 else stop
@@ -229,19 +355,21 @@ def tiling(pattern: list[str], text: list[str], least: int = 3) -> tuple[int, in
     return covered, sum(used)
 
 
-LABEL_WORDS = 4
+LABEL_WORDS, FEW_LETTERS = 4, 16
 SURE = 0.88  # confidence from which the language of words in Latin letters counts; lists of names stay below
 
 
-def is_copy(instruction: str | None, output: str, keep_text: bool) -> bool:
-    """keep_text: the instruction asks for its text back (a correction), so only the order itself can be copied."""
-    p, t = tokens(instruction), tokens(_TAG.sub(" ", output))
-    if not p or not t or keep_text:
+def is_copy(p: list[str], t: list[str]) -> bool:
+    """Whether the tokens t of an output give back the tokens p of its instruction, and little else."""
+    if not p or not t:
         return False
-    have, known = set(t), set(p)
+    known = set(p)
     spare = max(LABEL_WORDS, 0.15 * len(t))
     # Neither bound can be missed by a copy: words of the one that the other hasn't are never tiled.
-    if sum(w in have for w in p) < 0.75 * len(p) or sum(w not in known for w in t) > spare:
+    if sum(w not in known for w in t) > spare:
+        return False
+    have = set(t)
+    if sum(w in have for w in p) < 0.75 * len(p):
         return False
     covered, used = tiling(p, t, 2)
     return used >= 0.75 * len(p) and len(t) - covered <= spare
@@ -267,8 +395,7 @@ PORTUGUESE = frozenset("o os um uma não são está até e em para com que este
 _CORRECTION = regex.compile(r"correct|spelling|mistake|எழுத்துப்பிழை|திருத்து|thirut", regex.I)
 
 
-def _other_language(text: str) -> str:
-    script = prose.script(text)
+def _other_language(text: str, script: str) -> str:
     for name, s in SCRIPT_OF.items():
         if script == s:
             return name
@@ -278,20 +405,20 @@ def _other_language(text: str) -> str:
     return best if counts[best] else "other"
 
 
-def spoken(model: language.LanguageModel, text: str | None, sure: float = 0.0) -> str | None:
+def spoken(model: language.LanguageModel, text: str | None, script: str, sure: float = 0.0) -> str | None:
     """tamil (either script, and Tamil mixed with English), english, hindi, german, ...; None without words, or where
     Latin words leave the language less sure than ``sure``."""
     got = language.document_language(model, text)
     n = sum(got["letters"])
     if n < 3 or n < 0.25 * got["visible"]:
         return None
-    if got["confidence"] < sure and prose.script(text) == "LATIN":
+    if got["confidence"] < sure and script == "LATIN":
         return None
     ta, tg, en, other = (x / n for x in got["letters"])
     best = max(("tamil", ta + tg), ("english", en), ("other", other), key=lambda x: x[1])[0]
     if got["lang"] == "code_mixed" and best == "english" and ta + tg >= 0.2:
         best = "tamil"
-    return _other_language(text) if best == "other" else best
+    return _other_language(text, script) if best == "other" else best
 
 
 def asked_language(instruction: str) -> str | None:
@@ -301,18 +428,25 @@ def asked_language(instruction: str) -> str | None:
     return None
 
 
-def wrong_language(model: language.LanguageModel, instruction: str | None, output: str, sure: float = SURE) -> bool:
+def wrong_language(model: language.LanguageModel, instruction: str | None, output: str, sure: float = SURE, words: list[str] | None = None) -> bool:
+    """words: tokens of the instruction, where they are known already."""
     if not instruction or not instruction.strip():
         return False
     asked = asked_language(instruction)
-    want = asked or spoken(model, instruction, SURE)
+    written = prose.script(instruction)
+    want = asked or spoken(model, instruction, written, SURE)
+    if want is None:
+        return False
     # Names have no language: words taken over from the instruction count only if nothing else is there.
-    named = {w for w in tokens(instruction) if len(w) > 4} if not asked else set()
-    own = " ".join(w for w in regex.split(r"\s+", output) if not (set(tokens(w)) & named and len(tokens(w)) == 1))
-    have = spoken(model, own, sure if not asked and prose.script(instruction) == "LATIN" else 0.0)
-    if have and not asked and prose.script(own) == prose.script(instruction) == "LATIN" and sum(map(len, tokens(own))) < 16:
-        return False  # too few letters to tell languages of one script
-    return want is not None and have is not None and want != have
+    named = set() if asked else {w for w in (tokens(instruction) if words is None else words) if len(w) > 4}
+    own = " ".join([w for w in output.split() if token_of(w) not in named]) if named else output
+    script = prose.script(own)
+    latin = not asked and written == "LATIN"
+    have = spoken(model, own, script, sure if latin else 0.0)
+    if have is None or have == want:
+        return False
+    # Too few letters tell no languages of one script apart.
+    return not (latin and script == "LATIN" and sum(map(len, tokens(own))) < FEW_LETTERS)
 
 
 def defects(model: language.LanguageModel, instruction: str | None, output: str | None) -> list[str]:
@@ -320,15 +454,16 @@ def defects(model: language.LanguageModel, instruction: str | None, output: str
         return ["empty"]
     out = []
     correction = bool(instruction and _CORRECTION.search(instruction))
+    asked, given = tokens(instruction), tokens(_TAG.sub(" ", output))
     refusal = is_refusal(output)
-    copy = is_copy(instruction, output, False)
+    copy = is_copy(asked, given)
     if not refusal and not copy and breaks_off(output):
         out.append("truncated")
     if refusal:
         out.append("refusal")
     if copy:
         out.append("copy")
-    if not (correction and copy) and wrong_language(model, instruction, output, 0.0 if refusal else SURE):
+    if not (correction and copy) and wrong_language(model, instruction, output, 0.0 if refusal else SURE, asked):
         out.append("wrong_language")
     return out
 

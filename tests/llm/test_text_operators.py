@@ -195,12 +195,36 @@ def test_tiling_as_by_trying():
 
 
 @pytest.mark.parametrize("times", [10, 2000])
-def test_copies_repeated_many_times(times):
+def test_copies_repeated_many_times(model, times):
     order = "Tell me what the old lamp of the town by the sea was"
     assert len(defects.tokens(order)) == 13
-    assert defects.is_copy(order, f"{order}. " * times, False)
-    assert defects.is_copy(order, f"{order.replace('old', 'new')}. " * times, False)
-    assert not defects.is_copy(order, f"{order}. " + "The lamp stood near a harbour and burned all night. " * times, False)
+    copied = lambda output: defects.is_copy(defects.tokens(order), defects.tokens(output))
+    assert copied(f"{order}. " * times) and copied(f"{order.replace('old', 'new')}. " * times)
+    assert not copied(f"{order}. " + "The lamp stood near a harbour and burned all night. " * times)
+    assert defects.defects(model, order, f"{order}. " * times) == ["copy"]
+
+
+@pytest.mark.parametrize(
+    ("tail", "off"),
+    [
+        ("It follows from (see the list.", True), ('She said "we will leave now.', True), ("<table><tr><td>cell one.", True), ('{"k": [1, 2.', True), ("She went to the", True),
+        ("The rest:\n```python\nx = (1", True), ("\n1. One is here.\n2. Two is here.\n3. ", True), ("\n1. One is here.\n2. Two is", True), ("\n- a lamp\n- a b\n- c", False),
+        ("She left. [52]", False), ('She said "we will leave now."', False), ('He asked "why?" and then left.', False), ("It is 5\" wide.", False), ("Fine :)", True), ("All is well. :)", False),
+        ("The rest:\n```python\nx = (1\n```", True), ("Done.\n```python\nx = (1\n```\n", False), ("Line <br> two <b>is</b> here.", False), ("a) one.", False), ("\n“One.\n\n“Two.”", False), ("It’s done.", False),
+    ],
+)
+def test_what_is_left_on_the_stack(tail, off):
+    assert defects.breaks_off("He came home. " + tail) is off
+
+
+def test_breaks_without_a_whole_sentence_before():
+    for tail in ("It follows from (see the list", "She said", "- a lamp\n- a", '{"k": [1, 2', "```python\nx = 1"):
+        assert not defects.breaks_off(tail)
+
+
+def test_ends_that_are_none():
+    for text in ("Dr. Smith", "4.", "", "12", "A. B. Smith", "verse one\nverse two\nverse three\nverse. four\nverse five"):
+        assert not defects.breaks_off(text)
 
 
 def test_pairs_take_the_latest_row(spark, samples):
