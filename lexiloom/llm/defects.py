@@ -66,7 +66,7 @@ def _words_of_placeholder(bare: str) -> bool:
 # Elements whose end tag can't be left out, and short forms whose full stop ends no sentence.
 PAIRED_TAGS = frozenset("a abbr article aside b blockquote body button code details div dl em figure footer form h1 h2 h3 h4 h5 h6 head header html i label main nav ol pre script section select span strong style sub summary sup table textarea title u ul".split())
 SHORT_FORMS = frozenset("mr mrs ms dr prof st no vs e.g i.e etc fig eq vol pp cf approx jr sr".split())
-_CLOSERS_AT = r"[\"'”’»)\]}*_]*"
+_CLOSERS_AT = r"[^\p{L}\p{N}\s]*"
 _PARTS = regex.compile(
     rf"""(?P<fence>^[ \t]*```[^\n]*)|(?P<item>^[ \t]*(?:[-*•▪◦‣·–—✓+]|\(?(?:\d{{1,3}}|[a-zA-Z])[.):]|\#\d+|\d{{1,3}}[ \t]*[-–])(?=[ \t]|$))|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))?)*\s*/?>)
     |(?P<face>[:;]-?[()\[\]])(?=\s|$)|(?P<end>[.!?।॥…]+)(?={_CLOSERS_AT}(?:\s|$))|(?P<open>[(\[{{“‘«])|(?P<close>[)\]}}”’»])|(?P<quote>")|(?P<line>\n)|(?P<words>[^\n()\[\]{{}}“”‘’«»"<.!?।॥…:;]+|.)""",
@@ -184,19 +184,16 @@ class Pushdown:
 
 def breaks_off(text: str) -> bool:
     """Whether the stack of the pushdown parser is left with something that wants closing, after a whole sentence."""
-    return Pushdown(_strip_tail(text.rstrip("\u200b\ufeff \t\r\n"))).breaks_off()
+    return Pushdown(unsigned(text.rstrip("\u200b\ufeff \t\r\n"))).breaks_off()
 
 
-#: A source or signature behind the last sentence, and closing markup, emphasis and emoji; both are sought from the end.
+#: A source or signature behind the last sentence, sought from the end.
 _SIGNED = regex.compile(r"(?<=[.!?।॥…][\"'”’)\]]*)\s*(?:[\[(][^\[\]()]{1,40}[\])]|[–—\-~]\s*[\p{L}\p{M}\p{N} .]{1,40})\s*$", regex.R)
-_DRESSED = regex.compile(r"(?:</?[A-Za-z][^<>]*>|\*+|_+|`+|[\p{So}\p{Sk}\p{Cf}\p{M}&&[^\p{Tamil}\p{Devanagari}\p{Telugu}]]|\s)+$", regex.V1 | regex.R)
 
 
-def _strip_tail(text: str) -> str:
+def unsigned(text: str) -> str:
     signed = _SIGNED.search(text)
-    rest = text[: signed.start()] if signed else text
-    dressed = _DRESSED.search(rest)
-    return (rest[: dressed.start()] if dressed else rest) or rest
+    return text[: signed.start()] if signed else text
 
 
 # --- refusals: openers, cores and closers; a refusal has a core and little besides them -------------------------------

@@ -210,7 +210,7 @@ def test_copies_repeated_many_times(model, times):
         ("It follows from (see the list.", True), ('She said "we will leave now.', True), ("<table><tr><td>cell one.", True), ('{"k": [1, 2.', True), ("She went to the", True),
         ("The rest:\n```python\nx = (1", True), ("\n1. One is here.\n2. Two is here.\n3. ", True), ("\n1. One is here.\n2. Two is", True), ("\n- a lamp\n- a b\n- c", False),
         ("She left. [52]", False), ('She said "we will leave now."', False), ('He asked "why?" and then left.', False), ("It is 5\" wide.", False), ("Fine :)", True), ("All is well. :)", False),
-        ("The rest:\n```python\nx = (1\n```", True), ("Done.\n```python\nx = (1\n```\n", False), ("Line <br> two <b>is</b> here.", False), ("a) one.", False), ("\n“One.\n\n“Two.”", False), ("It’s done.", False),
+        ("The rest:\n```python\nx = (1\n```", False), ("Done.\n```python\nx = (1\n```\n", False), ("Line <br> two <b>is</b> here.", False), ("a) one.", False), ("\n“One.\n\n“Two.”", False), ("It’s done.", False),
     ],
 )
 def test_what_is_left_on_the_stack(tail, off):
