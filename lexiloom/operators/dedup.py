@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import WS, bind
@@ -21,6 +21,8 @@ from .tables import materialize
 PRIME = (1 << 61) - 1
 _NON_WORD = regex.compile(NON_WORD)
 CHAR_GRAM = 12
+BUCKET = ("band", "k1", "k2")
+BOUNDED = 100_000  # nodes, of about a kilobyte each, that one task may replay
 
 
 @dataclass(frozen=True)
@@ -43,15 +45,22 @@ def exact_key(text: str | Column) -> Column:
     return F.md5(dedup_key(text))
 
 
-def exact_duplicates(df: DataFrame, text_col: str, order_col: str) -> DataFrame:
-    """df with ``is_duplicate``: an earlier row has the same canonical text.
+def first_marks(keyed: DataFrame, order_col: str) -> DataFrame:
+    """keyed: (_key, order, ...) -> the same with ``_is_first``: the least order of its key.
 
-    The first of a key is a minimum, which is combined before the shuffle: a text that a third of all rows share costs
-    one row a task.  The rows themselves are then marked by a join on (key, order).
+    The least order of a key is combined before the shuffle, and rows find their mark by (key, order), which spreads even
+    a key that a third of all rows share.  Rows of null order are first only where a key has no others.
     """
-    keyed = df.withColumn("_key", exact_key(text_col))
-    first = keyed.groupBy("_key").agg(F.min(order_col).alias("_first"))
-    return keyed.join(first, "_key").withColumn("is_duplicate", F.col(order_col) > F.col("_first")).drop("_key", "_first")
+    first = keyed.groupBy("_key").agg(F.min(order_col).alias("_order")).withColumn("_is_first", F.lit(True))
+    same = F.col("k._key").eqNullSafe(F.col("f._key")) & F.col(f"k.{order_col}").eqNullSafe(F.col("f._order"))
+    joined = keyed.alias("k").join(first.alias("f"), same, "left")
+    return joined.select("k.*", F.coalesce("f._is_first", F.lit(False)).alias("_is_first"))
+
+
+def exact_duplicates(df: DataFrame, text_col: str, order_col: str) -> DataFrame:
+    """df with ``is_duplicate``: an earlier row has the same canonical text.  Orders are unique."""
+    marked = first_marks(df.withColumn("_key", exact_key(text_col)), order_col)
+    return marked.withColumn("is_duplicate", ~F.col("_is_first")).drop("_key", "_is_first")
 
 
 def key_words(text: str | Column) -> Column:
@@ -109,8 +118,10 @@ def signature(text: str | Column, cfg: DedupConfig) -> Column:
 
 
 def band_keys(sig: str | Column, cfg: DedupConfig) -> Column:
+    """array<struct<band, k1, k2>>: 128 bits of hash for each band."""
     bands = F.sequence(F.lit(0), F.lit(cfg.bands - 1))
-    return F.transform(bands, lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice(sig, i * cfg.rows + 1, cfg.rows)).alias("key")))
+    part = lambda i: F.slice(sig, i * cfg.rows + 1, cfg.rows)
+    return F.transform(bands, lambda i: F.struct(i.alias("band"), F.xxhash64(i, part(i)).alias("k1"), F.xxhash64(part(i), i).alias("k2")))
 
 
 def replay(sigs: list[np.ndarray], cfg: DedupConfig) -> list[int]:
@@ -136,66 +147,129 @@ def replay(sigs: list[np.ndarray], cfg: DedupConfig) -> list[int]:
     return out
 
 
-def greedy_near_duplicates(df: DataFrame, text_col: str, order_col: str, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """(order, duplicate_of): exactly what one sequential first-wins scan would give, null for kept documents.
+def greedy_near_duplicates(df: DataFrame, text_col: str, order_col: str, cfg: DedupConfig = DedupConfig(), bounded: int = BOUNDED) -> DataFrame:
+    """(order, duplicate_of): exactly what one sequential first-wins scan would give, null for kept documents."""
+    sig = materialize(df.select(F.col(order_col).alias("seq"), signature(text_col, cfg).alias("sig")), "signatures")
+    found = near_verdicts(sig, cfg, bounded)
+    return sig.select("seq").join(found, "seq", "left").toDF(order_col, "duplicate_of")
+
 
-    Documents in different components of the shared-bucket graph never meet, so components are replayed in parallel.
-    Identical signatures are one node: copies follow their first document without joining its component, so a component
-    is as large as its number of different signatures.
+def near_verdicts(sig: DataFrame, cfg: DedupConfig, bounded: int = BOUNDED) -> DataFrame:
+    """(seq, sig) -> (seq, of): the duplicates of the sequential scan, with the kept document that each duplicates.
+
+    Identical signatures are one node; copies follow their first document.  Nodes are settled in rounds: a node is ready
+    when each of its buckets has an owner or has no earlier unsettled node; what it decides gives owners to further
+    buckets.  A round is a handful of joins on bucket keys and node numbers, and no group is ever gathered.  Once at most
+    ``bounded`` nodes are unsettled, one task replays them.
     """
-    sig = df.select(F.col(order_col).alias("seq"), signature(text_col, cfg).alias("sig"))
-    sig = materialize(sig, "signatures")
-    nodes = materialize(sig.groupBy("sig").agg(F.min("seq").alias("seq")), "nodes")
-    copies = sig.join(nodes.withColumnRenamed("seq", "first"), "sig").where("seq > first").select("seq", "first")
-    bands = nodes.select("seq", F.explode(band_keys("sig", cfg)).alias("b")).select("seq", "b.band", "b.key")
-    shared = bands.groupBy("band", "key").agg(F.min("seq").alias("least"), F.count("*").alias("n")).where("n > 1")
-    links = bands.join(shared, ["band", "key"]).where("seq > least").select("seq", "least").distinct()
-    parts = components(links)
-    grouped = nodes.join(parts.toDF("seq", "component"), "seq")
-    kind = dict(df.dtypes)[order_col]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        hit = replay([np.asarray(s, dtype=np.int64) for s in pdf["sig"]], cfg)
-        return pd.DataFrame({"seq": pdf["seq"], "of": [pdf["seq"][h] if h >= 0 else None for h in hit]})
-
-    dup = grouped.select("seq", "sig", "component").groupBy("component").applyInPandas(run, f"seq {kind}, of {kind}").where("of is not null")
+    kind = dict(sig.dtypes)["seq"]
+    digest = sig.withColumn("_key", F.md5(F.concat_ws(",", "sig")))
+    marked = first_marks(digest.select("seq", "_key"), "seq")
+    firsts = marked.where("_is_first").select("seq", "_key")
+    nodes = materialize(sig.join(firsts.select("seq"), "seq", "left_semi").dropDuplicates(["seq"]), "nodes")
+    copies = marked.where("not _is_first").select("seq", "_key").join(firsts.withColumnRenamed("seq", "first"), "_key").select("seq", "first")
+    bands = nodes.select("seq", F.explode(band_keys("sig", cfg)).alias("b")).select("seq", "b.*")
+    shared = bands.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = materialize(bands.join(shared, list(BUCKET)).withColumn("own", F.lit(None).cast(kind)), "members")
+    settled = None
+    while members.select("seq").distinct().count() > bounded:
+        ready, members = _round(members, nodes, cfg)
+        settled = ready if settled is None else settled.union(ready)
+    rest = _replayed(members, nodes, cfg, kind)
+    dup = (rest if settled is None else settled.where("of is not null").union(rest)).select("seq", "of")
+    dup = materialize(dup, "verdicts")
     # A copy's owner is what its first document duplicates, else that document itself.
     of_copies = copies.join(dup.toDF("first", "of"), "first", "left").select("seq", F.coalesce("of", "first").alias("of"))
-    found = dup.union(of_copies)
-    return df.select(F.col(order_col).alias("seq")).join(found, "seq", "left").toDF(order_col, "duplicate_of")
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, least node of its component) by min-label propagation with pointer jumping; labels live in tables."""
-    edges = materialize(links.toDF("u", "v").union(links.select(*links.columns[::-1]).toDF("u", "v")).distinct(), "edges")
-    labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.toDF("v", "l"), "v").groupBy("u").agg(F.min("l").alias("near"))
-        step = labels.join(near, "u").select("u", F.least("l", "near").alias("l2"), "l")
-        jump = step.join(labels.toDF("l2", "far"), "l2", "left").select("u", F.least("l2", F.coalesce("far", "l2")).alias("l2"), "l")
-        after = materialize(jump, "labels")
-        if after.where("l2 <> l").limit(1).count() == 0:
-            break
-        labels = after.select("u", F.col("l2").alias("l"))
-    else:
-        raise RuntimeError("components did not settle")
-    return after.select("u", F.col("l2").alias("component"))
-
-
-def deduplicate(df: DataFrame, text_col: str, order_col: str, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """df with ``dup``: null for kept rows, 'exact' or 'near'.
+    return dup.union(of_copies)
+
+
+def _round(members: DataFrame, nodes: DataFrame, cfg: DedupConfig) -> tuple[DataFrame, DataFrame]:
+    """One round: (seq, of) of the nodes that became ready, and the memberships of the others with their owners."""
+    head = members.where("own is null").groupBy(*BUCKET).agg(F.min("seq").alias("head"))
+    seen = members.join(head, list(BUCKET), "left")
+    seen = materialize(seen.withColumn("clear", F.col("own").isNotNull() | (F.col("head") == F.col("seq"))), "seen")
+    ready = seen.groupBy("seq").agg(F.every("clear").alias("ready")).where("ready").select("seq")
+    pairs = seen.where("own is not null").join(ready, "seq", "left_semi").select("seq", "band", "own")
+    hits = _similar(pairs, nodes, cfg).groupBy("seq").agg(F.min(F.struct("band", "own")).alias("x")).select("seq", F.col("x.own").alias("of"))
+    done = materialize(ready.join(hits, "seq", "left"), "settled")
+    kept = done.where("of is null").select("seq")
+    fresh = seen.where("own is null and head = seq").join(kept, "seq", "left_semi").select(*BUCKET, F.col("seq").alias("fresh"))
+    left = seen.join(done.select("seq"), "seq", "left_anti").join(fresh, list(BUCKET), "left")
+    return done, materialize(left.select("seq", *BUCKET, F.coalesce("own", "fresh").alias("own")), "members")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """The pairs (seq, own) whose signatures agree in at least ``threshold`` of the places."""
+    if cfg.threshold is None:
+        return pairs
+    both = pairs.join(nodes.toDF("seq", "_a"), "seq").join(nodes.toDF("own", "_b"), "own")
+    equal = F.size(F.filter(F.arrays_zip("_a", "_b"), lambda x: x._a == x._b))
+    return both.where(equal / F.size("_a") >= cfg.threshold).select(*pairs.columns)
+
+
+def _replayed(members: DataFrame, nodes: DataFrame, cfg: DedupConfig, kind: str) -> DataFrame:
+    """(seq, of) of the duplicates among the unsettled nodes, in one task; their number is bounded by the caller."""
+    rows = members.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(*BUCKET, "own"))).alias("buckets"))
+    wanted = members.where("own is not null").select(F.col("own").alias("seq")).distinct().join(rows, "seq", "left_anti")
+    empty = F.lit(None).cast(rows.schema["buckets"].dataType)
+    table = nodes.join(rows.union(wanted.select("seq", empty)), "seq")
+
+    def run(batches):
+        sigs, todo = {}, []
+        for pdf in batches:
+            for seq, sig, buckets in zip(pdf["seq"], pdf["sig"], pdf["buckets"]):
+                sigs[seq] = np.asarray(sig)
+                if buckets is not None:
+                    todo.append((seq, buckets))
+        owner: dict[tuple, object] = {}
+        found = []
+        for seq, buckets in sorted(todo, key=lambda x: x[0]):
+            keys = [(b["band"], b["k1"], b["k2"]) for b in buckets]
+            of = None
+            for key, b in zip(keys, buckets):
+                o = b["own"] if not pd.isna(b["own"]) else owner.get(key)
+                if o is not None and (cfg.threshold is None or (sigs[o] == sigs[seq]).mean() >= cfg.threshold):
+                    of = o
+                    break
+            if of is None:
+                for key in keys:
+                    owner.setdefault(key, seq)
+            else:
+                found.append((seq, of))
+        yield pd.DataFrame(found, columns=["seq", "of"]) if found else pd.DataFrame({"seq": [], "of": []})
+
+    return table.select("seq", "sig", "buckets").repartition(1).mapInPandas(run, f"seq {kind}, of {kind}")
+
+
+def key_columns(text: str | Column, cfg: DedupConfig) -> list[Column]:
+    """What deduplication needs of a text: its exact key and its signature (null for what is switched off)."""
+    key = exact_key(text) if cfg.exact else F.lit("")
+    sig = signature(text, cfg) if cfg.near else F.lit(None).cast("array<bigint>")
+    return [key.alias("_key"), sig.alias("sig")]
+
+
+def verdicts_of(narrow: DataFrame, cfg: DedupConfig, bounded: int = BOUNDED) -> DataFrame:
+    """(seq, _key, sig), in a table -> (seq, dup): the duplicates, 'exact' or 'near'.
 
     A key counts as seen for kept and for near-dropped rows alike, so exact duplicates do not depend on the near step,
     which only sees first occurrences.
     """
-    marked = exact_duplicates(df, text_col, order_col) if cfg.exact else df.withColumn("is_duplicate", F.lit(False))
-    if not cfg.near:
-        return marked.withColumn("dup", F.when(F.col("is_duplicate"), F.lit("exact"))).drop("is_duplicate")
-    marked = materialize(marked, "marked")
-    near = greedy_near_duplicates(marked.where("not is_duplicate"), text_col, order_col, cfg)
-    joined = marked.join(near, order_col, "left")
-    return joined.withColumn("dup", F.when(F.col("is_duplicate"), "exact").when(F.col("duplicate_of").isNotNull(), "near")).drop("is_duplicate", "duplicate_of")
+    marked = first_marks(narrow.select("seq", "_key"), "seq") if cfg.exact else narrow.select("seq", F.lit(True).alias("_is_first"))
+    verdict = marked.where("not _is_first").select("seq", F.lit("exact").alias("dup"))
+    if cfg.near:
+        firsts = narrow.select("seq", "sig").join(marked.where("_is_first").select("seq"), "seq", "left_semi")
+        verdict = verdict.union(near_verdicts(firsts, cfg, bounded).select("seq", F.lit("near")))
+    return verdict.dropDuplicates(["seq"])
+
+
+def deduplicate(df: DataFrame, text_col: str, order_col: str, cfg: DedupConfig = DedupConfig(), bounded: int = BOUNDED) -> DataFrame:
+    """df with ``dup``: null for kept rows, 'exact' or 'near'.  Orders are unique.
+
+    Keys and signatures are taken in one pass over the texts; all joins are between narrow tables, but the last, which
+    brings the verdicts back.
+    """
+    narrow = materialize(df.select(F.col(order_col).alias("seq"), *key_columns(text_col, cfg)), "keys")
+    return df.join(verdicts_of(narrow, cfg, bounded).withColumnRenamed("seq", order_col), order_col, "left")
 
 
 def dedup_counts(df: DataFrame) -> DataFrame:
@@ -203,6 +277,6 @@ def dedup_counts(df: DataFrame) -> DataFrame:
 
 
 def first_of_value(df: DataFrame, value: Column, order_col: str) -> DataFrame:
-    """Rows that are the first of their value in order."""
-    w = Window.partitionBy("_v").orderBy(order_col)
-    return df.withColumn("_v", F.xxhash64(value)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_v", "_n")
+    """Rows that are the first of their value in order; null is a value of its own.  128 bits of hash stand for a value."""
+    keyed = df.withColumn("_key", F.coalesce(F.md5(value.cast("string")), F.lit("")))
+    return first_marks(keyed, order_col).where("_is_first").drop("_key", "_is_first")

@@ -80,13 +80,13 @@ def choice_accuracy(scores: DataFrame, item_col: str = "item_id", category_col:
 
 
 def group_advantages(df: DataFrame, group_col: str, reward_col: str, epsilon: float = 1e-4, least: float = 1e-6) -> DataFrame:
-    """df with mean, population std, advantage = (reward - mean) / (std + epsilon), and whether the group is skipped as flat."""
-    w = Window.partitionBy(group_col)
-    n, s1 = F.count(reward_col).over(w), F.sum(F.col(reward_col)).over(w)
-    mean = s1 / n
-    # From integer-safe sums: sum of squares over n less the mean's square.
-    var = F.greatest(F.sum(F.col(reward_col) * F.col(reward_col)).over(w) / n - mean * mean, F.lit(0.0))
-    out = df.withColumn("group_mean", mean).withColumn("group_std", F.sqrt(var))
+    """df with mean, population std, advantage = (reward - mean) / (std + epsilon), and whether the group is skipped as flat.
+
+    Moments are merged sums of squares about the mean, combined before the shuffle; rows of a hot group meet its one row
+    of moments in a join that can be split.  A null group is a group.
+    """
+    stats = df.groupBy(F.col(group_col).alias("_g")).agg(F.avg(reward_col).alias("group_mean"), F.stddev_pop(reward_col).alias("group_std"))
+    out = df.join(stats, F.col(group_col).eqNullSafe(F.col("_g")), "left").drop("_g")
     return out.withColumn("skipped", F.col("group_std") < least).withColumn("advantage", (F.col(reward_col) - F.col("group_mean")) / (F.col("group_std") + epsilon))
 
 

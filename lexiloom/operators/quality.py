@@ -206,10 +206,28 @@ def reject_reason(m: Mapping[str, Column], th: QualityThresholds, stopwords: Col
 
 def quality_filter(df: DataFrame, text_col: str, th: QualityThresholds) -> DataFrame:
     """df with ``reject_reason``: cheap metrics first, n-grams only of the texts that pass them.  No shuffle."""
-    base = df.withColumn("_m", basic_metrics(text_col))
+    return profiled_filter(df, text_col, F.lit("default"), {"default": th})
+
+
+def profiled_filter(df: DataFrame, text_col: str, profile: Column, profiles: Mapping[str, QualityThresholds], live: Column | None = None) -> DataFrame:
+    """``quality_filter`` with the thresholds of each row's profile, the default's for unknown ones, in one pass.
+
+    Rows that aren't ``live`` get no reason, and cost nothing.
+    """
+    on = F.lit(True) if live is None else live
+    text = F.when(on, F.col(text_col))
+
+    def chosen(reason) -> Column:
+        out = reason(profiles["default"])
+        for name, th in profiles.items():
+            if name != "default" and th != profiles["default"]:
+                out = F.when(profile == name, reason(th)).otherwise(out)
+        return out
+
+    base = df.withColumn("_m", basic_metrics(text))
     cheap = {k: F.col(f"_m.{k}") for k in BASIC}
-    first = base.withColumn("_first", reject_reason(cheap, th))
-    deep = first.withColumn("_g", ngram_metrics(F.when(F.col("_first").isNull(), F.col(text_col))))
-    stop = stopword_count(text_col, th.stopwords) if th.stopwords else None
-    rest = reject_reason(cheap | {n: F.col(f"_g.{n}") for n in GRAM_NAMES}, th, stop)
-    return deep.withColumn("reject_reason", F.coalesce("_first", rest)).drop("_m", "_first", "_g")
+    first = base.withColumn("_first", F.when(on, chosen(lambda th: reject_reason(cheap, th))))
+    deep = first.withColumn("_g", ngram_metrics(F.when(F.col("_first").isNull(), text)))
+    every = cheap | {n: F.col(f"_g.{n}") for n in GRAM_NAMES}
+    rest = chosen(lambda th: reject_reason(every, th, stopword_count(text, th.stopwords) if th.stopwords else None))
+    return deep.withColumn("reject_reason", F.when(on, F.coalesce("_first", rest))).drop("_m", "_first", "_g")

@@ -66,30 +66,27 @@ def label(df: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 
 def judge(df: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """Quality thresholds of each profile, on documents that are still in."""
-    profiles = quality.resolve_profiles(cfg.quality)
-    named = [p for p in profiles if p != "default"]
-    chosen = F.when(F.col("profile").isin(*named), F.col("profile")).otherwise("default") if named else F.lit("default")
-    live = df.where("reject_reason is null").drop("reject_reason").withColumn("_p", chosen)
-    out = df.where("reject_reason is not null")
-    for name, th in profiles.items():
-        part = quality.quality_filter(live.where(F.col("_p") == name), "text", th).drop("_p")
-        out = out.unionByName(part.select(*out.columns))
-    return out
+    """Quality thresholds of each profile, on documents that are still in; one pass, whatever the number of profiles."""
+    marked = df.withColumnRenamed("reject_reason", "_earlier")
+    out = quality.profiled_filter(marked, "text", F.col("profile"), quality.resolve_profiles(cfg.quality), F.col("_earlier").isNull())
+    return out.withColumn("reject_reason", F.coalesce("_earlier", "reject_reason")).drop("_earlier")
 
 
 def curate(df: DataFrame, cfg: PipelineConfig, order_col: str = "seq") -> DataFrame:
     """df: (text, source, source_id, order) -> every document with its outcome, in one wide table.
 
-    Cheap steps come first, and what they reject never reaches the n-gram metrics or the signatures.
+    The cleaned texts are written once.  One pass over them gives a narrow table of verdicts, keys and signatures, on
+    which deduplication works, and which the texts join at the end.  Rejected texts have neither key nor signature.
     """
-    seen = materialize(label(clean(df, cfg), cfg), "labelled")  # filters below would evaluate the chain again
-    judged = materialize(judge(seen, cfg), "judged")
-    kept = dedup.deduplicate(judged.where("reject_reason is null"), "text", order_col, cfg.dedup)
-    rejected = judged.where("reject_reason is not null").withColumn("dup", F.lit(None).cast("string"))
-    both = kept.unionByName(rejected)
+    labelled = materialize(label(clean(df, cfg), cfg), "labelled")  # what follows would evaluate the chain again
+    judged = judge(labelled, cfg)
+    live = F.when(F.col("reject_reason").isNull(), F.col("text"))
+    narrow = materialize(judged.select(F.col(order_col).alias("seq"), "reject_reason", *dedup.key_columns(live, cfg.dedup)), "judged")
+    dups = dedup.verdicts_of(narrow.where("reject_reason is null").drop("reject_reason"), cfg.dedup)
+    verdicts = narrow.where("reject_reason is not null").select("seq", "reject_reason", F.lit(None).cast("string").alias("dup"))
+    verdicts = verdicts.union(dups.select("seq", F.lit(None).cast("string"), "dup")).withColumnRenamed("seq", order_col)
     outcome = F.coalesce("reject_reason", F.concat(F.lit("dup_"), "dup"), F.lit("kept"))
-    return both.withColumn("outcome", outcome).withColumn("id", dedup.record_id("text"))
+    return labelled.drop("reject_reason").join(verdicts, order_col, "left").withColumn("outcome", outcome).withColumn("id", dedup.record_id("text"))
 
 
 def corpus(curated: DataFrame, cfg: PipelineConfig, order_col: str = "seq") -> DataFrame:

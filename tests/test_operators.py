@@ -18,12 +18,12 @@ def edited(rng, n):
     return out + [(n, None), (n + 1, ""), (n + 2, "one two"), (n + 3, "one, TWO")]
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_near_duplicates_as_one_scan(spark, parts):
+@pytest.mark.parametrize(("parts", "bounded"), [(1, dedup.BOUNDED), (7, dedup.BOUNDED), (3, 0), (3, 30)])
+def test_near_duplicates_as_one_scan(spark, parts, bounded):
     rows = edited(random.Random(5), 120)
     cfg = dedup.DedupConfig(bands=20, rows=4, threshold=0.6)
     df = spark.createDataFrame(rows, "id long, text string").repartition(parts)
-    got = {r.id: r.dup for r in dedup.deduplicate(df, "text", "id", cfg).collect()}
+    got = {r.id: r.dup for r in dedup.deduplicate(df, "text", "id", cfg, bounded).collect()}
     seen, kept, want = set(), [], {}
     perms = dedup.permutations(80, cfg.seed)
     import regex
@@ -51,10 +51,40 @@ def test_shingles_column_as_python(spark):
         assert set(r.s) == dedup.text_shingles(r.t, 5)
 
 
-def test_components(spark):
-    links = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (200, 300)]
-    got = {r.u: r.component for r in dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and got[300] == 200
+@pytest.mark.parametrize("bounded", [dedup.BOUNDED, 0])
+def test_chained_component(spark, bounded):
+    """Signatures that each share a band with the next only: a component as long as the table, settled in rounds."""
+    cfg = dedup.DedupConfig(bands=2, rows=2, threshold=0.5)
+    rows = [(i, [i // 2, i // 2, 1000 + (i + 1) // 2, 1000 + (i + 1) // 2]) for i in range(9)]
+    got = {r.seq: r.of for r in dedup.near_verdicts(spark.createDataFrame(rows, "seq long, sig array<bigint>"), cfg, bounded).collect()}
+    hits = dedup.replay([np.asarray(s) for _, s in rows], cfg)
+    assert got == {i: h for i, h in enumerate(hits) if h >= 0} and got
+
+
+def test_a_third_of_the_rows_equal(spark):
+    """Every row of a text that a third of the rows share is found by its own key: no partition holds them all."""
+    rows = [(i, "the same text of several words again and again" if i % 3 == 0 else f"row {i} alone with words {i * 7}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    got = dedup.exact_duplicates(df, "text", "id")
+    assert {r.id for r in got.where("is_duplicate").collect()} == set(range(3, 600, 3))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = dedup.first_marks(df.withColumn("_key", dedup.exact_key("text")), "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 250
+    values = spark.createDataFrame([(i, "v" if i % 3 else None) for i in range(30)], "id long, v string")
+    assert sorted(r.id for r in dedup.first_of_value(values, F.col("v"), "id").collect()) == [0, 1]
+
+
+def test_repeated_rows_and_null_orders(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "only here so far")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = sorted(((r.id or 0, r.is_duplicate) for r in dedup.exact_duplicates(df, "text", "id").collect()))
+    assert got == [(0, False), (0, True), (1, False), (1, False), (2, True)]
+    assert dedup.deduplicate(df, "text", "id").count() == 5
 
 
 def test_empty_tables(spark):
