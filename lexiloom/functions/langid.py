@@ -25,7 +25,8 @@ class LangIdConfig:
     tanglish_min_score: float = 0.12
     english_min_score: float = 0.08
     suffix_weight: float = 0.5
-    lexicon: str | None = None  # file; None: the built-in rule
+    #: Words of romanised Tamil: a file with one a line, or the words (see ``wordlists.learned_lexicon``); None: endings only.
+    lexicon: str | tuple[str, ...] | None = None
     english_stopwords: str | None = None
 
     @classmethod
@@ -36,7 +37,7 @@ class LangIdConfig:
 
 def member(x: Column, members: Sequence[str]) -> Column:
     """Set membership as IN, which Spark turns into a hash lookup."""
-    return x.isin(*sorted(members))
+    return x.isin(*sorted(members)) if members else F.lit(False)
 
 
 def latin_words(c: str | Column) -> Column:
@@ -49,7 +50,7 @@ def latin_scores(c: str | Column, cfg: LangIdConfig = LangIdConfig()) -> tuple[C
 
 
 def word_scores(words: Column, cfg: LangIdConfig) -> tuple[Column, Column]:
-    lexicon = wordlists.romanised_tamil(cfg.lexicon)
+    lexicon = wordlists.load_words(cfg.lexicon) if isinstance(cfg.lexicon, str) else frozenset(cfg.lexicon or ())
     english = wordlists.load_words(cfg.english_stopwords) if cfg.english_stopwords else frozenset(wordlists.ENGLISH)
     ending = "(?:" + "|".join(wordlists.ROMANISED_ENDINGS) + ")$"
     known = F.size(F.filter(words, lambda w: member(w, lexicon)))

@@ -12,25 +12,43 @@ from pyspark.sql import functions as F
 from .chars import TAMIL_DIGITS, VIRAMA, as_col, sub
 
 # Written endings and their spoken forms, applied in this order where the word ends.
-SPOKEN = """
-இருக்கிறது இருக்கு | இருக்கின்றது இருக்கு | இருக்கிறேன் இருக்கேன் | இருக்கிறாய் இருக்கே | இருக்கிறீர்கள் இருக்கீங்க
-இருக்கிறார்கள் இருக்காங்க | இருக்கின்றனர் இருக்காங்க | இருக்கிறார் இருக்காரு | இருந்தது இருந்துச்சு | வருகிறேன் வரேன்
-வருகிறது வருது | வருகிறார்கள் வராங்க | வருகிறார் வராரு | வருகிறான் வரான் | வருகிறாள் வரா | க்கிறேன் க்குறேன்
-க்கிறோம் க்குறோம் | க்கிறாய் க்குற | க்கிறீர்கள் க்குறீங்க | க்கிறார்கள் க்குறாங்க | க்கின்றனர் க்குறாங்க
-க்கிறார் க்குறாரு | க்கிறது க்குது | க்கின்றது க்குது | க்கிறான் க்குறான் | க்கிறாள் க்குறா | கிறேன் றேன் | கின்றேன் றேன்
-கிறோம் றோம் | கிறாய் றே | கிறீர்கள் றீங்க | கிறார்கள் றாங்க | கின்றனர் றாங்க | கிறார் றாரு | கிறது குது | கின்றது குது
-கிறான் றான் | கிறாள் றா | வில்லை ல | அவர்கள் அவங்க | இவர்கள் இவங்க | நீங்கள் நீங்க | நாங்கள் நாங்க | உங்கள் உங்க
-எங்கள் எங்க | ர்கள் ங்க | இல்லை இல்ல | வேண்டும் வேணும் | எப்படி எப்டி | இப்போது இப்போ | அப்போது அப்போ | எப்போது எப்போ
-இங்கே இங்க | அங்கே அங்க | எங்கே எங்க | ஆமாம் ஆமா
-"""
-SPOKEN_RULES = [tuple(x.split()) for line in SPOKEN.strip().split("\n") for x in line.split("|")]
+SPOKEN_RULES = [
+    ("இருக்கிறது", "இருக்கு"), ("இருக்கின்றது", "இருக்கு"), ("இருக்கிறேன்", "இருக்கேன்"), ("இருக்கிறாய்", "இருக்கே"),
+    ("இருக்கிறீர்கள்", "இருக்கீங்க"), ("இருக்கிறார்கள்", "இருக்காங்க"), ("இருக்கின்றனர்", "இருக்காங்க"), ("இருக்கிறார்", "இருக்காரு"),
+    ("இருந்தது", "இருந்துச்சு"), ("வருகிறேன்", "வரேன்"), ("வருகிறது", "வருது"), ("வருகிறார்கள்", "வராங்க"),
+    ("வருகிறார்", "வராரு"), ("வருகிறான்", "வரான்"), ("வருகிறாள்", "வரா"), ("க்கிறேன்", "க்குறேன்"),
+    ("க்கிறோம்", "க்குறோம்"), ("க்கிறாய்", "க்குற"), ("க்கிறீர்கள்", "க்குறீங்க"), ("க்கிறார்கள்", "க்குறாங்க"),
+    ("க்கின்றனர்", "க்குறாங்க"), ("க்கிறார்", "க்குறாரு"), ("க்கிறது", "க்குது"), ("க்கின்றது", "க்குது"),
+    ("க்கிறான்", "க்குறான்"), ("க்கிறாள்", "க்குறா"), ("கிறேன்", "றேன்"), ("கின்றேன்", "றேன்"),
+    ("கிறோம்", "றோம்"), ("கிறாய்", "றே"), ("கிறீர்கள்", "றீங்க"), ("கிறார்கள்", "றாங்க"),
+    ("கின்றனர்", "றாங்க"), ("கிறார்", "றாரு"), ("கிறது", "குது"), ("கின்றது", "குது"),
+    ("கிறான்", "றான்"), ("கிறாள்", "றா"), ("வில்லை", "ல"), ("அவர்கள்", "அவங்க"),
+    ("இவர்கள்", "இவங்க"), ("நீங்கள்", "நீங்க"), ("நாங்கள்", "நாங்க"), ("உங்கள்", "உங்க"),
+    ("எங்கள்", "எங்க"), ("ர்கள்", "ங்க"), ("இல்லை", "இல்ல"), ("வேண்டும்", "வேணும்"),
+    ("எப்படி", "எப்டி"), ("இப்போது", "இப்போ"), ("அப்போது", "அப்போ"), ("எப்போது", "எப்போ"),
+    ("இங்கே", "இங்க"), ("அங்கே", "அங்க"), ("எங்கே", "எங்க"), ("ஆமாம்", "ஆமா"),
+]
 
 # Latin letters of vowels, vowel signs and consonants.
-VOWELS = dict(zip("அஆஇஈஉஊஎஏஐஒஓஔஃ", "a aa i ee u oo e e ai o o au h".split()))
-SIGNS = dict(zip("ாிீுூெேைொோௌ", "aa i ee u oo e e ai o o au".split()))
-PLAIN = dict(zip("ஙஞணநமயரலவழளனஜஷஸஹஶ", "ng nj n n m y r l v zh l n j sh s h sh".split()))
+VOWELS = {
+    "அ": "a", "ஆ": "aa", "இ": "i", "ஈ": "ee", "உ": "u", "ஊ": "oo", "எ": "e", "ஏ": "e",
+    "ஐ": "ai", "ஒ": "o", "ஓ": "o", "ஔ": "au", "ஃ": "h",
+}
+SIGNS = {
+    "ா": "aa", "ி": "i", "ீ": "ee", "ு": "u", "ூ": "oo", "ெ": "e", "ே": "e", "ை": "ai",
+    "ொ": "o", "ோ": "o", "ௌ": "au",
+}
+PLAIN = {
+    "ங": "ng", "ஞ": "nj", "ண": "n", "ந": "n", "ம": "m", "ய": "y", "ர": "r", "ல": "l",
+    "வ": "v", "ழ": "zh", "ள": "l", "ன": "n", "ஜ": "j", "ஷ": "sh", "ஸ": "s", "ஹ": "h",
+    "ஶ": "sh",
+}
 # Stops sound by place: at the start, doubled, after a nasal, between vowels, after another consonant.
-STOPS = dict(zip("கசடதபற", (x.split() for x in ("k kk g g k", "s ch j s ch", "t tt d d t", "th th dh dh th", "p pp b p p", "r tr dr r r"))))
+STOPS = {
+    "க": ("k", "kk", "g", "g", "k"), "ச": ("s", "ch", "j", "s", "ch"),
+    "ட": ("t", "tt", "d", "d", "t"), "த": ("th", "th", "dh", "dh", "th"),
+    "ப": ("p", "pp", "b", "p", "p"), "ற": ("r", "tr", "dr", "r", "r"),
+}
 NASALS = frozenset("ஙஞணநமன")
 # Spellings that people vary, tried in this order.
 VARIANTS = (("aa", "a"), ("ee", "i"), ("oo", "u"), ("zh", "l"), ("dh", "th"), ("th", "t"))
@@ -82,9 +100,9 @@ def latin_word(word: str) -> str:
         following = cells[at + 1][0] if at + 1 < len(cells) else None
         mute = sign == VIRAMA
         if mute and following and following == cons and cons in STOPS:
-            pass  # a doubled stop is written once, at its second half
+            pass  # its twin speaks for both
         elif mute and following and cons in "ஙஞ":
-            out.append("n")  # the stop that follows gives the rest of the sound
+            out.append("n")
         else:
             if cons in PLAIN:
                 out.append(PLAIN[cons])

@@ -89,6 +89,45 @@ def conversations(df: DataFrame, messages: Column, source: str, normalizer=None,
     return rows.withColumn("source", F.lit(source))
 
 
+# Formats of instruction data and their fields.
+FORMATS = {"alpaca": ("instruction", "input", "output"), "prompt_response": ("prompt", "response"), "qa": ("context", "question", "answer"), "messages": ("messages",), "sharegpt": ("conversations",)}
+
+
+def messages_of(df: DataFrame, src: Mapping) -> DataFrame:
+    """df's rows as (messages), null where a row gives none, by the source's ``format`` and ``fields``."""
+    kind = src.get("format", "alpaca")
+    if kind not in FORMATS:
+        raise ValueError(f"unknown format {kind!r}")
+    rows = remap(df, src.get("fields") or {}, FORMATS[kind])
+    if kind == "alpaca":
+        made = alpaca("instruction", "input", "output")
+    elif kind == "prompt_response":
+        made = prompt_response("prompt", "response")
+    elif kind == "qa":
+        made = question_answer("context", "question", "answer", src.get("qa_template", QA_TEMPLATE), src.get("unanswerable_response", UNANSWERABLE) or None, src.get("strip_prefixes") or ())
+    else:
+        field = FORMATS[kind][0]
+        if dict(rows.dtypes)[field] == "string":  # the field is absent
+            made = F.lit(None).cast(f"array<{TURN}>")
+        else:
+            made = conversation(field, *(("role", "content") if kind == "messages" else ("from", "value")))
+    return rows.select(made.alias("messages"))
+
+
+def conversations_of(sources: Sequence[Mapping], load, normalizer=None, system_prompt: str | None = None, log=print) -> DataFrame | None:
+    """(messages, source) of all enabled sources; one that fails is reported and left out unless required.
+
+    A source may have its own ``system_prompt``.  None if no source gives rows.
+    """
+    from ..sources.readers import each_source
+
+    out = None
+    for _, src, rows in each_source(sources, lambda s: messages_of(load(s), s), log):
+        made = conversations(rows, F.col("messages"), src["name"], normalizer, src.get("system_prompt", system_prompt)).select("messages", "source")
+        out = made if out is None else out.union(made)
+    return out
+
+
 def segments(messages: str | Column) -> Column:
     """array<struct<text, trainable>>: the rendered conversation in pieces, trainable where the assistant speaks.
 
@@ -119,10 +158,16 @@ def rendered(messages: str | Column) -> Column:
     return F.array_join(F.transform(segments(messages), lambda s: s.text), "")
 
 
-def encode(messages: str | Column, max_len: int, truncation: str = "drop", bos: int = 256) -> Column:
-    """struct<input_ids, labels> with UTF-8 bytes as tokens; labels are -100 but for what the assistant says.
+def byte_ids(text: str) -> list[int]:
+    """UTF-8 bytes as ids: the tokenizer that needs no vocabulary."""
+    return list(text.encode("utf-8"))
+
+
+def encode(messages: str | Column, max_len: int, truncation: str = "drop", bos: int | None = 256, tokenize=byte_ids) -> Column:
+    """struct<input_ids, labels>; labels are -100 but for what the assistant says.
 
-    Null where nothing trainable is left, or where a too long conversation is to be dropped.
+    ``tokenize`` gives the ids of a text: bytes, or a ``functions.tokenizer``.  Null where nothing trainable is left, or
+    where a too long conversation is to be dropped.
     """
     if truncation not in ("drop", "truncate"):
         raise ValueError(truncation)
@@ -131,9 +176,9 @@ def encode(messages: str | Column, max_len: int, truncation: str = "drop", bos:
     def run(parts: pd.Series) -> pd.DataFrame:
         ids_all, labels_all = [], []
         for p in parts:
-            ids, labels = [bos], [IGNORE]
+            ids, labels = ([bos], [IGNORE]) if bos is not None else ([], [])
             for s in p if p is not None else ():
-                b = list(s["text"].encode("utf-8"))
+                b = tokenize(s["text"])
                 ids += b
                 labels += b if s["trainable"] else [IGNORE] * len(b)
             fits = len(ids) <= max_len or truncation == "truncate"

@@ -59,6 +59,9 @@ def filter_lines(c: str | Column, cfg: LineFilterConfig = LineFilterConfig()) ->
         marked = F.transform(kept, lambda x, i: F.when(x == "", F.concat(F.lit("\0"), i.cast("string"))).otherwise(x))
         kept = F.transform(F.array_distinct(marked), lambda x: F.when(F.startswith(x, F.lit("\0")), F.lit("")).otherwise(x))
     elif cfg.max_repeats > 1:
-        seen = lambda a, x, i: F.aggregate(F.slice(a, 1, i + 1), F.lit(0), lambda n, y: n + F.when(y == x, 1).otherwise(0))
-        kept = bind(kept, lambda a: F.filter(a, lambda x, i: (x == "") | (seen(a, x, i) <= cfg.max_repeats)))
+        # Sorted with their places, equal lines stand together: one is too many if its like stands ``max_repeats`` before it.
+        n = cfg.max_repeats
+        placed = bind(F.transform(kept, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda a: F.array_sort(a))
+        few = bind(placed, lambda s: F.filter(s, lambda e, i: (e.x == "") | (i < n) | F.coalesce(F.get(s, i - n).x != e.x, F.lit(True))))
+        kept = F.transform(F.array_sort(F.transform(few, lambda e: F.struct(e.i.alias("i"), e.x.alias("x")))), lambda e: e.x)
     return strip(sub(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))

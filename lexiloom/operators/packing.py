@@ -56,8 +56,12 @@ def block_spans(df: DataFrame, key_col: str, tokens_col: str, seq_len: int, seed
 
 def pack(tokens: DataFrame, key_col: str, seq_len: int, seed: int = 1) -> DataFrame:
     """(block, input_ids): every block has exactly seq_len ids."""
-    spans = block_spans(tokens, key_col, "n_tokens", seq_len, seed)
-    parts = spans.join(tokens, key_col).select("block", "at", F.slice("input_ids", F.col("from_token").cast("int") + 1, F.col("n").cast("int")).alias("part"))
+    return gathered(block_spans(tokens, key_col, "n_tokens", seq_len, seed), tokens, key_col)
+
+
+def gathered(spans: DataFrame, tokens: DataFrame, key_col: str) -> DataFrame:
+    """(block, input_ids) of the spans."""
+    parts = spans.join(tokens.select(key_col, "input_ids"), key_col).select("block", "at", F.slice("input_ids", F.col("from_token").cast("int") + 1, F.col("n").cast("int")).alias("part"))
     # A block gathers at most seq_len ids.
     joined = parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))
     return joined.select("block", F.flatten(F.transform("p", lambda x: x.part)).alias("input_ids"))
@@ -72,6 +76,22 @@ def eval_blocks(blocks: DataFrame, max_blocks: int, seed: int = 1, id_col: str =
     return shuffled_blocks(blocks, id_col, seed).limit(max_blocks)
 
 
+def eval_sets(tokens: DataFrame, sets: dict[str, list[str]], key_col: str, category_col: str, seq_len: int, max_blocks: int = 500, seed: int = 1, log=print) -> dict[str, DataFrame]:
+    """Named sets of packed blocks, each from the union of its categories: (block, input_ids), at most ``max_blocks`` by
+    seeded sample.  A set without documents, or shorter than one block, is reported and left out.
+    tokens: (key, category, input_ids, n_tokens)."""
+    out = {}
+    for name, categories in sets.items():
+        own = tokens.where(F.col(category_col).isin(*categories))
+        spans = block_spans(own, key_col, "n_tokens", seq_len, seed)
+        chosen = eval_blocks(spans.select("block").distinct(), max_blocks, seed).select("block")
+        if not chosen.limit(1).count():
+            log(f"set {name} is shorter than one block of {seq_len}")
+            continue
+        out[name] = gathered(spans.join(chosen, "block", "left_semi"), own, key_col)
+    return out
+
+
 def sliding_spans(n_tokens: str | Column, max_len: int, stride: int) -> Column:
     """Windows over a token sequence, array<struct<start, end, first_scored>>: every token but the first is scored once."""
     n = as_col(n_tokens)

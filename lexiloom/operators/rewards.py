@@ -53,13 +53,15 @@ def tamil_script(completion: str | Column, prompt: str | Column) -> Column:
 def no_repetition(w: Column, n: int = 4) -> Column:
     """1 minus the share of characters in tokens of repeated n-grams; 1 for fewer than n tokens."""
 
-    def covered(g: Column) -> Column:
-        twice = bind(F.array_sort(g), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
-        hit = lambda r, i: F.coalesce(F.greatest(*[F.coalesce(F.array_contains(r, F.get(g, i - k)), F.lit(False)) for k in range(n)]), F.lit(False))
-        return bind(twice, lambda r: F.filter(w, lambda x, i: hit(r, i)))
-
-    repeated = bind(grams(w, n), covered)
-    return F.when(F.size(w) < n, 1.0).otherwise(1.0 - ratio(total_length(repeated), total_length(w)))
+    def repeated(g: Column) -> Column:
+        """Places of grams that occur more than once: sorted with their places, equal grams are neighbours."""
+        placed = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        like = lambda s, e, i: F.coalesce(F.get(s, i + 1).x == e.x, F.lit(False)) | ((i > 0) & (F.get(s, F.greatest(i - 1, F.lit(0))).x == e.x))
+        return bind(placed, lambda s: F.transform(F.filter(s, lambda e, i: like(s, e, i)), lambda e: e.i))
+
+    covered = F.array_distinct(F.flatten(F.transform(bind(grams(w, n), repeated), lambda at: F.sequence(at, at + n - 1))))
+    chars = F.aggregate(covered, F.lit(0), lambda a, at: a + F.length(F.get(w, at)))
+    return F.when(F.size(w) < n, 1.0).otherwise(1.0 - ratio(chars, total_length(w)))
 
 
 def length(completion: str | Column, low: int = 2, high: int = 120) -> Column:

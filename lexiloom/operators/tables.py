@@ -26,8 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _MADE:
+def release() -> None:
+    """Delete the tables made so far: at the end of the process, and by long sessions when their results are written."""
+    while _MADE:
+        spark, path = _MADE.pop()
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

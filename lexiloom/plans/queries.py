@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow_text, langid, normalize, script, tanglish, wordlists
 from ..functions.chars import TAMIL, VIRAMA, VOWEL_SIGNS, WS, char_class, lines, words
 from ..operators import augment, chat, dedup, lines as line_ops, metrics, mixture, packing, preference, quality, ratings, rewards, split, vocab
+from ..operators import tables
 from ..operators.tables import materialize
 from ..sources import readers
 from . import pipeline
@@ -138,13 +140,22 @@ def script_statistics(spark, d):
     return s.select("doc_id", *[F.col(f"s.{k}").cast("long").alias(k) for k in (*_CL, "letters")], "graphemes", "s.tamil_ratio", "s.latin_ratio")
 
 
-_LEX, _ENG = wordlists.romanised_tamil(), wordlists.ENGLISH
+_ENG = wordlists.ENGLISH
+#: The lexicon is learned from the labelled samples, here as there.
+_LEXICON = f"""lx AS (SELECT split_part(lower(trim(lang)), '-', 1) AS lang, unnest(list_transform(regexp_extract_all(text, {q(langid.LATIN_WORD)}, 1), lambda x: lower(x))) AS word FROM lang_samples),
+lex AS (SELECT word FROM lx WHERE length(word) >= 2 GROUP BY word HAVING count(*) FILTER (WHERE lang = 'tanglish') > 0 AND count(*) FILTER (WHERE lang = 'en') = 0)"""
+
+
+def lang_config(spark, d) -> langid.LangIdConfig:
+    return langid.LangIdConfig(lexicon=wordlists.learned_lexicon(load(spark, d, "lang_samples")))
+
+
 _ENDING = "(?:" + "|".join(wordlists.ROMANISED_ENDINGS) + ")$"
-_SCORES = f"""{DOCS}, w AS (SELECT doc_id, {", ".join(f"{s_count('t', _CL[k])} AS {k}" for k in ('tamil', 'latin', 'other'))}, list_transform(regexp_extract_all(t, {q(langid.LATIN_WORD)}, 1), lambda x: lower(x)) AS ws FROM d),
+_SCORES = f"""{DOCS}, {_LEXICON}, w AS (SELECT doc_id, {", ".join(f"{s_count('t', _CL[k])} AS {k}" for k in ('tamil', 'latin', 'other'))}, list_transform(regexp_extract_all(t, {q(langid.LATIN_WORD)}, 1), lambda x: lower(x)) AS ws FROM d),
 u AS (SELECT doc_id, unnest(ws) AS x FROM w),
-n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE x IN {s_in(_LEX)}) AS known,
- count(*) FILTER (WHERE x NOT IN {s_in(_LEX)} AND length(x) >= 5 AND x NOT IN {s_in(_ENG)} AND regexp_matches(x, {q(_ENDING)})) AS likely,
- count(*) FILTER (WHERE x IN {s_in(_ENG)}) AS common FROM u GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, count(word) AS known,
+ count(*) FILTER (WHERE word IS NULL AND length(x) >= 5 AND x NOT IN {s_in(_ENG)} AND regexp_matches(x, {q(_ENDING)})) AS likely,
+ count(*) FILTER (WHERE x IN {s_in(_ENG)}) AS common FROM u LEFT JOIN lex ON x = word GROUP BY doc_id),
 s AS (SELECT w.doc_id, tamil, latin, other, tamil + latin + other AS letters, coalesce(n, 0) AS n_latin, coalesce(known, 0) AS known, coalesce(likely, 0) AS likely, coalesce(common, 0) AS common FROM w LEFT JOIN n USING (doc_id)),
 r AS (SELECT *, {s_ratio('tamil', 'letters')} AS tr, {s_ratio('latin', 'letters')} AS lr, CASE WHEN n_latin = 0 THEN 0.0::DOUBLE ELSE (known + likely * 0.5::DOUBLE)::DOUBLE / n_latin END AS tg, {s_ratio('common', 'n_latin')} AS eng FROM s),
 l AS (SELECT *, CASE WHEN letters < 20 THEN 'other' WHEN tr >= 0.6::DOUBLE AND lr >= 0.15::DOUBLE THEN 'code_mixed' WHEN tr >= 0.6::DOUBLE THEN 'ta' WHEN tr >= 0.15::DOUBLE AND lr >= 0.15::DOUBLE THEN 'code_mixed'
@@ -153,13 +164,13 @@ l AS (SELECT *, CASE WHEN letters < 20 THEN 'other' WHEN tr >= 0.6::DOUBLE AND l
 
 @query(f"WITH {_SCORES} SELECT doc_id, n_latin, tg AS tanglish_score, eng AS english_score FROM l")
 def latin_scores(spark, d):
-    tg, eng = langid.latin_scores("text")
+    tg, eng = langid.latin_scores("text", lang_config(spark, d))
     return docs(spark, d).select("doc_id", F.size(langid.latin_words("text")).cast("long").alias("n_latin"), tg.alias("tanglish_score"), eng.alias("english_score"))
 
 
 @query(f"WITH {_SCORES} SELECT doc_id, lang FROM l")
 def language_labels(spark, d):
-    return docs(spark, d).select("doc_id", langid.detect("text").lang.alias("lang"))
+    return docs(spark, d).select("doc_id", langid.detect("text", lang_config(spark, d)).lang.alias("lang"))
 
 
 _ROUTES = {"code_mixed": "mixed_pool", "tanglish": "romanised_pool"}
@@ -168,7 +179,7 @@ _ROUTES = {"code_mixed": "mixed_pool", "tanglish": "romanised_pool"}
 @query(f"""WITH {_SCORES} SELECT doc_id, lang, CASE WHEN lang NOT IN ('ta', 'en', 'code_mixed', 'tanglish') THEN 'lang_' || lang END AS reason,
 CASE WHEN lang = 'ta' THEN 'ta_docs' WHEN lang = 'code_mixed' THEN 'mixed_pool' WHEN lang = 'tanglish' THEN 'romanised_pool' ELSE lang END AS route FROM l""")
 def route_categories(spark, d):
-    x = docs(spark, d).select("doc_id", langid.detect("text").lang.alias("lang"))
+    x = docs(spark, d).select("doc_id", langid.detect("text", lang_config(spark, d)).lang.alias("lang"))
     return x.select("doc_id", "lang", langid.allowed("lang", ["ta", "en", "code_mixed", "tanglish"]).alias("reason"), langid.route("lang", "ta", "ta_docs", {}, _ROUTES).alias("route"))
 
 
@@ -291,6 +302,11 @@ def dedup_counts(spark, d):
     return dedup.dedup_counts(near_duplicates(spark, d))
 
 
+@query(f"WITH {DOCS}, r AS (SELECT row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) AS n FROM d) SELECT count(*) FILTER (WHERE n > 1) AS exact_dups, 0::BIGINT AS near_dups, count(*) FILTER (WHERE n = 1) AS \"unique\" FROM r")
+def exact_dedup_counts(spark, d):
+    return dedup.dedup_counts(dedup.deduplicate(docs(spark, d).select("doc_id", "text"), "text", "doc_id", dedup.DedupConfig(near=False)))
+
+
 # --- split, sizes, augmentation -----------------------------------------------------------------------------------------
 @query(f"""WITH x AS (SELECT doc_id, {CATEGORY} AS category, {s_fraction('doc_id', 'split:')} < 0.2 AS cand FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY category, cand ORDER BY doc_id) AS rn FROM x)
@@ -311,7 +327,13 @@ def truncated(spark, d):
     return docs(spark, d).select("doc_id", augment.truncate("text", 400).alias("text"))
 
 
-@query()
+def s_spoken(x: str) -> str:
+    for written, spoken in tanglish.SPOKEN_RULES:
+        x = s_sub(x, rf"{written}([^\p{{L}}\p{{M}}]|$)", rf"{spoken}\1")
+    return x
+
+
+@query(f"WITH {DOCS} SELECT doc_id, {s_spoken('t')} AS text FROM d")
 def spoken_forms(spark, d):
     return docs(spark, d).select("doc_id", tanglish.colloquialize("text").alias("text"))
 
@@ -332,7 +354,7 @@ def curated_corpus(spark, d):
     """The whole pipeline over the raw documents: outcome of each."""
     rows = docs(spark, d).select("text", F.coalesce("source", F.lit("unknown")).alias("source"), "source_id", F.col("doc_id").alias("seq"))
     rules = pipeline.SourceRules(lang_hint="ta", category="ta_web", allowed_langs=("ta", "tanglish", "en", "code_mixed"))
-    cfg = pipeline.PipelineConfig(sources={"forum_dump_ta": rules}, quality={"default": {"min_words": 5, "min_chars": 50}, "ta": {"max_mean_word_len": 20.0}})
+    cfg = pipeline.PipelineConfig(langid=lang_config(spark, d), sources={"forum_dump_ta": rules}, quality={"default": {"min_words": 5, "min_chars": 50}, "ta": {"max_mean_word_len": 20.0}})
     return pipeline.curate(rows, cfg).select("seq", "source", "lang", "category", "outcome", "id")
 
 
@@ -372,6 +394,12 @@ def achieved_shares(spark, d):
     return s.withColumn("all_tokens", F.sum("selected_tokens").over(Window.partitionBy(F.lit(0))))
 
 
+@query(f"""WITH {_PLAN}, o AS (SELECT b.*, target_tokens, available_tokens, coalesce(sum(n) OVER (PARTITION BY b.category ORDER BY md5('1:' || doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b JOIN plan USING (category)),
+c AS (SELECT doc_id, (target_tokens // available_tokens + CASE WHEN before < target_tokens - (target_tokens // available_tokens) * available_tokens THEN 1 ELSE 0 END)::INT AS copies FROM o) SELECT doc_id, unnest(range(0, copies))::INT AS copy_no FROM c WHERE copies > 0""")
+def repeated_documents(spark, d):
+    return mixture.repeat_rows(selected_documents(spark, d), "copies").select("doc_id", F.col("copy_no").cast("int").alias("copy_no"))
+
+
 _SPANS = """b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS n FROM documents), o AS (SELECT doc_id, n, (sum(n) OVER (ORDER BY md5('1:' || doc_id::VARCHAR), doc_id) - n)::BIGINT AS start FROM b),
 e AS (SELECT *, unnest(range(start // 2048, (start + n - 1) // 2048 + 1)) AS block FROM o),
 spans AS (SELECT block, doc_id, greatest(start, block * 2048) - start AS from_token, least(start + n, (block + 1) * 2048) - greatest(start, block * 2048) AS n, greatest(start, block * 2048) - block * 2048 AS at FROM e WHERE block < (SELECT sum(n) // 2048 FROM b))"""
@@ -444,6 +472,23 @@ def encoding_comparison(spark, d):
     return metrics.encoding_comparison(x, "b", "n").select("base_tokens", "new_tokens", "docs", "identical", "reduction")
 
 
+@query(f"""WITH x AS (SELECT text FROM documents WHERE text <> ''), e AS (SELECT text, {s_words('text')} AS a, list_filter(string_split(text, ' '), lambda p: p <> '') AS b FROM x)
+SELECT count(*) AS n_texts, (count(*) FILTER (WHERE a = b)) / count(*) AS agreement, (count(*) FILTER (WHERE list_aggregate(b, 'string_agg', ' ') = text)) / count(*) AS round_trip, 0.0::DOUBLE AS byte_fallback_rate FROM e""")
+def tokenizer_validation(spark, d):
+    """Two splits into words stand for the two tokenizers."""
+    whole = F.filter(F.split("text", " ", -1), lambda c: c != "")
+    x = docs(spark, d).where("text <> ''").select("text", words("text").alias("a"), whole.alias("b"), F.array_join(whole, " ").alias("back"))
+    return metrics.agreement(x, "a", "b", "back", "text")
+
+
+@query(f"""WITH x AS (SELECT {CATEGORY} AS text_set, unnest({s_words("coalesce(text, '')")}) AS word FROM documents), n AS (SELECT text_set, word, count(*) AS n FROM x GROUP BY ALL)
+SELECT 'chars' AS tokenizer, text_set, sum(CASE WHEN length(word) >= 2 THEN n ELSE 0 END)::BIGINT AS continued, sum(n)::BIGINT AS words, sum(CASE WHEN length(word) >= 2 THEN n ELSE 0 END) / sum(n) AS continued_ratio FROM n GROUP BY text_set""")
+def continued_words(spark, d):
+    """Words are encoded once each, by characters, and weigh by their number."""
+    x = docs(spark, d).select(F.coalesce("category", F.lit("none")).alias("text_set"), F.explode(words("text")).alias("word")).groupBy("text_set", "word").agg(F.count("*").alias("n"))
+    return metrics.continued_words(x.select(F.lit("chars").alias("tokenizer"), "text_set", "word", "n", F.length("word").alias("tokens")))
+
+
 _NLL = f"SELECT {CATEGORY} AS category, (length(text) * 3)::BIGINT AS nll, len({s_words('text')}) AS tokens, strlen(text) AS bytes, length(text) AS chars, len({s_words('text')}) AS words FROM documents WHERE text <> ''"
 
 
@@ -641,17 +686,17 @@ def flattened_chats(spark, d):
     return _messages(spark, d).select("sft_id", chat.flattened("messages").alias("flat"))
 
 
-@query(f"""WITH x AS (SELECT item_id, {s_strip('context')} AS p, {s_strip('choices[label + 1]')} AS chosen, {s_strip('unnest(choices)')} AS rejected FROM tamil_cloze) SELECT item_id, p AS prompt, chosen, rejected FROM x WHERE p <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected""")
+@query("WITH x AS (SELECT item_id, context AS p, choices[label + 1] AS chosen, unnest(choices) AS rejected FROM tamil_cloze) SELECT item_id, p AS prompt, chosen, rejected FROM x WHERE p <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected")
 def preference_pairs(spark, d):
     x = load(spark, d, "tamil_cloze").select("item_id", "context", F.get("choices", F.col("label")).alias("good"), F.explode("choices").alias("bad"))
     y = x.withColumn("pair", preference.pair("context", "good", "bad")).where("pair is not null")
     return y.select("item_id", F.col("pair.messages")[0].content.alias("prompt"), "pair.chosen", "pair.rejected")
 
 
-_RP = f"{_R}, v AS (SELECT * FROM r WHERE {_VALID} AND mode = 'compare' AND winner IN ('a', 'b')), j AS (SELECT rating_id, {s_strip('prompt')} AS p, {s_strip('model_a')} AS a, {s_strip('model_b')} AS b, winner FROM v JOIN chat_eval_prompts ON prompt_id = id)"
+_RP = f"{_R}, v AS (SELECT * FROM r WHERE {_VALID} AND mode = 'compare' AND winner IN ('a', 'b')), j AS (SELECT rating_id, prompt AS p, {s_strip('model_a')} AS a, {s_strip('model_b')} AS b, winner FROM v JOIN chat_eval_prompts ON prompt_id = id)"
 
 
-@query(f"WITH {_RP} SELECT rating_id, p AS prompt, CASE winner WHEN 'a' THEN a ELSE b END AS chosen, CASE winner WHEN 'a' THEN b ELSE a END AS rejected FROM j WHERE p <> '' AND a <> '' AND b <> '' AND a <> b")
+@query(f"WITH {_RP} SELECT rating_id, p AS prompt, CASE winner WHEN 'a' THEN a ELSE b END AS chosen, CASE winner WHEN 'a' THEN b ELSE a END AS rejected FROM j WHERE p <> '' AND a <> b")
 def rating_pairs(spark, d):
     """Decided ratings as pairs; the table has no responses, so the models' names stand for them."""
     r = _valid_ratings(spark, d).where("mode = 'compare'").join(load(spark, d, "chat_eval_prompts").select(F.col("id").alias("prompt_id"), "prompt"), "prompt_id")
@@ -675,13 +720,140 @@ def reward_parts(spark, d):
     return tokens.select("sft_id", common.cast("long").alias("common"), F.size("p").cast("long").alias("n_pred"), F.size("g").cast("long").alias("n_gold"), F.round(rewards.token_f1(F.col("p"), F.col("g")), 9).alias("f1"), rewards.contains_answer(F.col("p"), F.col("g"), "u").alias("inside"), rewards.length("o").alias("length"))
 
 
-@query()
+_REWARDED = f"""{_S}, t AS (SELECT sft_id, {s_tokens('o')} AS p, {s_tokens('u')} AS g, o, u FROM m), pc AS (SELECT sft_id, w, count(*) AS c FROM (SELECT sft_id, unnest(p) AS w FROM t) GROUP BY ALL), gc AS (SELECT sft_id, w, count(*) AS c FROM (SELECT sft_id, unnest(g) AS w FROM t) GROUP BY ALL),
+k AS (SELECT sft_id, sum(least(pc.c, gc.c))::BIGINT AS common FROM pc JOIN gc USING (sft_id, w) GROUP BY sft_id),
+r4 AS (SELECT sft_id, i, list_aggregate(p[i:i+3], 'string_agg', ' ') AS gram FROM (SELECT sft_id, p, unnest(range(1, len(p) - 2)) AS i FROM t)), again AS (SELECT sft_id, i FROM r4 QUALIFY count(*) OVER (PARTITION BY sft_id, gram) > 1),
+cov AS (SELECT DISTINCT sft_id, unnest(range(i, i + 4)) AS place FROM again), rep AS (SELECT sft_id, sum(length(t.p[place])) AS chars FROM cov JOIN t USING (sft_id) GROUP BY sft_id),
+b AS (SELECT sft_id, p, g, len({s_words('o')}) AS n, coalesce(common, 0) AS common, coalesce(chars, 0) AS chars, {_LEN('p')} AS whole, {", ".join(f"{s_count(x, _CL[k])} AS {k}_{x}" for x in 'ou' for k in ('tamil', 'latin', 'other'))} FROM t LEFT JOIN k USING (sft_id) LEFT JOIN rep USING (sft_id))"""
+
+
+@query(f"""WITH {_REWARDED} SELECT sft_id, round(CASE WHEN common = 0 THEN 0.0::DOUBLE ELSE 2 * (common / len(p)) * (common / len(g)) / (common / len(p) + common / len(g)) END
+ + CASE WHEN tamil_u + latin_u + other_u > 0 AND tamil_u / (tamil_u + latin_u + other_u) >= 0.5::DOUBLE THEN 0.5::DOUBLE * {s_ratio('tamil_o', '(tamil_o + latin_o + other_o)')} ELSE 0 END
+ + 0.5::DOUBLE * CASE WHEN len(p) < 4 THEN 1.0::DOUBLE ELSE 1 - {s_ratio('chars', 'whole')} END
+ + 0.25::DOUBLE * CASE WHEN n < 2 THEN n / 2.0::DOUBLE WHEN n > 120 THEN greatest(0.0::DOUBLE, 1 - (n - 120) / 120.0::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS reward FROM b""")
 def combined_rewards(spark, d):
     m = _messages(spark, d).select("sft_id", F.col("messages")[0].content.alias("u"), F.col("messages")[1].content.alias("o"))
     weights = {"reference_f1": 1.0, "tamil_script": 0.5, "no_repetition": 0.5, "length": 0.25, "contains_answer": 0.0}
     return rewards.combined(m, weights, "o", "u", "u").select("sft_id", F.round("reward", 6).alias("reward"))
 
 
+# --- formats, sources of conversations and pairs ----------------------------------------------------------------------
+@query(f"WITH {_S} SELECT sft_id, i AS prompt, o AS response FROM c WHERE i <> '' AND o <> ''")
+def prompt_response(spark, d):
+    rows = chat.remap(_sft(spark, d), {"prompt": "instruction", "response": "output"}, ("prompt", "response"))
+    m = rows.select("sft_id", chat.prompt_response("prompt", "response").alias("m")).where("m is not null")
+    return m.select("sft_id", F.col("m")[0].content.alias("prompt"), F.col("m")[1].content.alias("response"))
+
+
+def _turns(role: str, content: str) -> F.Column:
+    said = lambda who, c: F.struct(F.lit(who).alias(role), F.col(c).alias(content))
+    return F.array(said("Human", "instruction"), said("tool", "source"), said("GPT", "output"), said("user", "input"))
+
+
+@query(f"WITH {_S} SELECT sft_id, array_to_string(list_filter([CASE WHEN i <> '' THEN 'user:' || i END, 'assistant:' || o, CASE WHEN x <> '' THEN 'user:' || x END], lambda v: v IS NOT NULL), chr(10)) AS turns FROM c WHERE o <> ''")
+def sharegpt_messages(spark, d):
+    """Roles under their other names, unknown ones and blank turns dropped; null without an answer."""
+    x = _sft(spark, d).select("sft_id", chat.conversation(_turns("from", "value"), "from", "value").alias("m")).where("m is not null")
+    return x.select("sft_id", F.array_join(F.transform("m", lambda t: F.concat(t.role, F.lit(":"), t.content)), "\n").alias("turns"))
+
+
+@query("WITH f AS (SELECT * FROM sft_sample QUALIFY row_number() OVER (PARTITION BY sft_id ORDER BY received_at, coalesce(instruction, ''), coalesce(input, ''), coalesce(output, ''), coalesce(source, '')) = 1) SELECT sft_id, 2::INT AS turns FROM f WHERE source IS NOT NULL")
+def valid_chats(spark, d):
+    """Known roles only, and only chats that end with the user: here those with a source, whose turn is the user's."""
+    said = lambda who, c: F.struct(F.lit(who).alias("role"), F.col(c).alias("content"))
+    last = F.struct(F.when(F.col("source").isNull(), "assistant").otherwise("user").alias("role"), F.col("instruction").alias("content"))
+    x = _sft(spark, d).select("sft_id", chat.valid_chat(F.array(said("system", "input"), said("tool", "output"), last)).alias("m")).where("m is not null")
+    return x.select("sft_id", F.size("m").alias("turns"))
+
+
+@query(f"WITH {_S}, n AS (SELECT sft_id, (strlen(u) + strlen(o) + 70)::BIGINT AS n FROM m) SELECT sft_id, (ceil(n / 8.0) * 8)::INT AS padded, (ceil(n / 8.0) * 8 - n)::INT AS zeros FROM n WHERE n <= 1024")
+def padded_chats(spark, d):
+    """Each conversation as a batch of one: ids filled up to a multiple of 8."""
+    x = _messages(spark, d).select("sft_id", chat.encode("messages", 1024).alias("e")).where("e.input_ids is not null")
+    ids = chat.pad_to("e.input_ids", chat.batch_length(F.size("e.input_ids")), -1)
+    return x.select("sft_id", ids.alias("ids")).select("sft_id", F.size("ids").alias("padded"), F.size(F.filter("ids", lambda v: v == -1)).alias("zeros"))
+
+
+@query(f"WITH {_S}, e AS (SELECT sft_id, '<start_of_turn>user' || chr(10) || u || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS a, o || '<end_of_turn>' AS b FROM m) SELECT sft_id, md5('256,' || array_to_string([ord(x) FOR x IN string_split(a || b || chr(10), '')], ',')) AS ids, (strlen(a) + 1)::BIGINT AS first_label FROM e WHERE regexp_full_match(a || b, '[\\x00-\\x7f]*') AND strlen(a) + strlen(b) + 2 <= 1024")
+def encoded_ids(spark, d):
+    """Ids and the place of the first label, of conversations in ASCII, whose bytes SQL can list."""
+    ascii_only = F.forall("messages", lambda t: t.content.rlike(r"^[\x00-\x7f]*$"))
+    x = _messages(spark, d).where(ascii_only).select("sft_id", chat.encode("messages", 1024).alias("e")).where("e.input_ids is not null").select("sft_id", "e.*")
+    first = F.array_min(F.transform("labels", lambda v, i: F.when(v != -100, i))).cast("long")
+    return x.select("sft_id", F.md5(F.array_join(F.transform("input_ids", lambda v: v.cast("string")), ",")).alias("ids"), first.alias("first_label"))
+
+
+_GENERATED = f"{_S}, n AS (SELECT DISTINCT u, 'I say: ' || substr(u, 1, 40) AS text FROM m WHERE length(u) % 2 = 0)"
+
+
+def _cache(spark, d) -> DataFrame:
+    """Stand-in for a model's answers, to half of the prompts."""
+    x = _messages(spark, d).select(F.slice("messages", 1, 1).alias("messages")).where(F.length(F.col("messages")[0].content) % 2 == 0)
+    return x.select(preference.generation_key("messages").alias("key"), F.concat(F.lit("I say: "), F.substring(F.col("messages")[0].content, 1, 40)).alias("text"))
+
+
+@query(f"WITH {_GENERATED} SELECT u AS prompt, o AS chosen, text AS rejected FROM m JOIN n USING (u) WHERE {s_strip('text')} <> o")
+def generated_pairs(spark, d):
+    x = preference.generated_pairs(_messages(spark, d), _cache(spark, d))
+    return x.select(F.col("messages")[0].content.alias("prompt"), "chosen", "rejected")
+
+
+@query(f"WITH {_GENERATED} SELECT DISTINCT u AS prompt FROM m WHERE u NOT IN (SELECT u FROM n)")
+def missing_generations(spark, d):
+    x = _messages(spark, d).select(F.slice("messages", 1, 1).alias("messages"))
+    return preference.missing_generations(x, _cache(spark, d)).select(F.col("messages")[0].content.alias("prompt"))
+
+
+@query(f"""WITH {_GENERATED}, {_R}, x AS (SELECT context AS p, choices[label + 1] AS chosen, unnest(choices) AS rejected FROM tamil_cloze),
+j AS (SELECT prompt, {s_strip('model_a')} AS a, {s_strip('model_b')} AS b, winner FROM r JOIN chat_eval_prompts ON prompt_id = id WHERE mode = 'compare' AND winner IN ('a', 'b') AND model_a <> '' AND model_b <> '' AND prompt <> '')
+SELECT 'cloze' AS source, p AS prompt, chosen, rejected FROM x WHERE p <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected
+UNION ALL SELECT 'votes', prompt, CASE winner WHEN 'a' THEN a ELSE b END, CASE winner WHEN 'a' THEN b ELSE a END FROM j WHERE a <> b
+UNION ALL SELECT 'own', u, o, text FROM m JOIN n USING (u) WHERE {s_strip('text')} <> o""")
+def pairs_of_sources(spark, d):
+    """Three formats in one table; a source of an unknown format and a missing one are left out, a switched-off one is not read."""
+    cloze = lambda: load(spark, d, "tamil_cloze").select(F.col("context").alias("ask"), F.get("choices", F.col("label")).alias("chosen"), F.explode("choices").alias("rejected"))
+    votes = lambda: _ratings(spark, d).join(load(spark, d, "chat_eval_prompts").select(F.col("id").alias("prompt_id"), "prompt"), "prompt_id").select("mode", "winner", "prompt", F.col("model_a").alias("response_a"), F.col("model_b").alias("response_b"))
+    tables = {"cloze": cloze, "votes": votes, "own": lambda: _sft(spark, d), "odd": cloze}
+    sources = [
+        {"name": "cloze", "fields": {"prompt": "ask"}}, {"name": "votes", "format": "ratings"}, {"name": "own", "format": "self_generated"},
+        {"name": "odd", "format": "riddles"}, {"name": "gone"}, {"name": "off", "enabled": False},
+    ]
+    x = preference.pairs_of_sources(sources, lambda s: tables[s["name"]](), _cache(spark, d), log=lambda m: None)
+    return x.select("source", F.col("messages")[0].content.alias("prompt"), "chosen", "rejected")
+
+
+@query(f"WITH {_S} SELECT 'a' AS source, u AS first_text, 3::INT AS turns FROM m UNION ALL SELECT 'b', i, 2::INT FROM c WHERE i <> '' AND o <> '' UNION ALL SELECT 'c', 'Text: ' || x || ' Ask: ' || i, 2::INT FROM c WHERE x <> '' AND i <> ''")
+def conversations_of_sources(spark, d):
+    sources = [
+        {"name": "a", "system_prompt": "Be brief."}, {"name": "b", "format": "prompt_response", "fields": {"prompt": "instruction", "response": "output"}},
+        {"name": "c", "format": "qa", "fields": {"context": "input", "question": "instruction", "answer": "output"}, "qa_template": "Text: {context} Ask: {question}"}, {"name": "d", "format": "none"},
+    ]
+    x = chat.conversations_of(sources, lambda s: _sft(spark, d), log=lambda m: None)
+    said = F.filter("messages", lambda t: t.role == "user")
+    return x.select("source", said[0].content.alias("first_text"), F.size("messages").alias("turns"))
+
+
+_PAIRED = f"{_RP}, y AS (SELECT rating_id, p, CASE winner WHEN 'a' THEN a ELSE b END AS chosen, CASE winner WHEN 'a' THEN b ELSE a END AS rejected FROM j WHERE p <> '' AND a <> b), one AS (SELECT min(rating_id) AS rating_id, p, chosen, rejected FROM y GROUP BY p, chosen, rejected)"
+
+
+def _paired(spark, d) -> DataFrame:
+    r = _valid_ratings(spark, d).where("mode = 'compare'").join(load(spark, d, "chat_eval_prompts").select(F.col("id").alias("prompt_id"), "prompt"), "prompt_id")
+    return r.withColumn("pair", preference.pair_of_rating("winner", "prompt", "model_a", "model_b")).where("pair is not null").select("rating_id", "pair")
+
+
+@query(f"WITH {_PAIRED} SELECT rating_id FROM one")
+def deduplicated_pairs(spark, d):
+    return preference.deduplicated(_paired(spark, d), "rating_id").select("rating_id")
+
+
+@query(f"WITH {_PAIRED} SELECT rating_id, (strlen(p) + strlen(chosen) + 70)::BIGINT AS chosen_n, (strlen(p) + strlen(rejected) + 70)::BIGINT AS rejected_n, (strlen(chosen) + 13)::BIGINT AS chosen_labels FROM y WHERE strlen(p) + greatest(strlen(chosen), strlen(rejected)) + 70 <= 200 AND p = {s_strip('p')}")
+def encoded_pairs(spark, d):
+    """Pairs of prompts without outer space, which rendering would strip."""
+    x = preference.encoded(_paired(spark, d), 200)
+    x = x.where(F.col("pair.messages")[0].content == chat.strip(F.col("pair.messages")[0].content))
+    return x.select("rating_id", F.size("chosen_input_ids").cast("long").alias("chosen_n"), F.size("rejected_input_ids").cast("long").alias("rejected_n"), F.size(F.filter("chosen_labels", lambda v: v != -100)).cast("long").alias("chosen_labels"))
+
+
 # --- vocabulary ---------------------------------------------------------------------------------------------------------
 _TP = f"""t AS (SELECT id, piece, score FROM tokenizer_pieces WHERE piece_type = 1 AND regexp_matches(replace(piece, '▁', ''), '^[{TAMIL}]+$') AND length(replace(piece, '▁', '')) >= 2),
 base AS (SELECT * FROM tokenizer_pieces WHERE id % 3 <> 0), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS overall FROM t),
@@ -765,6 +937,37 @@ def union_of_sources(spark, d):
     return out.select("text", F.when(F.col("source_ordinal") == 0, 0).otherwise(1).alias("source_ordinal"))
 
 
+def _text_folder(spark, d, sep: str) -> str:
+    """The documents as text files, each followed by a separator; line feeds at their ends would merge with it."""
+    path = f"{tables.shared_folder(spark)}/lexiloom-text-{uuid.uuid4().hex}"
+    load(spark, d, "documents").select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+$", "").alias("value")).write.option("lineSep", sep).text(path)
+    return path
+
+
+_WRITTEN = r"w AS (SELECT regexp_replace(coalesce(text, ''), '[\r\n]+$', '') AS t FROM documents)"
+
+
+@query(rf"WITH {_WRITTEN}, x AS (SELECT unnest(string_split_regex(t, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')) AS text FROM w) SELECT text, count(*) AS n FROM x WHERE {s_strip('text')} <> '' GROUP BY text")
+def text_lines(spark, d):
+    """Text files read back by lines."""
+    rows = readers.read_text(spark, [_text_folder(spark, d, "\n")], "line")
+    return rows.groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(rf"WITH {_WRITTEN}, x AS (SELECT unnest(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10) || chr(10))) AS text FROM w) SELECT text, count(*) AS n FROM x WHERE {s_strip('text')} <> '' GROUP BY text")
+def text_paragraphs(spark, d):
+    """Text files read back by paragraphs."""
+    rows = readers.read_text(spark, [_text_folder(spark, d, "\n\n")], "blank_line")
+    return rows.groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, doc_id, row_number() OVER (ORDER BY md5('3:' || source), source, doc_id) AS place FROM documents WHERE source IS NOT NULL")
+def shuffled_files(spark, d):
+    """Sources stand for files: documents file by file, files in seeded order."""
+    x = readers.shuffled_files(load(spark, d, "documents").where("source is not null").select("source", "doc_id"), "source", "doc_id", 3)
+    return x.select("source", "doc_id", (F.row_number().over(Window.orderBy(*readers.file_order("source", "doc_id", 3)))).cast("long").alias("place"))
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('5:' || doc_id::VARCHAR), doc_id LIMIT 25")
 def seeded_sample(spark, d):
     """A seeded sample; the limit is the operator."""
@@ -772,6 +975,5 @@ def seeded_sample(spark, d):
 
 
 
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return stats_by_source(spark, d)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from pathlib import Path
-from typing import Any, Callable, Mapping, Sequence
+from typing import Any, Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +17,21 @@ from ..functions.chars import blank
 from ..operators.chat import strip_prefix
 
 SEQ = "seq"
+SPREAD_BYTES = 1 << 29
+_MARKER = re.compile(r"_SUCCESS$|_committed_|_started_|\..*\.crc$|_metadata$|_common_metadata$")
 
 
 def expand(path: str) -> list[str]:
     """Files of a path: variables expanded; a directory with all its files, a glob, or one file; sorted.
 
-    A missing file or an empty match raises.  Paths with a scheme (hdfs://, s3a://) are left to Spark.
+    A missing file or an empty match raises.  Only Spark's own markers are left out of directories.  Paths with a scheme
+    (hdfs://, s3a://) are left to Spark.
     """
     if "://" in path:
         return [path]
     p = os.path.expandvars(os.path.expanduser(path))
     if os.path.isdir(p):
-        found = sorted(str(x) for x in Path(p).rglob("*") if x.is_file() and not x.name.startswith(("_", ".")))
+        found = sorted(str(x) for x in Path(p).rglob("*") if x.is_file() and not _MARKER.match(x.name))
     elif any(c in p for c in "*?["):
         found = sorted(x for x in glob.glob(p, recursive=True) if os.path.isfile(x))
     else:
@@ -36,23 +41,32 @@ def expand(path: str) -> list[str]:
     return found
 
 
+def seen_by_spark(paths: Sequence[str]) -> list[str]:
+    """The paths, if Spark reads them all: it passes over names that begin with '_' or '.'."""
+    for x in paths:
+        if os.path.basename(x).startswith(("_", ".")):
+            raise ValueError(f"Spark passes over {x}: rename it")
+    return list(paths)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores where its files are fewer: one small file is one task, however heavy the work on its rows.
+    """df over all cores where it is small and in few files: one small file is one task, however heavy the work on its rows.
 
-    Tables with enough files, as any large one has, are left as they are.
+    Tables beyond SPREAD_BYTES are left to the split size, so no large table is shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def read_parquet(spark: SparkSession, paths: Sequence[str], **_: Any) -> DataFrame:
-    return spark.read.parquet(*paths)
+    return spark.read.parquet(*seen_by_spark(paths))
 
 
 def read_jsonl(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None, **_: Any) -> DataFrame:
     """Blank lines are skipped, gzip is read by its extension, a malformed line raises."""
     reader = spark.read.option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema else reader).json(list(paths))
+    return (reader.schema(schema) if schema else reader).json(seen_by_spark(paths))
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -65,20 +79,103 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType | s
 
 
 def read_text(spark: SparkSession, paths: Sequence[str], doc_sep: str = "blank_line", **_: Any) -> DataFrame:
-    """(id = file:ordinal, text): one document a line, a paragraph or a file.  Blank documents are skipped but counted."""
-    if doc_sep not in ("line", "blank_line", "file"):
-        raise ValueError(f"unknown doc_sep {doc_sep!r}")
-    raw = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    text = F.regexp_replace("value", r"\r\n?", "\n")
+    """(id = file:ordinal, text): one document a line, a paragraph or a file.  Blank documents are skipped but counted.
+
+    Lines end at any line boundary of Unicode; paragraphs at one empty line, after CRLF has become LF.  Lines and
+    paragraphs are read in splits, whatever the size of a file; files with CRLF are read whole for paragraphs.
+    """
     if doc_sep == "file":
-        rows = raw.select("file", F.lit(0).alias("n"), F.col("value").alias("text"))
+        raw = _raw_text(spark, paths, None)
+        rows = raw.select("name", F.lit(0).cast("long").alias("n"), F.col("value").alias("text"))
+    elif doc_sep == "line":
+        rows = numbered_pieces(_raw_text(spark, paths, "\n"), lambda v: v.splitlines() or [""])
+    elif doc_sep == "blank_line":
+        lines = _raw_text(spark, paths, "\n")
+        # The files are listed on the driver already; of those with CRLF only the names come there.
+        dos = {r.path for r in lines.where(F.col("value").endswith("\r")).select("path").distinct().collect()}
+        cut = lambda v: v.replace("\r\n", "\n").split("\n\n")
+        parts = [numbered_pieces(_raw_text(spark, paths, None).where(F.col("path").isin(*dos)), cut)] if dos else []
+        parts.append(numbered_pieces(_raw_text(spark, paths, "\n\n").where(~F.col("path").isin(*dos)) if dos else _raw_text(spark, paths, "\n\n"), cut))
+        rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     else:
-        cut = "\n" if doc_sep == "line" else r"\n[ \t]*\n"
-        rows = raw.select("file", F.posexplode(F.split(text, cut)).alias("n", "text"))
-    return rows.where(~blank("text")).select(F.concat_ws(":", "file", F.col("n").cast("string")).alias("id"), "text")
+        raise ValueError(f"unknown doc_sep {doc_sep!r}")
+    return rows.where(~blank("text")).select(F.concat_ws(":", "name", F.col("n").cast("string")).alias("id"), "text")
+
+
+def _raw_text(spark: SparkSession, paths: Sequence[str], sep: str | None) -> DataFrame:
+    """(value, path, name, block).  Files that Spark passes over by their names are opened by the workers."""
+    meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "path"), ("file_name", "name"), ("file_block_start", "block"))]
+    hidden = [x for x in paths if os.path.basename(x).startswith(("_", "."))]
+    plain = [x for x in paths if x not in set(hidden)]
+    out = spark.read.text(plain, wholetext=sep is None, lineSep=sep).select("value", *meta) if plain else None
+    if hidden:
+
+        def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for path in pdf["path"]:
+                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                        text = f.read()
+                    parts = [text] if sep is None else text.removesuffix(sep).split(sep)
+                    yield pd.DataFrame({"value": parts, "path": path, "name": os.path.basename(path), "block": 0})
+
+        named = spark.createDataFrame([(x,) for x in hidden], "path string").repartition(len(hidden))
+        own = named.mapInPandas(opened, "value string, path string, name string, block long")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def numbered_pieces(raw: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
+    """(name, n, text): the pieces of each row's value, numbered through their file.
+
+    A split of a file is read by one task in order, so pieces are numbered inside their split, and the splits' counts,
+    a row each, give the offsets.  This reads the files twice and shuffles no text.
+    """
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[tuple[str, int], int] = {}
+        for pdf in batches:
+            out = []
+            for value, path, name, block in zip(pdf["value"], pdf["path"], pdf["name"], pdf["block"]):
+                for piece in cut(value):
+                    k = at.get((path, block), 0)
+                    at[path, block] = k + 1
+                    out.append((path, name, block, k, piece))
+            yield pd.DataFrame(out, columns=["path", "name", "block", "k", "text"])
+
+    pieces = raw.select("value", "path", "name", "block").mapInPandas(number, "path string, name string, block long, k long, text string")
+    sizes = pieces.groupBy("path", "block").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("path", "block", before.alias("before"))  # one row a split
+    return pieces.join(offsets, ["path", "block"]).select("name", (F.col("k") + F.col("before")).alias("n"), "text")
+
+
+def hub_files(src: Mapping[str, Any]) -> list[str]:
+    """Files of a local mirror of a hub dataset: path[/snapshots/revision][/config_name][/data_dir], then ``data_files``
+    (a pattern, several, or a map by split), else the files that name the split (default train), else all."""
+    if src.get("path") is None:
+        raise ValueError("a hub dataset needs the path of its local mirror")
+    root = os.path.expandvars(os.path.expanduser(src["path"]))
+    if os.path.isfile(root) or "://" in root or any(c in root for c in "*?["):
+        return expand(root)
+    steps = [os.path.join("snapshots", src["revision"]) if src.get("revision") else None, src.get("config_name"), src.get("data_dir")]
+    for step in filter(None, steps):
+        root = os.path.join(root, step)
+    split, named = src.get("split") or "train", src.get("data_files")
+    if isinstance(named, Mapping):
+        named = named[split]
+    if named is not None:
+        return [f for pattern in ([named] if isinstance(named, str) else named) for f in expand(os.path.join(root, pattern))]
+    every = expand(root)
+    inside = [f for f in every if re.search(rf"(?:^|[^a-z]){re.escape(split)}(?:[^a-z]|$)", os.path.relpath(f, root))]
+    return inside or every
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"parquet": read_parquet, "jsonl": read_jsonl, "text": read_text, "hf": read_parquet}
+def read_hub(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None, **_: Any) -> DataFrame:
+    """By extension: Parquet, or JSON lines."""
+    return read_jsonl(spark, paths, schema) if all(re.search(r"\.jsonl?(\.gz)?$", p) for p in paths) else read_parquet(spark, paths)
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {"parquet": read_parquet, "jsonl": read_jsonl, "text": read_text, "hf": read_hub}
 
 
 def row_filter(spec: Mapping[str, Any] | None, columns: Sequence[str]) -> Column:
@@ -101,16 +198,18 @@ def iter_rows(spark: SparkSession, src: Mapping[str, Any], order_col: str | None
     kind = src.get("type", "parquet")
     if kind not in READERS:
         raise ValueError(f"unknown source type {kind!r}")
-    if kind == "hf" and src.get("path") is None:
-        raise ValueError("a hub dataset needs the path of its local mirror")
-    paths = [f for p in ([src["path"]] if isinstance(src["path"], str) else src["path"]) for f in expand(p)]
+    if kind == "hf":
+        paths = hub_files(src)
+    else:
+        paths = [f for p in ([src["path"]] if isinstance(src["path"], str) else src["path"]) for f in expand(p)]
     df = READERS[kind](spark, paths, **{k: src[k] for k in ("doc_sep", "schema") if k in src})
     df = df.where(row_filter(src.get("filter"), df.columns))
     skip, most = int(src.get("skip_docs") or 0), src.get("max_docs")
     order = order_col or src.get("order_field")
     if src.get("shuffle_seed") is not None:
         key = F.xxhash64(F.lit(int(src["shuffle_seed"])), *[F.col(f"`{c}`").cast("string") for c in ([order] if order else df.columns)])
-        df = df.orderBy(key)
+        # Equal keys fall back on the order itself, or on all columns, so the cut is the same on every run.
+        df = df.orderBy(key, *([order] if order else [F.col(f"`{c}`").cast("string") for c in df.columns]))
     elif order and (skip or most is not None):
         df = df.orderBy(order)
     if skip:
@@ -146,18 +245,24 @@ def source_documents(df: DataFrame, src: Mapping[str, Any], order_col: str) -> D
     return rows.where("text <> ''").select("text", F.lit(src["name"]).alias("source"), "source_id", SEQ)
 
 
-def union_sources(spark: SparkSession, sources: Sequence[Mapping[str, Any]], load: Callable[[Mapping[str, Any]], DataFrame], log: Callable[[str], None] = print) -> DataFrame:
-    """All sources in order, with their ordinal.  One that can't be read is reported and left out unless required."""
-    out = None
-    for i, src in enumerate(validated(sources)):
+def each_source(sources: Sequence[Mapping[str, Any]], load: Callable[[Mapping[str, Any]], DataFrame], log: Callable[[str], None] = print) -> Iterator[tuple[int, Mapping[str, Any], DataFrame]]:
+    """(ordinal, source, rows) of the enabled sources.  One that can't be read is reported and left out unless required."""
+    for i, src in enumerate(s for s in sources if s.get("enabled", True)):
         try:
             df = load(src)
             df.limit(1).count()  # Spark reads lazily: a broken source shows only here
         except Exception as e:
             if src.get("required"):
                 raise
-            log(f"source {src['name']} left out: {str(e)[:200]}")
+            log(f"source {src['name']} left out: {type(e).__name__}: {str(e)[:200]}")
             continue
+        yield i, src, df
+
+
+def union_sources(spark: SparkSession, sources: Sequence[Mapping[str, Any]], load: Callable[[Mapping[str, Any]], DataFrame], log: Callable[[str], None] = print) -> DataFrame:
+    """All sources in order, with their ordinal."""
+    out = None
+    for i, _, df in each_source(validated(sources), load, log):
         df = df.withColumn("source_ordinal", F.lit(i))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
@@ -191,9 +296,13 @@ def available_categories(spark: SparkSession, root: str) -> list[str]:
     return sorted(r[0] for r in read_shards(spark, root).select("category").distinct().collect())
 
 
+def file_order(file_col: str, pos_col: str, seed: int) -> list[Column]:
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(file_col))), F.col(file_col), F.col(pos_col)]
+
+
 def shuffled_files(df: DataFrame, file_col: str, pos_col: str, seed: int) -> DataFrame:
     """Documents file by file, files in seeded order."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(file_col))), file_col, pos_col)
+    return df.orderBy(*file_order(file_col, pos_col, seed))
 
 
 def numbered(df: DataFrame, order_col: str) -> DataFrame:

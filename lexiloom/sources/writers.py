@@ -12,7 +12,8 @@ from pathlib import Path
 from typing import Any
 
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 STATS = "stats.json"
 
@@ -40,15 +41,19 @@ def write_corpus(df: DataFrame, path: str, rows_per_file: int = 200_000, fmt: st
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> int:
-    df.write.mode(mode).json(path)
-    return df.sparkSession.read.schema(df.schema).json(path).count()
+    """Rows written, counted while they are."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    return seen.get["n"]
 
 
 def append_ratings(ratings: DataFrame, path: str) -> None:
-    """Append well-formed ratings only."""
+    """Append well-formed ratings only, those without a time stamped with the present one in UTC (to the second)."""
     from ..operators.ratings import valid
 
-    ratings.where(valid()).write.mode("append").json(path)
+    now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+    stamp = F.coalesce(F.col("ts").cast("string"), F.lit(now)) if "ts" in ratings.columns else F.lit(now)
+    ratings.where(valid()).withColumn("ts", stamp).write.mode("append").json(path)
 
 
 def save_json(path: str, data: Any) -> None:
@@ -82,16 +87,22 @@ def run_metadata(config: dict[str, Any], path: str) -> dict[str, Any]:
     return data
 
 
-def save_packed(blocks: DataFrame, path: str, manifest: dict[str, Any]) -> None:
+def save_packed(blocks: DataFrame, path: str, manifest: dict[str, Any], evals: dict[str, DataFrame] | None = None) -> None:
     """Packed blocks with a manifest, which is written last and so marks a complete table."""
     blocks.write.mode("overwrite").parquet(os.path.join(path, "train"))
+    for name, table in (evals or {}).items():
+        table.write.mode("overwrite").parquet(os.path.join(path, f"eval_{name}"))
     save_json(os.path.join(path, "manifest.json"), manifest)
 
 
-def load_packed(spark, path: str, build=None) -> DataFrame:
-    """The packed table; built first if there is no manifest and a builder is given."""
+def load_packed(spark, path: str, build=None, name: str = "train") -> DataFrame:
+    """A packed table, train or eval_<set>; built first if there is no manifest and a builder is given."""
     if not os.path.exists(os.path.join(path, "manifest.json")):
         if build is None:
             raise FileNotFoundError(os.path.join(path, "manifest.json"))
         build()
-    return spark.read.parquet(os.path.join(path, "train"))
+    return spark.read.parquet(os.path.join(path, name))
+
+
+def eval_tables(path: str) -> list[str]:
+    return sorted(x for x in os.listdir(path) if x.startswith("eval_"))

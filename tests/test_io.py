@@ -13,24 +13,75 @@ from lexiloom.streaming import stream
 
 
 def test_paths(tmp_path, monkeypatch):
-    for n in ("b.txt", "a.txt", "_skip"):
+    for n in ("b.txt", "a.txt", "_own", "_SUCCESS", ".a.txt.crc"):
         (tmp_path / n).write_text("x")
     monkeypatch.setenv("HERE", str(tmp_path))
-    assert [os.path.basename(p) for p in readers.expand("$HERE")] == ["a.txt", "b.txt"]
+    assert [os.path.basename(p) for p in readers.expand("$HERE")] == ["_own", "a.txt", "b.txt"]
+    with pytest.raises(ValueError):
+        readers.seen_by_spark([str(tmp_path / "_own")])
     assert [os.path.basename(p) for p in readers.expand("$HERE/*.txt")] == ["a.txt", "b.txt"]
     for missing in ("$HERE/none.txt", "$HERE/*.csv"):
         with pytest.raises(FileNotFoundError):
             readers.expand(missing)
 
 
-def test_text(spark, tmp_path):
-    (tmp_path / "t.txt").write_bytes("one\r\n\r\n  \n\ntwo\nlines\n".encode())
-    got = {r.id: r.text.strip() for r in readers.read_text(spark, [str(tmp_path / "t.txt")]).collect()}
-    assert list(got.values()) == ["one", "two\nlines"] and all(k.startswith("t.txt:") for k in got)
-    assert [r.text for r in readers.read_text(spark, [str(tmp_path / "t.txt")], "line").collect()] == ["one", "two", "lines"]
-    assert readers.read_text(spark, [str(tmp_path / "t.txt")], "file").count() == 1
+TEXTS = {
+    "unix.txt": "one\n\ntwo\nlines\n\n\nthree\n \nstill three\x0bor\u2028more\n\n",
+    "dos.txt": "one\r\n\r\n  \n\ntwo\r\nlines\r\n\r\n\nend\r",
+    "_own": "first\n\nsecond\n",
+    "empty.txt": "",
+}
+
+
+@pytest.mark.parametrize("split", ["134217728", "16"])
+@pytest.mark.parametrize("mode", ["line", "blank_line", "file"])
+def test_text(spark, tmp_path, mode, split):
+    """Documents and ordinals by the rule, written out in Python; files in one split and in many."""
+    want = {}
+    for name, text in TEXTS.items():
+        (tmp_path / name).write_bytes(text.encode())
+        docs = {"line": text.splitlines(), "blank_line": text.replace("\r\n", "\n").split("\n\n"), "file": [text]}[mode]
+        want |= {f"{name}:{i}": d for i, d in enumerate(docs) if d.strip()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = readers.read_text(spark, readers.expand(str(tmp_path)), mode).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r.id: r.text for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        readers.read_text(spark, [str(tmp_path / "unix.txt")], "page")
+
+
+def test_hub_mirrors(spark, tmp_path):
+    root = tmp_path / "set" / "snapshots" / "abc" / "ta"
+    root.mkdir(parents=True)
+    for name, n in (("train-0.parquet", 3), ("train-1.parquet", 4), ("test-0.parquet", 2)):
+        spark.range(n).toPandas().to_parquet(root / name)
+    src = {"type": "hf", "path": str(tmp_path / "set"), "revision": "abc", "config_name": "ta"}
+    count = lambda **more: readers.iter_rows(spark, {**src, **more}).count()
+    assert count() == 7 and count(split="test") == 2 and count(split="none") == 9
+    assert count(data_files="*-0.parquet") == 5 and count(data_files={"test": ["test-*"]}, split="test") == 2
     with pytest.raises(ValueError):
-        readers.read_text(spark, [str(tmp_path / "t.txt")], "page")
+        readers.iter_rows(spark, {"type": "hf"})
+
+
+def test_seeded_cut_is_the_same(spark, tmp_path):
+    spark.range(100).selectExpr("id % 10 as k", "id").write.parquet(str(tmp_path / "t"))
+    src = {"type": "parquet", "path": str(tmp_path / "t"), "shuffle_seed": 3, "max_docs": 7}
+    first = [tuple(r) for r in readers.iter_rows(spark, src).collect()]
+    assert first == [tuple(r) for r in readers.iter_rows(spark, src).collect()] and len(first) == 7
+
+
+def test_ratings_are_stamped(spark, tmp_path):
+    from tests.test_operators import R, rating
+
+    writers.append_ratings(spark.createDataFrame([rating(), rating(w="none")], R), str(tmp_path / "r"))
+    writers.append_ratings(spark.createDataFrame([(*rating(), "2024-05-01T00:00:00+00:00")], R + ", ts string"), str(tmp_path / "r"))
+    got = sorted(r.ts for r in spark.read.json(str(tmp_path / "r")).collect())
+    assert len(got) == 2 and got[0].startswith("2024-05-01") and got[1].endswith("+00:00")
+    assert writers.write_jsonl(spark.range(5), str(tmp_path / "j")) == 5
 
 
 def test_jsonl(spark, tmp_path):
@@ -121,6 +172,15 @@ def test_packed_tables(spark, tmp_path):
         writers.load_packed(spark, path)
     blocks = spark.createDataFrame([(0, [1, 2])], "block long, input_ids array<int>")
     assert writers.load_packed(spark, path, lambda: writers.save_packed(blocks, path, {"seq_len": 2})).count() == 1
+    from lexiloom.operators import packing
+
+    rows = [(i, "ab"[i % 2], [i] * 5, 5) for i in range(20)] + [(99, "c", [1], 1)]
+    tokens = spark.createDataFrame(rows, "id long, category string, input_ids array<int>, n_tokens int")
+    said = []
+    sets = packing.eval_sets(tokens, {"both": ["a", "b"], "one": ["a"], "short": ["c"], "none": ["z"]}, "id", "category", 4, 10, log=said.append)
+    assert {k: v.count() for k, v in sets.items()} == {"both": 10, "one": 10} and len(said) == 2
+    writers.save_packed(blocks, path, {"seq_len": 2}, sets)
+    assert writers.eval_tables(path) == ["eval_both", "eval_one"] and all(len(r.input_ids) == 4 for r in writers.load_packed(spark, path, name="eval_one").collect())
     assert writers.run_metadata({"a": 1}, path)["config"] == {"a": 1}
 
 

@@ -243,3 +243,61 @@ def test_slots(spark):
     base = spark.createDataFrame([(0, "a", 0.0, 1), (1, "u0", 0.0, 6), (2, "u1", 0.0, 6)], "id int, piece string, score double, piece_type int")
     fresh = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "piece string, rank int")
     assert {r.piece: r.id for r in vocab.slots(base, fresh, F.col("piece_type") == 6).collect()} == {"x": 1, "y": 2, "z": 3}
+
+
+def test_tokenizers_of_files(spark):
+    import os
+
+    from lexiloom.functions import tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files here")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    texts = ["The old lamp.", "மழை வந்தது", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", tokenizer.token_ids("t", path).alias("ids"), tokenizer.encoded("t", path).alias("e")).collect()
+    for r in got:
+        assert r.ids == t.encode(r.t or "", add_special_tokens=False).ids and r.e.decoded == (r.t or "") and len(r.e.pieces) == len(r.ids)
+    chats = spark.createDataFrame([([("user", "u"), ("assistant", "the lamp")],)], "m array<struct<role:string,content:string>>")
+    e = chats.select(chat.encode("m", 500, bos=None, tokenize=tokenizer.FileTokenizer(path)).alias("e")).first().e
+    assert t.decode([x for x in e.labels if x >= 0], skip_special_tokens=False) == "the lamp<end_of_turn>"
+    if os.path.exists("/opt/tokenizers/piece_bpe_32k.model"):
+        assert len(df.select(tokenizer.token_ids("t", "/opt/tokenizers/piece_bpe_32k.model").alias("ids")).first().ids) > 1
+    with pytest.raises(Exception):
+        df.select(tokenizer.token_ids("t", "x.bin")).collect()
+
+
+def test_reports(spark):
+    from lexiloom.operators import reports
+
+    m = spark.createDataFrame([("a", "ta", 100, 2.0, 3.0), ("b", "ta", 81, 1.62, 3.7), ("b", "en", 10, 1.0, 4.0)], "tokenizer string, text_set string, tokens long, fertility double, bytes_per_token double")
+    got = reports.tokenizer_table(m, {"a": 1000, "b": 2500}, "a").split("\n")
+    assert got[0] == "| tokenizer | vocab | en fertility | ta fertility | en bytes/tok | ta bytes/tok |" and got[1] == "|---|---:|---:|---:|---:|---:|"
+    assert got[2] == "| a | 1,000 | – | 2.00 | – | 3.00 |" and got[3] == "| b | 2,500 | 1.00 | 1.62 (-19%) | 4.00 | 3.70 |"
+    lm = spark.createDataFrame([("m", "ta", 0.51234)], "model string, text_set string, bits_per_byte double")
+    tasks = spark.createDataFrame([("m", "cloze", 0.5), ("n", "copa", 0.25)], "model string, task string, acc_norm double")
+    text = reports.evaluation_report(lm, tasks, spark.createDataFrame([("m", "p", " c ")], "model string, prompt string, completion string"))
+    assert "| m | 0.512 |" in text and "| n | – | 0.250 |" in text and "- **p** → c" in text
+
+
+def test_generations(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    turns = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([([("user", "u"), ("assistant", "a")],), ([("user", "u"), ("assistant", "b")],), ([("user", "v"), ("assistant", "c")],), ([("user", "w")],)], f"messages {turns}")
+    empty = spark.createDataFrame([], "key string, text string")
+    prompts = df.where(F.size("messages") == 2).select(F.slice("messages", 1, 1).alias("messages"))
+    todo = preference.missing_generations(prompts, empty)
+    assert todo.count() == 2
+    preference.append_generations(todo.where(F.col("messages")[0].content == "u").withColumn("text", F.lit(" a")), path)
+    cache = spark.read.schema("key string, text string").json(path)
+    assert [r.messages[0].content for r in preference.missing_generations(prompts, cache).collect()] == ["v"]
+    assert [(r.chosen, r.rejected) for r in preference.generated_pairs(df, cache).collect()] == [("b", " a")]
+    with pytest.raises(ValueError):
+        preference.pairs_of(df, {"name": "x", "format": "self_generated"})
+    with pytest.raises(RuntimeError):
+        preference.pairs_of_sources([{"name": "x", "required": True}], lambda s: (_ for _ in ()).throw(RuntimeError("gone")))
+    lists = spark.createDataFrame([([("user", "p")], "x", "y"), ([], "x", "y"), (None, "x", "y")], f"prompt {turns}, chosen string, rejected string")
+    assert preference.pairs_of(lists, {"name": "x"}).count() == 1

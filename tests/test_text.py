@@ -64,7 +64,20 @@ def test_dedup_key_keeps_marks(spark):
     ("Wir gehen morgen zusammen ins Museum und danach nach Hause", "other"), ("ok", "other"), (None, "other"),
 ])
 def test_language(spark, text, want):
-    assert one(spark, text, langid.detect).lang == want
+    cfg = langid.LangIdConfig(lexicon=("naan", "inniki", "iruken", "romba", "nalla", "iruku", "machan", "vaanga"))
+    assert one(spark, text, lambda c: langid.detect(c, cfg)).lang == want
+
+
+def test_lexicon_from_a_file_and_from_samples(spark, tmp_path):
+    from lexiloom.functions import wordlists
+
+    (tmp_path / "words.txt").write_text("# words\nNaan\n\nromba\n")
+    score = lambda cfg: one(spark, "naan romba late", lambda c: langid.latin_scores(c, cfg)[0])
+    assert score(langid.LangIdConfig(lexicon=str(tmp_path / "words.txt"))) == pytest.approx(2 / 3) and score(langid.LangIdConfig()) == 0
+    rows = [("naan romba late", "Tanglish "), ("naan the a", "tanglish"), ("the late", "en-GB"), ("nalla", "ta"), (None, "tanglish")]
+    samples = spark.createDataFrame(rows, "text string, lang string")
+    assert wordlists.learned_lexicon(samples) == ("naan", "romba") and wordlists.learned_lexicon(samples, most=1) == ("naan",)
+    assert wordlists.learned_lexicon(samples.limit(0)) == ()
 
 
 def test_scores_are_zero_in_early_branches(spark):
@@ -104,6 +117,21 @@ def test_spoken(spark, text, want):
         assert tanglish.colloquialize_text(text) == want
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_repeated_lines(spark, most):
+    from lexiloom.operators import lines
+
+    rng = random.Random(most)
+    text = "\n".join(rng.choice(["a b", "", "c", " a b ", "d"]) for _ in range(60))
+    seen, want = {}, []
+    for x in map(str.strip, text.split("\n")):
+        seen[x] = seen.get(x, 0) + 1
+        if not x or seen[x] <= most:
+            want.append(x)
+    want = re.sub(r"\n{3,}", "\n\n", "\n".join(want)).strip()
+    assert one(spark, text, lambda c: lines.filter_lines(c, lines.LineFilterConfig(min_chars=0, max_repeats=most))) == want
+
+
 def test_line_filter(spark):
     text = "first line here\nAll rights reserved 2024\nfirst line here\n\nx = {1}\nsecond line"
     assert one(spark, text, lines.filter_lines) == "first line here\n\nsecond line"
