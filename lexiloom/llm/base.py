@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,51 +11,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import materialize  # noqa: F401  (for all operators of this subpackage)
+
 NOT_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 SCAN_BATCH = 2000
 BLOOM_BITS = 1 << 23
-_TEMP: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="lexiloom-")
-    atexit.register(shutil.rmtree, path, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-    return f"file://{path}"
-
-
-def _forget() -> None:
-    for spark, path in _TEMP:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone; the folder is the cluster's temporary one
-            pass
-
-
-atexit.register(_forget)
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; it survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/lexiloom-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _TEMP.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def latest(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
     """One row per key: the one with the latest ``at``; ties fall to the largest values, so the result is stable.
 

@@ -1,14 +1,18 @@
 """Text decoded with the wrong character encoding: found by garbling every clean corpus word, restored by substitution.
 
-Every distinct clean word of the corpus is encoded and wrongly decoded along all ``CHAINS``; the garbled forms are
-hash-joined with the documents' words.  A match names the original, which is substituted.  Words whose original stands
-nowhere clean in the corpus are decoded back along the chains and kept if the result is plain text of one script.
-Replacement characters and dropped bytes are chains too (lossy ones): what they leave is found, and restored where only
-one original fits.  Numeric character references are resolved first: escaped text is no case, escaped garble is.
-
-All tables stay distributed; a fixed-size Bloom filter of the documents' suspicious words keeps garbled forms that no
-document holds out of the shuffle.  Defined results: null and blank texts are no case; repeated rows count once; words
-are taken from whole texts.
+Every distinct clean word of the corpus is encoded and wrongly decoded along all ``CHAINS``, and loses characters to the
+replacement character; the garbled forms are hash-joined with the documents' words.  A match names the original, which is
+substituted where only one fits.  Documents are found by this table alone.  With ``beyond_table`` words whose original
+stands nowhere clean in the corpus are decoded back along the chains, if the result is plain text of one script, and
+words with replacement characters that match nothing are listed as lost; restoring uses it, finding does not.
+
+Numeric character references are resolved inside words only: escaped text is no case, escaped garble is, and what isn't
+restored stays as it was, byte for byte.
+
+All tables stay distributed and no join broadcasts a table that grows; a fixed-size Bloom filter of the documents'
+suspicious words keeps garbled forms that no document holds out of the shuffle.  Defined results: null and blank texts are
+no case; repeated rows count once, and of several texts under one id the latest is restored; words are taken from whole
+texts.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 #: Indic letters come out of no single-byte decoding: words made of them alone are never garbled.
 _SAFE = re.compile(r"^[0-9A-Za-zऀ-෿​-‍﻿]*[ऀ-෿​-‍﻿]+[ऀ-෿0-9A-Za-z​-‍﻿]*$")
 _LATIN_SAFE = re.compile(r"^[ऀ-෿​-‍﻿]+$")
-_ENTITY = re.compile(r"&#[0-9xX]")
+_REFERENCE = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+_ESCAPED = re.compile(rf"[0-9A-Za-z]*(?:(?:[^\x00-\x7f]|{_REFERENCE})+[0-9A-Za-z]*)+")
+MOST_LOST = 3  # characters in a row that a form may have lost
 LOST = "�"
 MOST_SIGNS = 1 << 22
 CODECS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "cp1253", "iso8859_15", "iso8859_2")
@@ -63,8 +69,8 @@ CHAINS: tuple[tuple[str, ...], ...] = (
     *((c, c) for c in ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437")),
     ("cp1252", "latin-1"), ("latin-1", "cp1252"), ("cp1252-", "cp1252-"), ("cp1252", "cp1252", "cp1252"),
 )
-#: Legacy bytes read as UTF-8: every character beyond ASCII becomes one replacement character.
-REPLACED = "utf-8?"
+#: Legacy bytes read as UTF-8: every character beyond ASCII becomes one replacement character, or some do.
+REPLACED, LOSSY = "utf-8?", "part?"
 
 
 def garble(word: str, chain: tuple[str, ...]) -> str:
@@ -120,12 +126,45 @@ def suspicious(word: str) -> bool:
     return not (_LATIN_SAFE.match(word) or _SAFE.match(word))
 
 
-def unescaped(text: str) -> str:
-    return html.unescape(text) if _ENTITY.search(text) else text
+def text_words(text: str) -> list[str]:
+    """Words with signs beyond ASCII; numeric references inside a word are resolved."""
+    if "&#" not in text:
+        return [] if text.isascii() else _WORD.findall(text)
+    out: list[str] = []
+    for m in _ESCAPED.finditer(text):
+        w = m.group()
+        out += _WORD.findall(html.unescape(w)) if "&#" in w else [w]
+    return out
 
 
-def text_words(text: str) -> Iterator[str]:
-    return _WORD.findall(unescaped(text)) if not text.isascii() or "&#" in text else ()
+def lossy_forms(word: str) -> Iterator[str]:
+    """The word with each run of up to MOST_LOST characters beyond ASCII replaced, a replacement character for each."""
+    for n in range(1, MOST_LOST + 1):
+        for i in range(len(word) - n + 1):
+            gone = word[i : i + n]
+            if n < len(word) and all(c > "\x7f" for c in gone):
+                yield word[:i] + LOST * n + word[i + n :]
+
+
+def put_back(text: str, known: dict[str, str]) -> str:
+    """The text with every known garbled word, or known run inside a word, replaced by its original."""
+
+    def one(m: re.Match) -> str:
+        w = m.group()
+        return known[w] if w in known else _RUN.sub(lambda r: known.get(r.group(), r.group()), w)
+
+    if "&#" not in text:
+        return _WORD.sub(one, text)
+
+    def escaped(m: re.Match) -> str:
+        w = m.group()
+        if "&#" not in w:
+            return one(m)
+        plain_ = html.unescape(w)
+        got = _WORD.sub(one, plain_)
+        return w if got == plain_ else got
+
+    return _ESCAPED.sub(escaped, text)
 
 
 def corpus_words(docs: DataFrame, id_col: str, text_col: str, limit: int = 200_000) -> DataFrame:
@@ -175,13 +214,14 @@ def corpus_words(docs: DataFrame, id_col: str, text_col: str, limit: int = 200_0
     return docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
 
 
-def matches(words: DataFrame) -> DataFrame:
+def matches(words: DataFrame, beyond_table: bool = False) -> DataFrame:
     """(form, original, chain, originals): the documents' words that are garbled forms of clean corpus words."""
     spark = words.sparkSession
     odd = words.where("doc_id is not null").groupBy("word").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("word"))
     odd = base.materialize(odd, "odd")
     passing = spark.sparkContext.broadcast(base.bloom(odd, "h"))
     held: list = []
+    some_lost = odd.where(F.col("word").contains(LOST)).limit(1).count() > 0  # else these forms would match nothing
 
     def forms(cols: dict) -> dict:
         if not held:
@@ -209,8 +249,14 @@ def matches(words: DataFrame) -> DataFrame:
                     signs += len(f)
                     new.append((f, word, "+".join(chain), n))
             f = _RUN.sub(lambda m: LOST * len(m.group()), word)
-            if f not in seen and not f.strip(LOST) == "":
+            if f not in seen:
+                seen.add(f)
                 new.append((f, word, REPLACED, n))
+            if some_lost:
+                for f in lossy_forms(word):
+                    if f not in seen:
+                        signs += len(f)
+                        new.append((f, word, LOSSY, n))
             if signs > MOST_SIGNS:  # long words: their forms don't pile up
                 sift()
                 signs = 0
@@ -220,50 +266,56 @@ def matches(words: DataFrame) -> DataFrame:
     kinds = "form string, original string, chain string, n long"
     clean = words.groupBy("word").agg(F.sum("n").alias("n"))
     few = base.arrow_map(clean, forms, kinds)
-    met = few.join(odd.select(F.col("word").alias("form"), F.col("n").alias("n_form")), "form")
+    met = few.hint("merge").join(odd.select(F.col("word").alias("form"), F.col("n").alias("n_form")), "form")
     # A form that is a plain word itself, and no rarer than the supposed original, is that word.
     best = met.groupBy("form").agg(
         F.max(F.struct("n", "original", "chain")).alias("b"), F.count_distinct("original").alias("originals"), F.first("n_form").alias("n_form")
     )
     joined = best.select("form", "b.original", "b.chain", "originals", "n_form", F.col("b.n").alias("n"))
-    rest = odd.select(F.col("word").alias("form"), F.col("n").alias("n_form")).join(joined.select("form"), "form", "left_anti")
+    def verified(cols: dict) -> dict:
+        keep = pa.array([not plain(f) or nf < n for f, nf, n in zip(cols["form"].to_pylist(), cols["n_form"].to_pylist(), cols["n"].to_pylist())], pa.bool_())
+        return {c: cols[c].filter(keep) for c in ("form", "original", "chain", "originals")}
+
+    sure = base.arrow_map(joined, verified, "form string, original string, chain string, originals long")
+    if not beyond_table:
+        return sure
+    rest = odd.select(F.col("word").alias("form")).hint("merge").join(joined.select("form"), "form", "left_anti")
 
     def decoded(cols: dict) -> dict:
         got = [None if plain(w) else ungarble(w) for w in cols["form"].to_pylist()]
         keep = pa.array([g is not None for g in got], pa.bool_())
         return {"form": cols["form"].filter(keep), "original": pa.array(got, pa.string()).filter(keep)}
 
-    back = base.arrow_map(rest.select("form"), decoded, "form string, original string")
+    back = base.arrow_map(rest, decoded, "form string, original string")
+    return sure.union(back.select("form", "original", F.lit("decoded"), F.lit(1).cast("long")))
 
-    def verified(cols: dict) -> dict:
-        keep = pa.array([not plain(f) or nf < n for f, nf, n in zip(cols["form"].to_pylist(), cols["n_form"].to_pylist(), cols["n"].to_pylist())], pa.bool_())
-        return {c: cols[c].filter(keep) for c in ("form", "original", "chain", "originals")}
-
-    sure = base.arrow_map(joined, verified, "form string, original string, chain string, originals long")
-    return sure.union(back.select("form", "original", F.lit("decoded").alias("chain"), F.lit(1).cast("long").alias("originals")))
 
-
-def garbled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def garbled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", beyond_table: bool = False) -> DataFrame:
     """(doc_id, form, original or null, chain, originals): every garbled word of every document."""
     words = base.materialize(corpus_words(docs, id_col, text_col), "words")
-    found = base.materialize(matches(words), "matches")
+    found = base.materialize(matches(words, beyond_table), "matches")
     inside = words.where("doc_id is not null").select("doc_id", F.col("word").alias("form")).distinct()
-    hit = inside.join(found, "form")
-    lost = inside.where(F.col("form").contains(LOST)).join(found, "form", "left_anti")
-    return hit.select("doc_id", "form", "original", "chain", "originals").union(lost.select("doc_id", "form", F.lit(None).cast("string"), F.lit("lost"), F.lit(0).cast("long")))
+    hit = inside.hint("merge").join(found, "form").select("doc_id", "form", "original", "chain", "originals")
+    if not beyond_table:
+        return hit
+    lost = inside.where(F.col("form").contains(LOST)).hint("merge").join(found.select("form"), "form", "left_anti")
+    return hit.union(lost.select("doc_id", "form", F.lit(None).cast("string"), F.lit("lost"), F.lit(0).cast("long")))
 
 
-def garbled_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def garbled_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", beyond_table: bool = False) -> DataFrame:
     """One row per document with a wrongly decoded passage: garbled words, how many can be restored, and the chains."""
-    w = garbled_words(docs, id_col, text_col)
+    w = garbled_words(docs, id_col, text_col, beyond_table)
     return w.groupBy("doc_id").agg(
         F.count("*").alias("garbled_words"), F.count_if(F.col("originals") == 1).alias("restorable"), F.array_sort(F.collect_set("chain")).alias("chains")
     )
 
 
-def restored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, restored): affected documents with every garbled word that has one original put back."""
-    w = base.materialize(garbled_words(docs, id_col, text_col), "garbled")
+def restored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, beyond_table: bool = True) -> DataFrame:
+    """(doc_id, restored): affected documents with every garbled word that has one original put back.
+
+    Of several texts under one id the latest by ``order_col`` counts, ties by the text.
+    """
+    w = base.materialize(garbled_words(docs, id_col, text_col, beyond_table), "garbled")
     maps = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("originals") == 1, F.struct("form", "original")))).alias("back"))
     passing = docs.sparkSession.sparkContext.broadcast(base.bloom(maps.withColumn("h", F.xxhash64("doc_id")), "h"))
     held: list = []
@@ -272,21 +324,16 @@ def restored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not held:
             held.append(base.BloomTest(passing.value))
         keep = pa.array(held[0](cols["h"].to_numpy().view(np.uint64)))
-        return {"doc_id": cols["doc_id"].filter(keep), "text": cols["text"].filter(keep)}
-
-    kind = dict(docs.dtypes)[id_col]
-    some = base.arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).where("text is not null and doc_id is not null"), affected, f"doc_id {kind}, text string")
-
-    def put_back(cols: dict) -> dict:
-        out = []
-        for text, back in zip(cols["text"].to_pylist(), cols["back"].to_pylist()):
-            known = dict(back)
+        return {c: cols[c].filter(keep) for c in ("doc_id", "at", "text")}
 
-            def one(m: re.Match, known: dict = known) -> str:
-                w = m.group()
-                return known[w] if w in known else _RUN.sub(lambda r: known.get(r.group(), r.group()), w)
+    kinds = dict(docs.dtypes)
+    kind, time = kinds[id_col], kinds[order_col] if order_col else "int"
+    at = F.col(order_col) if order_col else F.lit(0)
+    source = docs.select(F.col(id_col).alias("doc_id"), at.alias("at"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).where("doc_id is not null")
+    some = base.arrow_map(source, affected, f"doc_id {kind}, at {time}, text string")
+    last = base.latest(some, "doc_id", "at", ["text"]).where("text is not null")
 
-            out.append(_WORD.sub(one, unescaped(text)))
-        return {"doc_id": cols["doc_id"], "restored": out}
+    def restore(cols: dict) -> dict:
+        return {"doc_id": cols["doc_id"], "restored": [put_back(t, dict(back)) for t, back in zip(cols["text"].to_pylist(), cols["back"].to_pylist())]}
 
-    return base.arrow_map(some.join(maps, "doc_id"), put_back, f"doc_id {kind}, restored string").dropDuplicates(["doc_id"])
+    return base.arrow_map(last.hint("merge").join(maps, "doc_id"), restore, f"doc_id {kind}, restored string")

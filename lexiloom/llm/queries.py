@@ -101,7 +101,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restored_documents(table(spark, d, "documents"))
+    return mojibake.restored_documents(table(spark, d, "documents"), order_col="ingested_at")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -326,6 +326,30 @@ def test_what_is_no_case(spark):
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
 
 
+def test_what_is_not_garbled_stays_byte_for_byte(spark):
+    import datetime as dt
+
+    t = dt.datetime(2025, 1, 1)
+    bad = mojibake.garble("மழை", ("cp1252",))
+    escaped = "".join(f"&#{ord(c)};" for c in mojibake.garble("நகரம்", ("latin-1",)))
+    text = "AT&amp;T &#8217; x &lt;b&gt;\r\n  {} &#65;&#x42; {}"
+    rows = [(i, c, t) for i, c in enumerate(CLEAN)] + [(50, text.format(bad, escaped), t), (50, text.format(bad, "old"), t.replace(year=2024)), (51, text.format("", ""), t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ingested_at timestamp")
+    got = {r.doc_id: r.restored for r in mojibake.restored_documents(df, order_col="ingested_at").collect()}
+    assert got == {50: text.format("மழை", "நகரம்")}
+
+
+def test_found_by_the_table_alone(spark):
+    alone = mojibake.garble("вечер", ("cp1252",))  # its original stands nowhere
+    part = "கண்டார்"[:3] + mojibake.LOST * 2 + "கண்டார்"[5:]
+    rows = [(i, c) for i, c in enumerate(CLEAN)] + [(60, f"a {alone} b"), (61, part), (62, "x" + mojibake.LOST)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in mojibake.garbled_documents(df).collect()) == [61, 62]
+    assert sorted(r.doc_id for r in mojibake.garbled_documents(df, beyond_table=True).collect()) == [60, 61, 62]
+    assert {r.doc_id: r.restored for r in mojibake.restored_documents(df).collect()}[60] == "a вечер b"
+    assert list(mojibake.lossy_forms("é1")) == [mojibake.LOST + "1"] and not list(mojibake.lossy_forms("é"))
+
+
 def test_bloom_never_drops(spark):
     import numpy as np
 
