@@ -15,7 +15,8 @@ from ..operators.tables import materialize  # noqa: F401  (for all operators of
 
 NOT_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 SCAN_BATCH = 2000
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = 1 << 27  # 16 MB at most
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,11 +113,16 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS, tasks: int = 32) -> bytes:
-    """Bloom filter (2 probes) of a 64-bit column.  Its size is fixed, whatever the number of keys.
+def bloom(df: DataFrame, column: str, most_bits: int = BLOOM_BITS, tasks: int = 32) -> bytes:
+    """Bloom filter (2 probes, 8 bits a key) of a 64-bit column of a written table, of at most ``most_bits``.
 
     A full filter passes everything, so it only ever saves shuffling and never drops a row.
     """
+    keys = df.select(F.col(column).cast("long").alias("k")).where("k is not null")
+    bits = 1 << 10
+    wanted = min(most_bits, 8 * keys.count())
+    while bits < wanted:
+        bits <<= 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(bits, dtype=bool)
@@ -127,7 +133,8 @@ def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS, tasks: int = 32) -
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bits"])
 
     total = np.zeros(bits // 8, dtype=np.uint8)
-    for row in df.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).coalesce(tasks).mapInArrow(build, "bits binary").toLocalIterator():
+    # Only the keys are moved, so the scan before stays in its own tasks.
+    for row in keys.repartition(min(tasks, 1 + bits // (1 << 20))).mapInArrow(build, "bits binary").toLocalIterator():
         total |= np.frombuffer(row.bits, dtype=np.uint8)
     return total.tobytes()
 
@@ -138,14 +145,27 @@ def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BloomTest:
-    """Worker side of ``bloom``: ask with an array of 64-bit keys."""
+    """Worker side of ``bloom``: ask with an array of 64-bit keys.  The filter stays packed."""
 
     def __init__(self, raw: bytes):
-        self.flags = np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).view(bool)
+        self.packed = np.frombuffer(raw, dtype=np.uint8)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        a, b = _probes(h, len(self.flags))
-        return self.flags[a] & self.flags[b]
+        a, b = (self.packed[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1 for p in _probes(h, 8 * len(self.packed)))
+        return (a & b).astype(bool)
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str = "n", share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with the one row of their group, where ``size`` is the group's number of rows.
+
+    Groups that hold more than 1 / ``share`` of the rows are fewer than ``share``, so they are broadcast; the rest, in
+    which no key is hot, is shuffled.
+    """
+    total = rows.count()
+    hot = groups.where(F.col(size) * share > total)
+    cold = groups.where(F.col(size) * share <= total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ likelihood of the register order gives each pair's similarity, and what passes i
 Defined results: null and blank texts, and texts with fewer than ``shingle`` words, have no set and are in no pair; in
 groups they form a class with the texts of the same words, and null and blank ones one of their own.
 Rows repeated under one id count once, the latest delivery (``order_col``) stands.  Texts with equal sets form one
-class and are compared once, through the class's smallest id.  Empty tables give empty results.  Extra columns are
-ignored.  No bucket is capped: members of buckets beyond ``hot_bucket`` go through an exact prefix-filter join.
+class, told by 128 bits of hash, and are compared once, through the class's smallest id.  Empty tables give empty results.
+Extra columns are ignored.  No bucket is capped: members of buckets beyond ``hot_bucket`` go through an exact
+prefix-filter join.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from . import base
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -110,55 +112,55 @@ def sketches(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: Nea
         regs = setsketch(sets, registers)
         return {
             "id": cols["id"], "at": cols["at"],
-            "set_key": pa.array([_set_key(s) if len(s) else _short_key(t, ids) for s, t in zip(sets, texts)], pa.int64()),
+            "set_key": pa.array([_set_key(s) if len(s) else _short_key(t, ids) for s, t in zip(sets, texts)], pa.binary()),
             "size": pa.array([len(s) for s in sets], pa.int32()),
             "registers": pa.array([r.tobytes() if len(s) else b"" for s, r in zip(sets, regs)], pa.binary()),
         }
 
     kinds = dict(df.dtypes)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("at")).where("id is not null")
-    rows = base.arrow_map(source, run, f"id {kinds[id_col]}, at {kinds[order_col]}, set_key long, size int, registers binary")
+    rows = base.arrow_map(source, run, f"id {kinds[id_col]}, at {kinds[order_col]}, set_key binary, size int, registers binary")
     return base.latest(base.materialize(rows, "sketch"), "id", "at", ["set_key", "size", "registers"])
 
 
-def _set_key(s: np.ndarray) -> int:
+def _set_key(s: np.ndarray) -> bytes:
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _short_key(text: str | None, ids: base.WordIds) -> int | None:
+def _short_key(text: str | None, ids: base.WordIds) -> bytes | None:
     got = base.token_ids(text, ids) if text else ()
     return _set_key(got) if len(got) else None
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
-    """(members: id, class_id) and (links: class_a < class_b, similarity) between classes of equal sets."""
+    """(members: id, class_id, n members of the class) and (links: class_a < class_b, similarity) between classes of equal sets."""
     return linked_classes(base.materialize(sketches(df, id_col, text_col, order_col, cfg), "one"), df, id_col, text_col, cfg)
 
 
 def short_classes(every: DataFrame) -> DataFrame:
-    """(id, class_id) of the ids without a set: equal words in order make a class, texts without words stand alone."""
+    """(id, class_id, n) of the ids without a set: equal words in order make a class, texts without words stand alone."""
     short = every.where("size = 0").select("id", "set_key")
-    names = short.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("class_id"))
-    return short.where("set_key is not null").join(names, "set_key").select("id", "class_id").union(short.where("set_key is null").select("id", F.col("id").alias("class_id")))
+    names = short.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    worded = base.hot_join(short.where("set_key is not null"), base.materialize(names, "short"), "set_key").select("id", "class_id", "n")
+    return worded.union(short.where("set_key is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long")))
 
 
 def linked_classes(every: DataFrame, df: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]:
     """``near_duplicate_classes`` from the sketches of every id; those without a set are no members."""
-    # Equal sets share their key; the key stands for the class until the end.
     one = every.where("size > 0")
-    classes = one.groupBy("set_key").agg(F.min("id").alias("class_id"), F.first("size").alias("size"), F.first("registers").alias("registers"))
-    classes = base.materialize(classes, "classes")
-    candidates = candidate_pairs(classes.select("set_key", "registers"), df, id_col, text_col, cfg, one)
-    links = verified(estimated(candidates, classes, cfg), df, id_col, text_col, one, classes, cfg)
-    names = classes.select("set_key", "class_id")
-    members = one.select("id", "set_key").join(names, "set_key").select("id", "class_id")
+    classes = one.groupBy("set_key").agg(F.min("id").alias("class_id"), F.first("size").alias("size"), F.first("registers").alias("registers"), F.count("*").alias("n"))
+    # Once written, the number stands for the class until the end.
+    classes = base.materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    candidates = candidate_pairs(classes, df, id_col, text_col, cfg)
+    links = verified(estimated(candidates, classes, cfg), df, id_col, text_col, classes, cfg)
+    members = base.hot_join(one.select("id", "set_key"), classes.select("set_key", "class_id", "n"), "set_key").select("id", "class_id", "n")
     return members, links
 
 
-def candidate_pairs(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig, one: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b, by set key) of classes that agree in all registers of some band."""
+def candidate_pairs(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> DataFrame:
+    """Distinct pairs (a < b, by class number) of classes that agree in all registers of some band."""
     rows, bands = cfg.rows, cfg.bands
 
     def keys_of(column: pa.Array) -> np.ndarray:
@@ -184,28 +186,28 @@ def candidate_pairs(classes: DataFrame, df: DataFrame, id_col: str, text_col: st
             held.append(base.BloomTest(passing.value))
         h = keys_of(cols["registers"])
         ok = held[0](h.ravel()).reshape(h.shape)
-        who = np.repeat(cols["set_key"].to_numpy(), ok.sum(axis=1))
-        return {"key": base.signed(h[ok]), "set_key": who}
+        who = np.repeat(cols["c"].to_numpy(), ok.sum(axis=1))
+        return {"key": base.signed(h[ok]), "c": who}
 
-    rows_of = base.arrow_map(classes.select("set_key", "registers"), shared, "key long, set_key long")
-    member = rows_of.join(counts, "key")
+    rows_of = base.arrow_map(classes.select("c", "registers"), shared, "key long, c long")
+    member = base.hot_join(base.materialize(rows_of, "rows"), counts, "key")
     pairs = (
-        member.where(F.col("n") <= cfg.hot_bucket).groupBy("key").agg(F.sort_array(F.collect_list("set_key")).alias("m"))
+        member.where(F.col("n") <= cfg.hot_bucket).groupBy("key").agg(F.sort_array(F.collect_list("c")).alias("m"))
         .select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
         .where("a < b").distinct()
     )
-    hot = member.where(F.col("n") > cfg.hot_bucket).select("set_key").distinct()
+    hot = member.where(F.col("n") > cfg.hot_bucket).select("c").distinct()
     if counts.where(F.col("n") > cfg.hot_bucket).limit(1).count() == 0:
         return pairs
-    return pairs.union(prefix_pairs(base.materialize(hot, "hot"), df, id_col, text_col, one, cfg)).distinct()
+    return pairs.union(prefix_pairs(base.materialize(hot, "hot"), df, id_col, text_col, classes, cfg)).distinct()
 
 
-def class_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, one: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(set_key, hashes) of the wanted classes, from the text of each class's smallest id.
+def class_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(c, hashes) of the wanted classes, from the text of each class's smallest id.
 
     A fixed-size Bloom filter of the wanted ids keeps all other texts out of Python and out of the shuffle.
     """
-    names = classes.join(wanted, "set_key", "left_semi").select("set_key", F.col("class_id").alias("id")).withColumn("h", F.xxhash64("id"))
+    names = classes.join(wanted, "c", "left_semi").select("c", "set_key", F.col("class_id").alias("id")).withColumn("h", F.xxhash64("id"))
     names = base.materialize(names, "wanted")
     passing = df.sparkSession.sparkContext.broadcast(base.bloom(names, "h"))
     held: list = []
@@ -216,19 +218,19 @@ def class_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, one
             held.append(base.BloomTest(passing.value))
         keep = pa.array(held[0](cols["h"].to_numpy().view(np.uint64)))
         sets = shingle_sets(cols["text"].filter(keep).to_pylist(), n, ids)
-        return {"id": cols["id"].filter(keep), "found": [_set_key(s) for s in sets], "hashes": [s.tobytes() for s in sets]}
+        return {"id": cols["id"].filter(keep), "found": pa.array([_set_key(s) for s in sets], pa.binary()), "hashes": [s.tobytes() for s in sets]}
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).where("id is not null")
     kind = dict(df.dtypes)[id_col]
-    rows = base.arrow_map(source, run, f"id {kind}, found long, hashes binary")
+    rows = base.arrow_map(source, run, f"id {kind}, found binary, hashes binary")
     # An older delivery of the id may carry another text: only the set that was sketched counts.
-    return rows.join(names.select("id", "set_key"), "id").where("found = set_key").groupBy("set_key").agg(F.first("hashes").alias("hashes"))
+    return rows.join(names.select("id", "c", "set_key"), "id").where("found = set_key").groupBy("c").agg(F.first("hashes").alias("hashes"))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """Keep pairs whose joint likelihood estimate reaches threshold - margin."""
     least = cfg.threshold - cfg.margin
-    side = classes.select("set_key", "size", "registers")
+    side = classes.select("c", "size", "registers")
     both = (
         pairs.join(side.toDF("a", "size_a", "reg_a"), "a").join(side.toDF("b", "size_b", "reg_b"), "b")
         .where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * cfg.threshold)
@@ -245,11 +247,11 @@ def estimated(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataF
     return base.arrow_map(both, run, "a long, b long, estimate double")
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, one: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """Exact similarity of the pairs on their sets; class ids in order."""
     pairs = base.materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    sets = base.materialize(class_sets(wanted, df, id_col, text_col, one, classes, cfg), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sets = base.materialize(class_sets(wanted, df, id_col, text_col, classes, cfg), "sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     least = cfg.threshold
 
@@ -263,38 +265,37 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, one: D
         return {"a": cols["a"].filter(keep), "b": cols["b"].filter(keep), "similarity": pa.array(out, pa.float64()).filter(keep)}
 
     exact = base.arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a long, b long, similarity double")
-    names = classes.select("set_key", "class_id")
+    names = classes.select("c", "class_id")
     named = exact.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
     return named.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")
 
 
-def prefix_pairs(hot: DataFrame, df: DataFrame, id_col: str, text_col: str, one: DataFrame, cfg: NearDupConfig) -> DataFrame:
+def prefix_pairs(hot: DataFrame, df: DataFrame, id_col: str, text_col: str, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """Exact candidates among the members of oversized buckets.
 
     Two sets with similarity of at least t share an element among the first size - ceil(t size) + 1 elements under any
     common order; with the rarest first, the groups that share one are small.
     """
-    classes = one.groupBy("set_key").agg(F.min("id").alias("class_id"))
-    sets = base.materialize(class_sets(hot, df, id_col, text_col, one, classes, cfg), "hotsets")
+    sets = base.materialize(class_sets(hot, df, id_col, text_col, classes, cfg), "hotsets")
 
     def spread(cols: dict) -> dict:
         arrays = [np.frombuffer(x, np.int64) for x in cols["hashes"].to_pylist()]
         sizes = [len(a) for a in arrays]
         flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-        return {"set_key": np.repeat(cols["set_key"].to_numpy(), sizes), "e": flat, "size": np.repeat(np.array(sizes, np.int32), sizes)}
+        return {"c": np.repeat(cols["c"].to_numpy(), sizes), "e": flat, "size": np.repeat(np.array(sizes, np.int32), sizes)}
 
-    elements = base.arrow_map(sets, spread, "set_key long, e long, size int")
+    elements = base.arrow_map(sets, spread, "c long, e long, size int")
     often = elements.groupBy("e").agg(F.count("*").alias("often"))
     order = elements.join(often, "e").where("often > 1 or size = 1")
     # Elements held by one set only come first in the order and can't be shared; they only use up places.
-    alone = elements.join(often.where("often = 1"), "e", "left_semi").groupBy("set_key").agg(F.count("*").alias("alone"))
+    alone = elements.join(often.where("often = 1"), "e", "left_semi").groupBy("c").agg(F.count("*").alias("alone"))
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("set_key").orderBy("often", "e"))
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("often", "e"))
     prefix = (
-        order.withColumn("r", rank).join(alone, "set_key", "left")
+        order.withColumn("r", rank).join(alone, "c", "left")
         .where(F.col("r") + F.coalesce("alone", F.lit(0)) <= F.col("size") - F.ceil(F.col("size") * F.lit(cfg.threshold) - 1e-9) + 1)
-        .select("e", "set_key", "size")
+        .select("e", "c", "size")
     )
     left, right = prefix.toDF("e", "a", "sa"), prefix.toDF("e", "b", "sb")
     close = F.least("sa", "sb") >= F.greatest("sa", "sb") * cfg.threshold
@@ -306,7 +307,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, order_col:
     classed by their words and have no links."""
     every = base.materialize(sketches(df, id_col, text_col, order_col, cfg), "one")
     members, links = linked_classes(every, df, id_col, text_col, cfg)
-    members = members.union(short_classes(every))
+    members = members.union(short_classes(every)).drop("n")
     links = base.materialize(links, "links")
     groups = connected(links.select("class_a", "class_b"))
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
@@ -339,10 +340,21 @@ def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
     return low.union(roots)
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: NearDupConfig) -> DataFrame:
-    """All pairs of ids (id_a < id_b) of one class or of linked classes: classes are expanded only here, as asked."""
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, order_col: str, cfg: NearDupConfig, block: int = BLOCK) -> DataFrame:
+    """All pairs of ids (id_a < id_b) of one class or of linked classes: classes are expanded only here, as asked.
+
+    Members stand in blocks of about ``block``, and blocks meet in pairs, so a class of any size spreads over the tasks.
+    """
     members, links = near_duplicate_classes(df, id_col, text_col, order_col, cfg)
-    members = base.materialize(members, "members")
-    same = members.toDF("id_a", "c").join(members.toDF("id_b", "c"), "c").where("id_a < id_b").select("id_a", "id_b")
-    across = links.join(members.toDF("x", "class_a"), "class_a").join(members.toDF("y", "class_b"), "class_b")
-    return same.union(across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    members = base.materialize(members.withColumn("blocks", blocks("n")).withColumn("part", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).drop("n"), "members")
+    sizes = base.materialize(members.where("id = class_id").select("class_id", "blocks"), "sizes")
+    own = sizes.join(members.where("id <> class_id").select("class_id").distinct(), "class_id", "left_semi")  # more than one member
+    each = lambda n, start="0": F.explode(F.expr(f"sequence({start}, {n} - 1)"))
+    same = own.select("class_id", "blocks", each("blocks").alias("i")).select(F.col("class_id").alias("a"), "i", F.col("class_id").alias("b"), each("blocks", "i").alias("j"))
+    across = links.join(sizes.toDF("class_a", "na"), "class_a").join(sizes.toDF("class_b", "nb"), "class_b")
+    across = across.select("class_a", "class_b", "nb", each("na").alias("i")).select(F.col("class_a").alias("a"), "i", F.col("class_b").alias("b"), each("nb").alias("j"))
+    met = same.union(across).join(members.select(F.col("class_id").alias("a"), F.col("part").alias("i"), F.col("id").alias("x")), ["a", "i"])
+    met = met.join(members.select(F.col("class_id").alias("b"), F.col("part").alias("j"), F.col("id").alias("y")), ["b", "j"])
+    found = met.where("a <> b or i <> j or x < y")
+    return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -68,6 +68,11 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, d, "processed_shards"), "id", "text", "written_at")
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives at five words and 0.8; ``p5_groups`` has the members of each class."""
+    return near_duplicates.near_duplicate_classes(table(spark, d, "processed_shards"), "id", "text", "written_at")[1]
+
+
 def p6_record_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.record_tokens(table(spark, d, "processed_shards"), table(spark, d, "tokenizer_pieces"))
 
@@ -106,7 +111,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_languages, p2_found, p2_strengths, p3_found, p3_statistics, p4_found, p4_pairs, p5_found, p5_groups,
+        p1_found, p1_languages, p2_found, p2_strengths, p3_found, p3_statistics, p4_found, p4_pairs, p5_found, p5_groups, p5_links,
         p6_record_tokens, p6_slice_totals, p7_containers, p8_found, p8_containment, p9_found, p9_restored,
     )
     return {f.__name__: f for f in own}

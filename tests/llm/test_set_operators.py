@@ -38,12 +38,12 @@ def brute(rows, shingle, threshold):
 ODD = [("e1", None, T), ("e2", "", T), ("e3", "one two", T), ("e4", "…", T)]
 
 
-@pytest.mark.parametrize("hot", [200, 2])
-def test_pairs_as_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "block"), [(200, nd.BLOCK), (2, 3)])
+def test_pairs_as_brute_force(spark, hot, block):
     rows = edited(random.Random(7), 300) + ODD
     df = spark.createDataFrame(rows, "id string, text string, written_at timestamp").withColumn("set_key", F.lit(1)).withColumn("at", F.lit(2)).withColumn("h", F.lit(3))
     cfg = nd.NearDupConfig(shingle=3, threshold=0.5, hot_bucket=hot)
-    got = [(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(df.union(df.limit(40)), "id", "text", "written_at", cfg).collect()]
+    got = [(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(df.union(df.limit(40)), "id", "text", "written_at", cfg, block).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.5)
 
 
@@ -61,7 +61,7 @@ def test_latest_delivery_without_a_set_counts(spark):
     rows = [(i, "one two three four", T) for i in "abcd"] + [("a", None, t2), ("b", " ", t2), ("c", "one two", t2)]
     df = spark.createDataFrame(rows, "id string, text string, written_at timestamp")
     members, links = nd.near_duplicate_classes(df, "id", "text", "written_at", nd.NearDupConfig(shingle=3, threshold=0.5))
-    assert [tuple(r) for r in members.collect()] == [("d", "d")] and links.count() == 0
+    assert [tuple(r) for r in members.collect()] == [("d", "d", 1)] and links.count() == 0
 
 
 def test_groups(spark):
@@ -90,6 +90,14 @@ def test_many_copies_stay_one_class(spark):
     assert members.select("class_id").distinct().count() == 1 and members.count() == 400 and links.count() == 0
 
 
+def test_hot_groups_are_joined_whole(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 400, -1).otherwise(F.col("id") % 50).alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = base.hot_join(rows, groups, "k", share=10)
+    assert sorted(r.id for r in got.collect()) == list(range(1000)) and got.where("k = -1 and least = 0 and n = 400").count() == 400
+    assert base.hot_join(rows.limit(0), groups.limit(0), "k").count() == 0
+
+
 def test_sketches_merge_by_maximum():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(2))

@@ -354,10 +354,10 @@ def test_bloom_never_drops(spark):
     import numpy as np
 
     df = spark.range(2000).select(F.xxhash64("id").alias("h"))
-    t = base.BloomTest(base.bloom(df, "h", bits=1 << 16))
+    t = base.BloomTest(base.bloom(df, "h", 1 << 16))
     keys = np.array([r.h for r in df.collect()], dtype=np.int64).view(np.uint64)
     assert t(keys).all() and t(base.mix(np.arange(5000, dtype=np.uint64))).mean() < 0.2
-    assert base.BloomTest(base.bloom(df.limit(0), "h", bits=1 << 10))(keys).sum() == 0
+    assert base.BloomTest(base.bloom(df.limit(0), "h", 1 << 10))(keys).sum() == 0
     assert pa is not None
 
 
