@@ -6,10 +6,13 @@ stationary distribution of the chain is the next estimate, and its fixed point i
 (Bradley-Terry-Luce) strength.  Ties count half for each side.
 
 Up to ``DENSE_ITEMS`` items the chain is solved exactly on the driver (the pair totals are then at most their square,
-which bounds what is collected); beyond, the same maximum is found by Newton steps on the distributed pair totals.
+which bounds what is collected); beyond, where no dense chain fits, Newton steps on the distributed pair totals find the
+same maximum.
 
-Defined results: where the comparisons aren't strongly connected, every item gets ``PRIOR`` pseudo-wins both ways against
-one hub item, which is no result, so that a unique solution exists, at any number of items; equal strengths rank by name; an empty registry gives no rows.
+Defined results: each strongly connected component of the comparisons (who beat whom) gets its exact maximum-likelihood
+strengths.  Between components, and for items alone in one, no maximum exists: only there a fit decides in which every item
+has ``PRIOR`` pseudo-wins both ways against one hub item, which is no result; it gives the components their mean.  Both
+hold at any number of items.  Equal strengths rank by name; an empty registry gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-DENSE_ITEMS, PRIOR, TOLERANCE, ROUNDS = 2000, 0.05, 1e-10, 2000
+DENSE_ITEMS, PRIOR, TOLERANCE, ROUNDS = 500, 0.05, 1e-10, 2000
 
 
 def clean(c: str | Column) -> Column:
@@ -47,21 +50,16 @@ def pair_wins(votes: DataFrame) -> DataFrame:
     return both.groupBy("winner", "loser").agg(F.sum("w").alias("wins")).where("wins > 0")
 
 
-def strongly_connected(wins: np.ndarray) -> bool:
+def components(wins: np.ndarray) -> np.ndarray:
+    """Number of the strongly connected component of each item."""
     reach = (wins > 0) | np.eye(len(wins), dtype=bool)
     for _ in range(int(np.ceil(np.log2(max(len(wins), 2)))) + 1):
         reach = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
-    return bool(reach.all())
+    return np.argmax(reach & reach.T, axis=1)  # the first item that reaches it and is reached
 
 
-def ilsr(wins: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Strengths (mean 1) from wins[i, j] = times i beat j."""
-    n = len(wins)
-    if n < 2:
-        return np.ones(n)
-    if not strongly_connected(wins):  # the last item is the hub
-        wins = np.pad(wins, ((0, 1), (0, 1)), constant_values=prior)
-        wins[-1, -1] = 0
+def settled_strengths(wins: np.ndarray) -> np.ndarray:
+    """Strengths of one strongly connected component (mean 1): rates, stationary distribution, and again."""
     size = len(wins)
     p = np.full(size, 1.0)
     for _ in range(ROUNDS):
@@ -72,54 +70,106 @@ def ilsr(wins: np.ndarray, prior: float = PRIOR) -> np.ndarray:
         new = np.linalg.solve(system, np.r_[np.zeros(size - 1), size])
         new = np.maximum(new, 1e-300)
         if np.abs(np.log(new) - np.log(p)).max() < TOLERANCE:
-            return new[:n] / new[:n].mean()
+            return new
         p = new
     raise RuntimeError("strengths did not settle")
 
 
-def _strongly_connected(edges: DataFrame, n: int) -> bool:
-    """Whether every item is reached from the first, and reaches it; only items newly reached come to the driver."""
-    for start, end in (("i", "j"), ("j", "i")):
-        seen = np.zeros(n, dtype=bool)
-        seen[0] = True
-        while not seen.all():
-            before = seen.copy()
+def _means(theta: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Mean of each item's component."""
+    n = np.bincount(group, minlength=len(theta))
+    return (np.bincount(group, theta, len(theta)) / np.maximum(n, 1))[group]
 
-            def reach(batches, before: np.ndarray = before, start: str = start, end: str = end):
-                import pyarrow as pa
 
-                parts = [(b.column(start).to_numpy(), b.column(end).to_numpy()) for b in batches if b.num_rows]
-                now, count = before.copy(), -1
-                while parts and count != now.sum():  # as far as this task's pairs lead
-                    count = now.sum()
-                    for u, v in parts:
-                        now[v[now[u]]] = True
-                yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(now & ~before)[0].astype(np.int32))], names=["k"])
-
-            got = [r.k for r in edges.select(start, end).mapInArrow(reach, "k int").distinct().collect()]
-            if not got:
-                return False
-            seen[got] = True
-    return True
-
-
-def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
-    """(model, strength) for registries beyond DENSE_ITEMS, on distributed pair totals: the same strengths as ``ilsr``.
+def ilsr(wins: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Strengths (mean 1) from wins[i, j] = times i beat j."""
+    n = len(wins)
+    if n < 2:
+        return np.ones(n)
+    group = components(wins)
+    if (group == group[0]).all():
+        return settled_strengths(wins)
+    padded = np.pad(wins, ((0, 1), (0, 1)), constant_values=prior)  # the last item is the hub
+    padded[-1, -1] = 0
+    rough = np.log(settled_strengths(padded)[:n])
+    theta = rough.copy()
+    for g in np.unique(group):
+        own = np.nonzero(group == g)[0]
+        if len(own) > 1:
+            theta[own] = np.log(settled_strengths(wins[np.ix_(own, own)]))
+    theta += _means(rough, group) - _means(theta, group)
+    p = np.exp(theta - theta.max())
+    return p / p.mean()
+
+
+def _relaxed(edges: DataFrame, start: str, end: str, value: np.ndarray, open_: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+    """The greatest value that reaches each open item along the edges between open items (of one ``within``).  Each
+    round gives the driver the items whose value has grown."""
+    while True:
+        before = value.copy()
+
+        def spread(batches, before: np.ndarray = before):
+            import pyarrow as pa
+
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            parts = [(u[k], v[k]) for u, v in parts for k in [open_[u] & open_[v] & (True if within is None else within[u] == within[v])]]
+            now, last = before.copy(), None
+            while parts and (last is None or (now != last).any()):  # as far as this task's pairs lead
+                last = now.copy()
+                for u, v in parts:
+                    np.maximum.at(now, v, now[u])
+            grown = np.nonzero(now != before)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(grown.astype(np.int32)), pa.array(now[grown].astype(np.int32))], names=["k", "x"])
+
+        got = edges.select(start, end).mapInArrow(spread, "k int, x int").groupBy("k").agg(F.max("x").alias("x")).collect()
+        if not got:
+            return value
+        value = value.copy()
+        value[[r.k for r in got]] = [r.x for r in got]
+
+
+def _components(edges: DataFrame, n: int) -> np.ndarray:
+    """Number of the strongly connected component of each item, by colours: the greatest item that reaches an item is its
+    colour, and those that reach their colour's item back are its component.  Numbers per item are all the driver holds."""
+    group, open_ = np.arange(n), np.ones(n, dtype=bool)
+    while open_.any():
+        colour = _relaxed(edges, "i", "j", np.arange(n), open_)
+        roots = open_ & (colour == np.arange(n))
+        back = _relaxed(edges, "j", "i", roots.astype(int), open_, colour).astype(bool) & open_
+        group[back] = colour[back]
+        open_ &= ~back
+    return group
+
+
+def _spread(wins: DataFrame, names: list[str], tolerance: float = 1e-8, rounds: int = 200) -> np.ndarray:
+    """Strengths (mean 1) of the named items on distributed pair totals: the same as ``ilsr``.
 
     The driver holds numbers per item only.  Every round is a Newton step of the log likelihood, solved by conjugate
     gradients whose products are summed over the pairs where they lie, and damped while it is long, so that it always
     ends at the one maximum.  Raises if ``tolerance`` (of the logarithms) isn't reached.
     """
-    spark = items.sparkSession
-    names = sorted(r.model for r in items.select("model").collect())
     n = len(names)
     if n < 2:
-        return spark.createDataFrame([(m, 1.0) for m in names], "model string, strength double")
-    places = spark.createDataFrame(list(zip(names, range(n))), "model string, k int")
+        return np.ones(n)
+    places = wins.sparkSession.createDataFrame(list(zip(names, range(n))), "model string, k int")
     edges = base.materialize(
         wins.join(places.toDF("winner", "i"), "winner").join(places.toDF("loser", "j"), "loser").where("wins > 0 and i <> j").select("i", "j", F.col("wins").cast("double").alias("w")), "edges"
     )
-    hub = not _strongly_connected(edges, n)
+    group = _components(edges, n)
+    if (group == group[0]).all():
+        theta = _newton(edges, n, None, np.zeros(n), tolerance, rounds)
+    else:
+        rough = _newton(edges, n, "hub", np.zeros(n), tolerance, rounds)
+        theta = _newton(edges, n, group, rough, tolerance, rounds)
+        theta += _means(rough, group) - _means(theta, group)
+    p = np.exp(theta - theta.max())
+    return p / p.mean()
+
+
+def _newton(edges: DataFrame, n: int, mode: str | np.ndarray | None, theta: np.ndarray, tolerance: float, rounds: int) -> np.ndarray:
+    """Logarithms of the strengths.  mode: "hub" adds the hub item; an array keeps the pairs inside its groups only."""
+    hub = isinstance(mode, str)
+    group = None if hub else mode
     size = n + hub
     k = np.arange(n)
     own = (np.r_[k, np.full(n, n)], np.r_[np.full(n, n), k], np.full(2 * n, PRIOR)) if hub else None
@@ -131,7 +181,11 @@ def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-8, rounds:
             return np.array([np.bincount(i, a, size) + np.bincount(j, b, size) for a, b in f(i, j, w)])
 
         def run(cols: dict) -> dict:
-            got = fold(*(cols[c].to_numpy() for c in ("i", "j", "w")))
+            i, j, w = (cols[c].to_numpy() for c in ("i", "j", "w"))
+            if group is not None:
+                inside = group[i] == group[j]
+                i, j, w = i[inside], j[inside], w[inside]
+            got = fold(i, j, w)
             at = np.nonzero(got.any(axis=0))[0]
             return {"k": at.astype(np.int32), "a": got[0, at], "b": got[1, at]}
 
@@ -144,7 +198,7 @@ def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-8, rounds:
         """Probability that j beats i."""
         return 0.5 * (1 + np.tanh((t[j] - t[i]) / 2))
 
-    theta = np.zeros(size)
+    theta = np.r_[theta, np.zeros(size - n)]
     for _ in range(rounds):
 
         def slope(i, j, w, t=theta):
@@ -161,6 +215,7 @@ def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-8, rounds:
             return sums(f)[0]
 
         gradient, diagonal = sums(slope)
+        diagonal = np.where(diagonal > 0, diagonal, 1.0)  # items alone in their component
         step, rest = np.zeros(size), gradient
         z = rest / diagonal
         way, power = z, rest @ z
@@ -173,37 +228,35 @@ def _spread(wins: DataFrame, items: DataFrame, tolerance: float = 1e-8, rounds:
             step, rest = step + a * way, rest - a * y
             z = rest / diagonal
             way, power = z + way * ((rest @ z) / power), rest @ z
+        if group is not None:
+            step = step - _means(step, group)
         length = np.ptp(step)
         theta = theta + step * (np.log1p(length) / length if length > 1 else 1.0)
-        theta -= theta[:n].mean()
+        if group is None:
+            theta -= theta[:n].mean()
         if length < tolerance:
-            strength = np.exp(theta[:n] - theta[:n].max())
-            return spark.createDataFrame([(m, float(x)) for m, x in zip(names, strength / strength.mean())], "model string, strength double")
+            return theta[:n]
     raise RuntimeError("strengths did not settle")
 
 
 def ranking(ratings: DataFrame, registry: DataFrame, dense_items: int = DENSE_ITEMS) -> DataFrame:
-    """(model, rank_no, strength, votes): one row per registered model, 1 the strongest."""
+    """(model, rank_no, strength, votes): one row per registered model, 1 the strongest.  The registry fits the driver."""
     spark = ratings.sparkSession
     votes = valid_votes(ratings, registry)
     wins = base.materialize(pair_wins(votes), "wins")
     items = registry.where("model is not null").select(F.col("model").alias("name"), clean("model").alias("model")).groupBy("model").agg(F.min("name").alias("name"))
-    if items.count() <= dense_items:
-        names = sorted(r.model for r in items.collect())
+    shown = {r.model: r.name for r in items.collect()}
+    names = sorted(shown)
+    if len(names) <= dense_items:
         at = {m: i for i, m in enumerate(names)}
         table = np.zeros((len(names), len(names)))
         for r in wins.collect():
             table[at[r.winner], at[r.loser]] = r.wins
         p = ilsr(table)
-        strength = spark.createDataFrame([(m, float(x)) for m, x in zip(names, p)], "model string, strength double")
     else:
-        strength = _spread(wins, items)
-    counts = wins.select(F.explode(F.array("winner", "loser")).alias("model"), "wins").groupBy("model").agg(F.sum("wins").alias("votes"))
-    got = strength.join(items, "model").join(counts, "model", "left").select(F.col("name").alias("model"), "strength", F.coalesce("votes", F.lit(0.0)).alias("votes"))
-    if items.count() <= dense_items:
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.orderBy(F.desc("strength"), "model"))
-        return got.withColumn("rank_no", place.cast("int"))
-    ordered = got.orderBy(F.desc("strength"), "model").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(ordered, "model string, strength double, votes double, rank_no int")
+        p = _spread(wins, names)
+    order = sorted(range(len(names)), key=lambda i: (-p[i], names[i]))
+    rows = [(names[i], shown[names[i]], float(p[i]), k) for k, i in enumerate(order, 1)]
+    strength = spark.createDataFrame(rows, "key string, model string, strength double, rank_no int")
+    counts = wins.select(F.explode(F.array("winner", "loser")).alias("key"), "wins").groupBy("key").agg(F.sum("wins").alias("votes"))
+    return strength.join(counts, "key", "left").select("model", "strength", F.coalesce("votes", F.lit(0.0)).alias("votes"), "rank_no")

@@ -199,34 +199,39 @@ def test_ranking_is_the_likeliest(spark):
     assert sorted(r.rank_no for r in got.values()) == list(range(1, 9)) and sum(r.votes for r in got.values()) == wins.sum() * 2
 
 
-def test_distributed_steps_head_for_the_same_strengths(spark):
-    """A few steps, since each is a job: the likelihood rises towards the dense solution and the ends are in place."""
-    wins = np.array([[0, 30, 60], [10, 0, 40], [5, 15, 0]], dtype=float)
-    names = ["a", "b", "c"]
-    table = spark.createDataFrame([(names[i], names[j], float(wins[i, j])) for i in range(3) for j in range(3) if i != j], "winner string, loser string, wins double")
-    items = spark.createDataFrame([(n,) for n in names], "model string")
-    got = {r.model: r.strength for r in ranking._spread(table, items, rounds=8).collect()}
-    p = np.array([got[n] for n in names])
-    score = lambda q: (wins * np.log(q[:, None] / (q[:, None] + q[None, :]))).sum()
-    best = ranking.ilsr(wins)
-    assert got["a"] > got["b"] > got["c"] and score(np.ones(3)) < score(p) <= score(best) + 1e-9
-
-
-@pytest.mark.parametrize("connected", [True, False])
-def test_distributed_strengths_are_the_dense_ones(spark, connected):
-    rng = random.Random(3)
-    names = [f"m{i}" for i in range(7)]
-    wins = np.zeros((7, 7))
-    for i in range(6 if connected else 4):  # sparse: neighbours only, else with two items apart
+def strengths_apart(rng):
+    """Win tables: connected, two components one above the other with an item alone, and no votes at all."""
+    wins = np.zeros((9, 9))
+    for i in range(8):  # sparse: neighbours only
         wins[i, i + 1], wins[i + 1, i] = rng.randrange(2, 9), rng.randrange(1, 4)
-    table = spark.createDataFrame([(names[i], names[j], float(wins[i, j])) for i in range(7) for j in range(7) if wins[i, j]], "winner string, loser string, wins double").repartition(2)
-    items = spark.createDataFrame([(n,) for n in names], "model string")
-    got = {r.model: r.strength for r in ranking._spread(table, items).collect()}
-    assert [got[n] for n in names] == pytest.approx(list(ranking.ilsr(wins)), rel=1e-6)
-    if connected:
-        assert [got[n] for n in names] == pytest.approx(list(likelihood_ranking(wins)), rel=1e-5)
+    apart = wins.copy()
+    apart[4, 3] = 0  # 0..3 beat 4..7, which never beat them; 8 has no votes
+    apart[7:, 8] = apart[8, 7:] = 0
+    return {"connected": wins, "apart": apart, "none": np.zeros((9, 9))}
+
+
+@pytest.mark.parametrize("case", ["connected", "apart", "none"])
+def test_distributed_strengths_are_the_dense_ones(spark, case):
+    wins = strengths_apart(random.Random(3))[case]
+    names = [f"m{i}" for i in range(9)]
+    table = spark.createDataFrame([(names[i], names[j], float(wins[i, j])) for i in range(9) for j in range(9) if wins[i, j]], "winner string, loser string, wins double").repartition(2)
+    got = ranking._spread(table, names)
+    assert list(got) == pytest.approx(list(ranking.ilsr(wins)), rel=1e-6)
+    if case == "connected":
+        assert list(got) == pytest.approx(list(likelihood_ranking(wins)), rel=1e-5)
         with pytest.raises(RuntimeError):
-            ranking._spread(table, items, rounds=1)
+            ranking._spread(table, names, rounds=1)
+
+
+def test_components_keep_their_exact_strengths():
+    """An item without votes, or a component apart, doesn't move the likeliest strengths inside a component."""
+    wins = strengths_apart(random.Random(3))["apart"]
+    assert len(set(ranking.components(wins))) == 3
+    got = ranking.ilsr(wins)
+    for own in (slice(0, 4), slice(4, 8)):
+        want = likelihood_ranking(wins[own, own])
+        assert list(got[own] / got[own].sum()) == pytest.approx(list(want / want.sum()), rel=1e-6)
+    assert np.log(got[:4]).mean() > np.log(got[4:8]).mean()
 
 
 def test_ranking_without_votes(spark):
