@@ -6,8 +6,9 @@ compared have one size, so a contained passage means equal sets and equal MinHas
 document is.  (MinHash of whole documents cannot see one shared passage among thousands of shingles; cutting both sides
 to one size class is what makes the containment search exact.)  Hits are verified word by word.
 
-The index is broadcast while it has at most ``MAX_BROADCAST`` windows, which is counted; beyond it both sides are
-joined on the MinHash.  Defined results: null and blank texts, and texts of fewer than ``run`` words, hold and leak
+The index is broadcast while it has at most ``MAX_BYTES`` bytes, which is counted before anything is collected; beyond
+it both sides are joined on the MinHash, after a Bloom filter of the index's has dropped nearly all windows of documents.
+Both ways are exact.  Defined results: null and blank texts, and texts of fewer than ``run`` words, hold and leak
 nothing; repeated rows count once; a null item text is skipped; empty tables give no rows.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-RUN, SHINGLE, MAX_BROADCAST = 8, 5, 2_000_000
+RUN, SHINGLE, MAX_BYTES = 8, 5, 1 << 26
 
 
 def window_minhash(flat: np.ndarray, run: int, shingle: int) -> np.ndarray:
@@ -47,14 +48,22 @@ def flat_windows(texts: list[str | None], ids: base.WordIds, run: int, shingle:
     return flat, owner, starts, mins[starts]
 
 
-def contained_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def contained_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """items: (item_id, text), several texts per item allowed.  Gives (doc_id, item_id, windows, item_windows):
     how many distinct windows of the item the document holds, and how many the item has."""
     kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)["item_id"]
     ids = base.WordIds()
 
+    passing: list = []  # a broadcast Bloom filter, once there is one
+    held: list = []
+
     def windows(cols: dict) -> dict:
         flat, owner, starts, mins = flat_windows(cols["text"].to_pylist(), ids, run, shingle)
+        if passing:
+            if not held:
+                held.append(base.BloomTest(passing[0].value))
+            ok = held[0](mins) if len(mins) else np.empty(0, bool)
+            starts, mins = starts[ok], mins[ok]
         grams = base.run_hashes(flat, run)
         return {"key": cols["key"].take(owner[starts]), "minhash": base.signed(mins), "gram": base.signed(grams[starts]), "words": list(flat[starts[:, None] + np.arange(run)].view(np.int64)) if len(starts) else []}
 
@@ -64,16 +73,20 @@ def contained_items(docs: DataFrame, id_col: str, text_col: str, items: DataFram
 
     index = base.materialize(as_windows(items, "item_id", "text", item_kind).distinct(), "windows")
     totals = index.groupBy("key").agg(F.countDistinct("gram").alias("item_windows")).withColumnRenamed("key", "item_id")
-    if index.count() > max_broadcast:
+    named = index.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("key").cast("string"))), F.lit(0)).alias("b")).first()
+    if named.n * 8 * (run + 2) + named.b > max_bytes:
+        passing.append(docs.sparkSession.sparkContext.broadcast(base.bloom(index, "minhash")))
         found = as_windows(docs, id_col, text_col, kind).distinct().withColumnsRenamed({"key": "doc_id"})
         hits = found.join(index.withColumnRenamed("key", "item_id"), ["minhash", "gram", "words"])
         return hits.groupBy("doc_id", "item_id").agg(F.countDistinct("gram").alias("windows")).join(totals, "item_id").select("doc_id", "item_id", "windows", "item_windows")
 
-    rows = sorted(index.select("minhash", "key", "words").collect(), key=lambda r: r.minhash & (2**64 - 1))
-    keys = np.array([r.minhash for r in rows], dtype=np.int64).view(np.uint64)
-    grams = np.array([r.words for r in rows], dtype=np.int64).view(np.uint64).reshape(-1, run)
-    # One number per distinct item, and the windows themselves: bounded by max_broadcast.
-    shared = docs.sparkSession.sparkContext.broadcast((keys, grams, [r.key for r in rows]))
+    got = index.select("minhash", "key", "words").toArrow()
+    keys = got.column("minhash").to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    grams = np.asarray(got.column("words").combine_chunks().flatten()).view(np.uint64).reshape(-1, run) if len(keys) else np.empty((0, run), np.uint64)
+    names = got.column("key").take(order).to_pylist()
+    # The windows and the names of their items: bounded by max_bytes.
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], grams[order], names))
 
     def search(cols: dict) -> dict:
         keys, grams, names = shared.value

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import defects, leakage, mojibake, near_duplicates, packing, prose, ranking, tokens
 from .base import materialize, table
+from .sql import SQL
 
 PAIRS = near_duplicates.NearDupConfig(shingle=3, threshold=0.5)
 
@@ -39,7 +40,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_strengths(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranking(table(spark, d, "ratings"), table(spark, d, "model_registry"))
+    return ranking.ranking(table(spark, d, "ratings"), table(spark, d, "model_registry")).withColumn("strength", F.round("strength", 6))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,8 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of class representatives at five words and 0.8; ``p5_groups`` has the members of each class."""
-    return near_duplicates.near_duplicate_classes(table(spark, d, "processed_shards"), "id", "text", "written_at")[1]
+    links = near_duplicates.near_duplicate_classes(table(spark, d, "processed_shards"), "id", "text", "written_at")[1]
+    return links.withColumn("similarity", F.round("similarity", 6))
 
 
 def p6_record_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -118,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

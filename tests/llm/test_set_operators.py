@@ -126,8 +126,8 @@ def test_connected(spark):
     assert {got[i] for i in range(51)} == {0} and got[300] == 0 and {got[i] for i in (100, 101, 102)} == {100}
 
 
-@pytest.mark.parametrize("broadcast", [2_000_000, 3])
-def test_leaks_as_brute_force(spark, broadcast):
+@pytest.mark.parametrize("most", [leakage.MAX_BYTES, 3])
+def test_leaks_as_brute_force(spark, most):
     rng = random.Random(4)
     words = lambda n: " ".join(rng.choice(["lamp", "sea", "மழை", "Door"]) + str(rng.randrange(60)) for _ in range(n))
     items = [(f"i{k}", words(rng.choice([5, 8, 20, 40]))) for k in range(20)] + [("n", None), ("i0", words(12))]
@@ -143,7 +143,7 @@ def test_leaks_as_brute_force(spark, broadcast):
     docs += [(900, None), (901, ""), (5, docs[5][1])]
     idf = spark.createDataFrame(items, "item_id string, text string")
     ddf = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("item_id", F.lit("x"))
-    got = {(r.doc_id, r.item_id): (r.windows, r.item_windows) for r in leakage.contained_items(ddf, "doc_id", "text", idf, max_broadcast=broadcast).collect()}
+    got = {(r.doc_id, r.item_id): (r.windows, r.item_windows) for r in leakage.contained_items(ddf, "doc_id", "text", idf, max_bytes=most).collect()}
     grams = lambda t: {tuple(w[k : k + 8]) for w in [base.words(t)] for k in range(len(w) - 7)}
     per_item = {}
     for i, t in items:
