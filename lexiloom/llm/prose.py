@@ -1,9 +1,10 @@
 """Per-document text statistics, and prose told from lists, tables and junk by robust Mahalanobis distance.
 
-Texts are cut into units (lines, cut again after sentence marks).  Each unit has the statistics in ``STATS``.  The
+Texts are cut into units (lines, cut again after sentence marks).  Each unit has the statistics in ``STATS``, its number
+of words among them.  The
 prose mean and covariance of all units of a language are estimated robustly: they start from units that look like
 sentences and are re-estimated on the units within the 95 % distance (concentration steps, all units of all
-documents, as sums).  A unit is an outlier beyond the 99.9 % distance; only deviations away from prose count (more common words
+documents, as sums), until what is kept has settled.  A unit is an outlier beyond CUTOFF; only deviations away from prose count (more common words
 than usual is no fault).  A record is not prose when more than half of its words lie in outlying units.
 
 Common words are learned from the corpus: frequent words that hardly occur in structured lines (short lines, lines with
@@ -21,7 +22,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,17 @@ from pyspark.sql import functions as F
 
 from . import base, language
 
-STATS = ("mean_word_len", "symbol_ratio", "digit_share", "single_share", "common_share", "line_end_share")
+STATS = ("mean_word_len", "symbol_ratio", "digit_share", "single_share", "common_share", "line_end_share", "log_words")
 #: +1: only higher values are suspect, -1: only lower ones, 0: both.
-SIDES = np.array([0, 1, 1, 1, -1, -1])
+SIDES = np.array([0, 1, 1, 1, -1, -1, -1])
+SAMPLES = 5000
 MIN_SHARE, LEAST_LISTED, RARE_RATIO = 1 / 30_000, 1.5, 0.4
-TRIM, CUTOFF, STEPS = 12.59, 22.46, 2  # chi-square, 6 degrees of freedom: 95 % to estimate, 99.9 % to judge
+#: To estimate 95 % of the chi-square of 7 statistics are kept; beyond CUTOFF lie 0.03 % of units, as six deviations of
+#: seven count on one side only.
+TRIM, CUTOFF = 14.07, 22.46
+STEPS, SETTLED = 10, 1e-3  # concentration steps at most, and the change of the units kept below which they end
 #: Least spread of each statistic: keeps the covariance regular where a language shows none.
-FLOOR = np.array([0.7, 0.03, 0.08, 0.06, 0.12, 0.45])
+FLOOR = np.array([0.7, 0.03, 0.08, 0.06, 0.12, 0.45, 1.0])
 _PURE = regex.compile(r"^[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*$")
 _EDGE = regex.compile(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
 _LISTED = regex.compile(r"[\t|;#=]|\S {3,}\S|^\s*(?:[^\p{L}\p{M}\p{N}\s\"'“‘(¿¡]|\(?\w{1,3}[.)])\s|: *\d|\d\s*$")
@@ -239,6 +244,7 @@ class UnitStats:
             out[full, 3] = single / np.maximum(1, n)
             out[full, 4] = common / np.maximum(1, n)
             out[full, 5] = end
+            out[full, 6] = np.log1p(n + numbers)
             out[full, -3] = n + numbers
             out[full, -2] = chars
         return out.astype(np.float32)
@@ -251,13 +257,14 @@ def parts_of(line: str) -> list[str]:
 WIDTH = len(STATS) + 3
 
 
-def language_model(samples: DataFrame) -> language.LanguageModel:
-    """From the labelled samples: a bounded table of short texts (at most 5,000 rows are used, all at present)."""
+def language_model(samples: DataFrame, most: int = SAMPLES) -> language.LanguageModel:
+    """From the labelled samples: at most ``most`` rows of each language, chosen by a hash of their ids."""
+    label = F.substring_index(F.lower(F.regexp_replace("lang", r"^\s+|\s+$", "")), "-", 1)
+    rows = samples.where("text <> ''").select("sample_id", "text", label.alias("lang"))
+    parts = [rows.where(F.col("lang") == lang).orderBy(F.xxhash64("sample_id"), "sample_id").limit(most) for lang in language.LANGS]
     texts: dict[str, list[str]] = {}
-    for r in samples.select("sample_id", "text", "lang").orderBy("sample_id").limit(5000).collect():
-        label = language.clean_label(r.lang)
-        if label and r.text:
-            texts.setdefault(label, []).append(r.text)
+    for r in sorted(reduce(DataFrame.union, parts).collect(), key=lambda r: (r.sample_id is None, r.sample_id)):
+        texts.setdefault(r.lang, []).append(r.text)
     return language.LanguageModel({k: "\n".join(v) for k, v in texts.items()})
 
 
@@ -326,7 +333,7 @@ def _moments(rows: DataFrame, models: dict | None) -> dict:
             if shared is None:
                 x = scaled(x[(n >= 4) & (x[:, 4] >= 0.15) & (x[:, 2] < 0.5)])
             elif key in shared:
-                mean, inverse = shared[key]
+                mean, inverse, _ = shared[key]
                 x = scaled(x)
                 x = x[(n >= 4) & (contributions(x, mean, inverse).sum(axis=1) <= TRIM)]
             else:  # nothing there ever looked like a sentence
@@ -348,15 +355,21 @@ def _moments(rows: DataFrame, models: dict | None) -> dict:
             short = np.maximum(0, FLOOR**2 - np.diag(cov)) + 0.05 * FLOOR**2
             weight = m[0] / (m[0] + 20 * k)
             cov = weight * cov + (1 - weight) * np.diag(np.diag(cov))
-            out[r.model] = (mean, np.linalg.inv(cov + np.diag(short)))
+            out[r.model] = (mean, np.linalg.inv(cov + np.diag(short)), m[0])
     return out
 
 
 def prose_model(rows: DataFrame) -> dict:
+    """(mean, inverse covariance) per model: from units that look like sentences, then by concentration steps, each over
+    all units, until the units kept hardly change."""
     models = _moments(rows, None)
     for _ in range(STEPS):
-        models = {**models, **_moments(rows, models)}
-    return models
+        after = {**models, **_moments(rows, models)}
+        moved = sum(abs(after[k][2] - models[k][2]) for k in models)
+        models = after
+        if moved <= SETTLED * sum(m[2] for m in models.values()):
+            break
+    return {k: (mean, inverse) for k, (mean, inverse, _) in models.items()}
 
 
 def judged(rows: DataFrame, models: dict, keep: list[str]) -> DataFrame:
