@@ -293,8 +293,13 @@ def test_mixture_weights(spark):
     got = packing.pack(df, capacity=100, window=10, weights={"a": 1.0, "b": 1.0})
     first = {r.source: r.t for r in got.where("window_no < 5").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     assert first == {"a": 2500, "b": 2500}
+    # b is empty after window 19: its share passes to a, and windows stay full.
+    later = {r.window_no: r.t for r in got.where("window_no > 20").groupBy("window_no").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert sorted(later) == list(range(21, 30)) and set(later.values()) == {1000}
+    fills = packing.fill_report(got, 100).agg(F.sum("n_tokens").alias("n"), F.sum("containers").alias("c")).first()
+    assert fills.n == 30_000 and fills.n / (fills.c * 100) > 0.99
+    assert packing.pack(df, weights={"none": 1.0}).count() == 0
     assert packing.pack(df.limit(0)).count() == 0
-    assert packing.fill_report(got, 100).agg(F.min("fill")).first()[0] > 0
 
 
 def test_queries(spark, data):
