@@ -35,7 +35,7 @@ from . import base, language
 STATS = ("mean_word_len", "symbol_ratio", "digit_share", "single_share", "common_share", "line_end_share", "log_words")
 #: +1: only higher values are suspect, -1: only lower ones, 0: both.
 SIDES = np.array([0, 1, 1, 1, -1, -1, -1])
-SAMPLES = 5000
+SAMPLES, REMEMBERED = 5000, 400_000
 MIN_SHARE, LEAST_LISTED, RARE_RATIO = 1 / 30_000, 1.5, 0.4
 #: To estimate 95 % of the chi-square of 7 statistics are kept; beyond CUTOFF lie 0.03 % of units, as six deviations of
 #: seven count on one side only.
@@ -77,11 +77,13 @@ def cut_sentences(line: str) -> list[str]:
 
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n, listed): occurrences over all texts, and those in structured lines."""
+    memo: dict[str, str] = {}  # lives as long as the task
 
     def run(cols: dict) -> dict:
         every: dict[str, int] = {}
         listed: dict[str, int] = {}
-        memo: dict[str, str] = {}
+        if len(memo) > REMEMBERED:
+            memo.clear()
         for text in cols["text"].to_pylist():
             for line in (text or "").split("\n"):
                 if not line or line.isspace():
