@@ -7,10 +7,10 @@ sentences and are re-estimated on the units within the 95 % distance (concentrat
 documents, as sums), until what is kept has settled.  A unit is an outlier beyond CUTOFF; only deviations away from prose count (more common words
 than usual is no fault).  A record is not prose when more than half of its words lie in outlying units.
 
-Common words are learned from the corpus: frequent words that hardly occur in structured lines (short lines, lines with
-separators, bullets or trailing numbers), relative to the other words of their language.  A frequency share within the
-language (in other languages, the script) bounds their number by ``1 / MIN_SHARE`` each; a word needs 1.5 expected listings before it can count, so a corpus of a few
-hundred records yields few of them and rests more on the other statistics.
+Common words are learned from the corpus: words that hardly occur in structured lines (short lines, lines with separators,
+bullets, many commas or trailing numbers) relative to the other words of their language.  How rarely a word is listed and
+how frequent it is are weighed as odds, so that where a language has few listings its frequent words count.  A frequency
+share within the language (in other languages, the script) bounds their number by ``1 / MIN_SHARE`` each.
 
 Defined results: null and blank texts have no words, zero statistics and are not prose (is_prose false, distance 0);
 texts without words are judged by their characters.  Repeated ids count once, the latest delivery stands.
@@ -36,7 +36,10 @@ STATS = ("mean_word_len", "symbol_ratio", "digit_share", "single_share", "common
 #: +1: only higher values are suspect, -1: only lower ones, 0: both.
 SIDES = np.array([0, 1, 1, 1, -1, -1, -1])
 SAMPLES, REMEMBERED = 5000, 400_000
-MIN_SHARE, LEAST_LISTED, RARE_RATIO = 1 / 30_000, 1.5, 0.4
+MIN_SHARE = 1 / 30_000
+#: Listings of words of running text and of listed words, as parts of their language's; and how far above the mean the
+#: frequency lies that speaks for running text where listings say nothing.
+RUNNING, LISTED, FREQUENT = 0.1, 1.05, 2.0
 #: To estimate 95 % of the chi-square of 7 statistics are kept; beyond CUTOFF lie 0.03 % of units, as six deviations of
 #: seven count on one side only.
 TRIM, CUTOFF = 14.07, 22.46
@@ -99,7 +102,7 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
                         found.append(w)
                 for w in found:
                     every[w] = every.get(w, 0) + 1
-                if len(found) <= 3 or _LISTED.search(line):
+                if len(found) <= 3 or 2 * line.count(",") >= len(found) or _LISTED.search(line):
                     for w in found:
                         listed[w] = listed.get(w, 0) + 1
         return {"word": list(every), "n": list(every.values()), "listed": [listed.get(w, 0) for w in every]}
@@ -130,8 +133,12 @@ def common_words(counts: DataFrame, model: language.LanguageModel) -> frozenset[
         groups.setdefault(r["group"], []).append(r)
     out = set()
     for members in groups.values():
-        rate = sum(r.listed for r in members) / sum(r.n for r in members)
-        out |= {r.word for r in members if rate == 0 or (r.n * rate >= LEAST_LISTED and (r.listed + 0.5) / (r.n + 1) < RARE_RATIO * rate)}
+        n, listed = (np.array([r[c] for r in members], dtype=float) for c in ("n", "listed"))
+        rate, usual = listed.sum() / n.sum(), n.mean()
+        # Log odds that a word's listings are those of a running-text word and not those of a listed one, and from the
+        # start the better the more frequent it is.
+        odds = np.log(n / (FREQUENT * usual)) + listed * np.log(RUNNING / LISTED) + n * rate * (LISTED - RUNNING)
+        out |= {r.word for r, x in zip(members, odds) if x > 0}
     return frozenset(out)
 
 

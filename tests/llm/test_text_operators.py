@@ -161,6 +161,19 @@ def test_script_of_the_whole_text(model):
     assert defects.defects(model, order, hindi[:1100] + latin * 20) == ["wrong_language"]
 
 
+def test_prose_is_told_alike_at_any_size(spark):
+    """Records of 1,500 judged among all, and among a fifth of them."""
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    df, samples = spark.read.parquet(f"{d}/processed_shards.parquet"), spark.read.parquet(f"{d}/lang_samples.parquet")
+    whole = {r.id: r.is_prose for r in prose.text_statistics(df, samples).collect()}
+    part = {r.id: r.is_prose for r in prose.text_statistics(df.where("pmod(xxhash64(id), 5) = 0"), samples).collect()}
+    assert sum(whole[i] != p for i, p in part.items()) <= 0.03 * len(part) and 0.9 < sum(part.values()) / len(part) < 0.97
+
+
 def test_tiling():
     p = "a b c d e f".split()
     assert defects.tiling(p, "x a b c y d e f a b c".split(), 3) == (9, 6)
