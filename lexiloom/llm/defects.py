@@ -86,7 +86,8 @@ class Pushdown:
     def __init__(self, text: str):
         self.stack: list[str] = []
         self.wholes = 0  # sentences closed by an end mark
-        self.entries: list[bool] = []  # list entries closed so far: by an end mark?
+        self.entries: list[tuple[bool, int]] = []  # list entries closed so far: by an end mark, and of how many words?
+        self.words = 0  # of the line or entry
         self.lines: list[bool] = []  # likewise lines outside lists
         self.marked = False  # the last words of the line were closed by an end mark
         self.inked = False  # the line or entry holds words
@@ -107,6 +108,7 @@ class Pushdown:
                     if not self.stack or self.stack[-1] != "sentence":
                         self.stack.append("sentence")
                     self.marked, self.inked, last = False, True, got
+                    self.words += len(got.split())
             elif kind == "end":
                 self._end(got, last, m.end() == len(text) or text[m.end()] == "\n")
             elif kind == "open":
@@ -125,7 +127,7 @@ class Pushdown:
                 self._line_end()
                 self._close("item")
                 self.stack.append("item")
-                self.inked = self.marked = False
+                self.inked, self.marked, self.words = False, False, 0
             elif kind == "line":
                 self._line_end()
         self.unfinished = self.stack and self.stack[-1] == "sentence" and not fence
@@ -136,7 +138,7 @@ class Pushdown:
             return
         at = len(self.stack) - 1 - self.stack[::-1].index(what)
         if what == "item" and self.inked:
-            self.entries.append(self.marked)
+            self.entries.append((self.marked, self.words))
         del self.stack[at:]
         # An end mark just inside a quotation or bracket ends the sentence around it as well.
         if what not in ("item", "fence") and self.marked and self.stack and self.stack[-1] == "sentence":
@@ -176,8 +178,9 @@ class Pushdown:
             return True
         if not self.unfinished:  # an entry that was opened but holds nothing
             return self.stack[-1] == "item" and not self.inked and bool(self.entries)
-        if "item" in self.stack:  # entries need no end mark where others have none
-            return all(self.entries)
+        if "item" in self.stack:  # entries need no end mark where others have none, or where some have none and are no longer
+            marks = [marked for marked, _ in self.entries]
+            return all(marks) or (any(marks) and self.words < min(n for _, n in self.entries))
         # Nor do lines of verse or of an address.
         return not (len(self.lines) > 2 and sum(self.lines) < 0.3 * len(self.lines))
 
@@ -361,6 +364,10 @@ def is_copy(p: list[str], t: list[str]) -> bool:
     if not p or not t:
         return False
     known = set(p)
+    if abs(len(t) - len(p)) <= 1:  # a word or two changed, however short the tiles between them
+        covered, used = tiling(p, t, 1)
+        if max(len(p) - used, len(t) - covered) <= max(1, 0.15 * len(p)) and used >= 0.7 * len(p):
+            return True
     spare = max(LABEL_WORDS, 0.15 * len(t))
     # Neither bound can be missed by a copy: words of the one that the other hasn't are never tiled.
     if sum(w not in known for w in t) > spare:
@@ -396,10 +403,15 @@ def _other_language(text: str, script: str) -> str:
     for name, s in SCRIPT_OF.items():
         if script == s:
             return name
-    words = tokens(text)
+    return _marked_language(text)[0]
+
+
+def _marked_language(text: str) -> tuple[str, int]:
+    """Which language of Latin script its frequent words and signs speak for, and the number of different ones."""
+    words = set(tokens(text))
     counts = {"german": sum(w in GERMAN or "ß" in w or "ü" in w or "ö" in w or "ä" in w for w in words), "french": sum(w in FRENCH or "è" in w or "œ" in w for w in words), "portuguese": sum(w in PORTUGUESE or "ã" in w or "õ" in w for w in words)}
     best = max(counts, key=counts.get)
-    return best if counts[best] else "other"
+    return (best, counts[best]) if counts[best] else ("other", 0)
 
 
 def spoken(model: language.LanguageModel, text: str | None, script: str, sure: float = 0.0) -> str | None:
@@ -410,7 +422,8 @@ def spoken(model: language.LanguageModel, text: str | None, script: str, sure: f
     if n < 3 or n < 0.25 * got["visible"]:
         return None
     if got["confidence"] < sure and script == "LATIN":
-        return None
+        marked, n = _marked_language(text)
+        return marked if n >= 3 and got["lang"] == "other" else None
     ta, tg, en, other = (x / n for x in got["letters"])
     best = max(("tamil", ta + tg), ("english", en), ("other", other), key=lambda x: x[1])[0]
     if got["lang"] == "code_mixed" and best == "english" and ta + tg >= 0.2:
@@ -432,7 +445,7 @@ def wrong_language(model: language.LanguageModel, instruction: str | None, outpu
     asked = asked_language(instruction)
     written = prose.script(instruction)
     want = asked or spoken(model, instruction, written, SURE)
-    if want is None:
+    if want is None and written != "LATIN":
         return False
     # Names have no language: words taken over from the instruction count only if nothing else is there.
     named = set() if asked else {w for w in (tokens(instruction) if words is None else words) if len(w) > 4}
@@ -440,6 +453,8 @@ def wrong_language(model: language.LanguageModel, instruction: str | None, outpu
     script = prose.script(own)
     latin = not asked and written == "LATIN"
     have = spoken(model, own, script, sure if latin else 0.0)
+    if want is None:  # in Latin letters, of what language ever: then it isn't one with another script of its own
+        return have in SCRIPT_OF
     if have is None or have == want:
         return False
     # Too few letters tell no languages of one script apart.

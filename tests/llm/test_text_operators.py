@@ -221,7 +221,7 @@ def test_copies_repeated_many_times(model, times):
     ("tail", "off"),
     [
         ("It follows from (see the list.", True), ('She said "we will leave now.', True), ("<table><tr><td>cell one.", True), ('{"k": [1, 2.', True), ("She went to the", True),
-        ("The rest:\n```python\nx = (1", True), ("\n1. One is here.\n2. Two is here.\n3. ", True), ("\n1. One is here.\n2. Two is", True), ("\n- a lamp\n- a b\n- c", False),
+        ("The rest:\n```python\nx = (1", True), ("\n1. One is here.\n2. Two is here.\n3. ", True), ("\n1. One is here.\n2. Two is", True), ("\n- a lamp\n- a b\n- c", False), ("\n1. Two of them!\n2. three old lamps\n3. four", True), ("\n1. Two.\n2. three\n3. four of them", False),
         ("She left. [52]", False), ('She said "we will leave now."', False), ('He asked "why?" and then left.', False), ("It is 5\" wide.", False), ("Fine :)", True), ("All is well. :)", False),
         ("The rest:\n```python\nx = (1\n```", False), ("Done.\n```python\nx = (1\n```\n", False), ("Line <br> two <b>is</b> here.", False), ("a) one.", False), ("\n“One.\n\n“Two.”", False), ("It’s done.", False),
     ],
@@ -235,6 +235,13 @@ def test_breaks_without_a_whole_sentence_before():
         assert not defects.breaks_off(tail)
 
 
+def test_small_changes_and_scripts(model):
+    assert defects.defects(model, "How was Ropatti made?", "How was harbour made?") == ["copy"]
+    assert defects.defects(model, "How was Ropatti made?", "The old people made it.") == []
+    hindi = "एक ठंडा बाज़ार और मौसम गया। एक नाव गया।"
+    assert defects.defects(model, "Xq zv wk prt mlg?", hindi) == ["wrong_language"]
+
+
 def test_ends_that_are_none():
     for text in ("Dr. Smith", "4.", "", "12", "A. B. Smith", "verse one\nverse two\nverse three\nverse. four\nverse five"):
         assert not defects.breaks_off(text)
