@@ -156,13 +156,15 @@ class BloomTest:
 
 
 def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str = "n", share: int = HOT_SHARE) -> DataFrame:
-    """rows joined with the one row of their group, where ``size`` is the group's number of rows.
+    """rows joined with the one row of their group in a written table, where ``size`` is the group's number of rows.
 
     Groups that hold more than 1 / ``share`` of the rows are fewer than ``share``, so they are broadcast; the rest, in
     which no key is hot, is shuffled.
     """
-    total = rows.count()
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     hot = groups.where(F.col(size) * share > total)
+    if not hot.limit(1).count():
+        return rows.join(groups, key)
     cold = groups.where(F.col(size) * share <= total)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

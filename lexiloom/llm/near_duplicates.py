@@ -190,7 +190,7 @@ def candidate_pairs(classes: DataFrame, df: DataFrame, id_col: str, text_col: st
         return {"key": base.signed(h[ok]), "c": who}
 
     rows_of = base.arrow_map(classes.select("c", "registers"), shared, "key long, c long")
-    member = base.hot_join(base.materialize(rows_of, "rows"), counts, "key")
+    member = base.hot_join(rows_of, counts, "key")
     pairs = (
         member.where(F.col("n") <= cfg.hot_bucket).groupBy("key").agg(F.sort_array(F.collect_list("c")).alias("m"))
         .select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
