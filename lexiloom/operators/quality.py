@@ -22,6 +22,7 @@ DIGITS = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x
 TOP_SIZES, DUP_SIZES = (2, 3, 4), (5, 7, 10)
 
 
+# Names and defaults of the thresholds, and the reasons below.
 @dataclass(frozen=True)
 class QualityThresholds:
     min_chars: int = 200
