@@ -108,6 +108,31 @@ def normalize_text(spark, d):
     return docs(spark, d).select("doc_id", normalize.normalize("text", NORMAL).alias("text"))
 
 
+def s_masked(x: str) -> str:
+    """E-mails, then phones, without look-around: what stands before and behind is put back; phones twice, as they may share it."""
+    w, n = r"[\p{L}\p{N}_]", r"\p{Nd}"
+    x = s_sub(x, rf"(^|[^\p{{L}}\p{{N}}_])({w}[\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_-]+\.(?:[\p{{L}}\p{{N}}_.-]*{w}))", r"\1<email>")
+    for _ in range(2):
+        x = s_sub(x, rf"(^|[^{n}])(?:\+?91[\s-]?)?[6-9]{n}{{4}}[\s-]?{n}{{5}}($|[^{n}])", r"\1<phone>\2")
+    return x
+
+
+#: The documents hold neither: lines with contacts are put in front, which the row's number varies.
+_CONTACTS = "'mail a.b+c' || doc_id || '@ex-ample.co.in, ring +91 98765 4' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || ' or 98765' || lpad((doc_id % 100000)::VARCHAR, 5, '0') || ' 9876543210, not 1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '98765432101 at ௧௨௩' || chr(10)"
+
+
+@query(f"""WITH {DOCS}, x AS (SELECT doc_id, translate({s_sub(s_sub(f"{_CONTACTS} || regexp_replace(t, '@', ' at ', 'g')", chr(13) + chr(10) + '?', chr(10)), normalize.URL, '<url>')}, '௦௧௨௩௪௫௬௭௮௯', '0123456789') AS t FROM d) SELECT doc_id, {s_strip(s_masked('t'))} AS text FROM x""")
+def normalize_masked(spark, d):
+    """The masks and Tamil digits alone, the other steps off."""
+    off = {k: False for k in ("html_unescape", "remove_invisible", "remove_control", "fix_tamil_signs", "unify_sri", "normalize_quotes", "normalize_dashes", "collapse_spaces", "strip_lines")}
+    cfg = normalize.NormalizerConfig(**off, unicode_form="none", max_consecutive_newlines=0, tamil_digits_to_ascii=True, urls="mask", emails="mask", phones="mask")
+    n = F.col("doc_id")
+    digits = lambda m, k: F.lpad((n % m).cast("string"), k, "0")
+    said = F.concat(F.lit("mail a.b+c"), n.cast("string"), F.lit("@ex-ample.co.in, ring +91 98765 4"), digits(10000, 4), F.lit(" or 98765"), digits(100000, 5), F.lit(" 9876543210, not 1"), digits(1000, 3), F.lit("98765432101 at ௧௨௩\n"))
+    x = docs(spark, d).select("doc_id", F.concat(said, F.regexp_replace("text", "@", " at ")).alias("text"))
+    return x.select("doc_id", normalize.normalize("text", cfg).alias("text"))
+
+
 @query()
 def normalize_full(spark, d):
     """Every step on, HTML and personal data included: not sayable in SQL, tested against Python."""
@@ -125,6 +150,11 @@ def doc_counts(spark, d):
     return docs(spark, d).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(words("text")).cast("long").alias("n_words"), F.size(lines("text")).cast("long").alias("n_lines"))
 
 
+@query(f"WITH {DOCS} SELECT doc_id, regexp_matches(t, '[{TAMIL}]') AS has_tamil, t = '' AS is_empty FROM d")
+def text_presence(spark, d):
+    return docs(spark, d).select("doc_id", script.has_tamil("text").alias("has_tamil"), (F.col("text") == "").alias("is_empty"))
+
+
 @query(rf"WITH {DOCS} SELECT doc_id, md5({s_sub('lower(nfc_normalize(t))', normalize.NON_WORD)}) AS k FROM d")
 def dedup_keys(spark, d):
     return docs(spark, d).select("doc_id", dedup.exact_key("text").alias("k"))
