@@ -388,6 +388,40 @@ def curated_corpus(spark, d):
     return pipeline.curate(rows, cfg).select("seq", "source", "lang", "category", "outcome", "id")
 
 
+# The pipeline in SQL: the documents normalised and line-filtered, then the pieces above over what is left.
+_CLEANED = f"""d0 AS (SELECT doc_id, coalesce(source, 'unknown') AS source, {s_normalize("coalesce(text, '')")} AS t FROM documents),
+fx AS (SELECT doc_id, unnest(list_transform(string_split(t, chr(10)), lambda l: {s_strip('l')})) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d0),
+fk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) AS rn FROM fx WHERE {_KEEP}),
+fj AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS t FROM fk WHERE line = '' OR rn = 1 GROUP BY doc_id),
+d AS (SELECT doc_id, source, coalesce({s_strip(s_sub('fj.t', chr(10) + '{3,}', chr(10) * 2))}, '') AS t FROM d0 LEFT JOIN fj USING (doc_id))"""
+_OUTCOMES = f"""{_SCORES.replace(DOCS, _CLEANED)}, {_JUDGED.replace(DOCS + ", ", "")},
+o AS (SELECT d.doc_id, d.source, l.lang, t, CASE WHEN t = '' THEN 'empty_after_cleaning' WHEN l.lang NOT IN ('ta', 'tanglish', 'en', 'code_mixed') OR (d.source <> 'forum_dump_ta' AND l.lang <> 'ta') THEN 'lang_' || l.lang ELSE j.reject_reason END AS reason FROM d JOIN l USING (doc_id) JOIN j USING (doc_id)),
+e AS (SELECT doc_id AS seq, source, lang, length(t) AS chars, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason IS NULL, {_KEY} ORDER BY doc_id) > 1 THEN 'dup_exact' END, 'kept') AS outcome FROM o)"""
+
+
+def _curated(spark, d) -> DataFrame:
+    rows = docs(spark, d).select("text", F.coalesce("source", F.lit("unknown")).alias("source"), "source_id", F.col("doc_id").alias("seq"))
+    rules = pipeline.SourceRules(lang_hint="ta", allowed_langs=("ta", "tanglish", "en", "code_mixed"))
+    th = {"min_stopwords": 2, "stopwords": "english", "min_mean_word_len": 2.5, "max_mean_word_len": 12.0}
+    cfg = pipeline.PipelineConfig(
+        normalizer=NORMAL, line_filter=line_ops.LineFilterConfig(min_chars=3), langid=lang_config(spark, d), quality={"default": th},
+        dedup=dedup.DedupConfig(near=False), sources={"forum_dump_ta": rules},
+    )
+    return pipeline.curate(rows, cfg)
+
+
+@query(f"WITH {_OUTCOMES} SELECT seq, source, lang, outcome FROM e")
+def curated_documents(spark, d):
+    """The pipeline without its near-duplicate step and without entities, which SQL can't say: outcome of each document."""
+    return _curated(spark, d).select("seq", "source", "lang", "outcome")
+
+
+@query(f"""WITH {_OUTCOMES} SELECT source, outcome, count(*) AS n FROM (SELECT source, unnest(['seen', outcome, CASE WHEN outcome = 'kept' THEN 'lang_kept_' || lang END]) AS outcome FROM e) WHERE outcome IS NOT NULL GROUP BY ALL""")
+def outcome_counts(spark, d):
+    """Counts by source and outcome, as the run's stats hold them."""
+    return pipeline.outcome_counts(_curated(spark, d))
+
+
 # --- mixture and packing ------------------------------------------------------------------------------------------------
 _WEIGHTS = {"ta_web": 0.4, "ta_news": 0.2, "en": 0.2, "tanglish": 0.1, "code_mixed": 0.1, "absent": 0.3}
 _W_SQL = "w(category, w) AS (VALUES " + ", ".join(f"('{c}', {w}::DOUBLE)" for c, w in _WEIGHTS.items()) + ")"
