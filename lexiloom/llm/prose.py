@@ -13,7 +13,8 @@ how frequent it is are weighed as odds, so that where a language has few listing
 share within the language (in other languages, the script) bounds their number by ``1 / MIN_SHARE`` each.
 
 Defined results: null and blank texts have no words, zero statistics and are not prose (is_prose false, distance 0);
-texts without words are judged by their characters.  Repeated ids count once, the latest delivery stands.
+texts without words are judged by their characters.  Repeated ids count once, the latest delivery stands.  A text that more
+than a thousandth of the rows repeat counts once in the statistics, and each of its rows is judged.
 """
 
 from __future__ import annotations
@@ -78,16 +79,28 @@ def cut_sentences(line: str) -> list[str]:
     return out
 
 
-def count_words(df: DataFrame, text_col: str) -> DataFrame:
-    """(word, n, listed): occurrences over all texts, and those in structured lines."""
+def hot_texts(df: DataFrame, text_col: str) -> dict[int, float]:
+    """Weights of the texts that more than 1 / HOT_SHARE of the rows repeat, by Spark's hash: together they count as one.
+
+    Such texts are fewer than HOT_SHARE.  Without this the copies of one text would set the statistics of a language.
+    """
+    n = df.where(F.col(text_col).isNotNull()).groupBy(F.xxhash64(text_col).alias("h")).agg(F.count("*").alias("n"))
+    whole = df.count()
+    return {r.h: 1.0 / r.n for r in n.where((F.col("n") > 1) & (F.col("n") * base.HOT_SHARE > whole)).collect()}
+
+
+def count_words(df: DataFrame, text_col: str, weights: dict[int, float] | None = None) -> DataFrame:
+    """(word, n, listed): occurrences over all texts, and those in structured lines; texts in ``weights`` count by them."""
+    weights = weights or {}
     memo: dict[str, str] = {}  # lives as long as the task
 
     def run(cols: dict) -> dict:
-        every: dict[str, int] = {}
-        listed: dict[str, int] = {}
+        every: dict[str, float] = {}
+        listed: dict[str, float] = {}
         if len(memo) > REMEMBERED:
             memo.clear()
-        for text in cols["text"].to_pylist():
+        for text, h in zip(cols["text"].to_pylist(), cols["h"].to_pylist()):
+            one = weights.get(h, 1)
             for line in (text or "").split("\n"):
                 if not line or line.isspace():
                     continue
@@ -101,13 +114,14 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
                     if w:
                         found.append(w)
                 for w in found:
-                    every[w] = every.get(w, 0) + 1
+                    every[w] = every.get(w, 0) + one
                 if len(found) <= 3 or 2 * line.count(",") >= len(found) or _LISTED.search(line):
                     for w in found:
-                        listed[w] = listed.get(w, 0) + 1
+                        listed[w] = listed.get(w, 0) + one
         return {"word": list(every), "n": list(every.values()), "listed": [listed.get(w, 0) for w in every]}
 
-    parts = base.arrow_map(df.select(F.col(text_col).alias("text")), run, "word string, n long, listed long")
+    source = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    parts = base.arrow_map(source, run, "word string, n double, listed double")
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("listed").alias("listed"))
 
 
@@ -123,7 +137,7 @@ def common_words(counts: DataFrame, model: language.LanguageModel) -> frozenset[
             out.append(f"{lang}/{script(word)}" if lang == "other" else lang)
         return {"group": out, **{c: cols[c] for c in ("word", "n", "listed")}}
 
-    counts = base.materialize(base.arrow_map(counts, group, "group string, word string, n long, listed long"), "words")
+    counts = base.materialize(base.arrow_map(counts, group, "group string, word string, n double, listed double"), "words")
     least = {r["group"]: r.total * MIN_SHARE for r in counts.groupBy("group").agg(F.sum("n").alias("total")).collect()}
     if not least:
         return frozenset()
@@ -282,7 +296,8 @@ def profile(df: DataFrame, samples: DataFrame, id_col: str = "id", text_col: str
     and the robust prose model of each language."""
     spark = df.sparkSession
     model = language_model(samples)
-    shared = spark.sparkContext.broadcast((model, common_words(count_words(df, text_col), model)))
+    weights = hot_texts(df, text_col)
+    shared = spark.sparkContext.broadcast((model, common_words(count_words(df, text_col, weights), model)))
     held: list = []
 
     def run(cols: dict) -> dict:
@@ -300,12 +315,13 @@ def profile(df: DataFrame, samples: DataFrame, id_col: str = "id", text_col: str
             sizes.append(stats.add(text, got["lang"]))
         units, at = stats.finish(), np.r_[0, np.cumsum(sizes)].astype(int)
         found["units"] = [units[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        found["weight"] = [weights.get(h, 1.0) for h in cols["h"].to_pylist()]
         return {"id": cols["id"], "at": cols["at"], "label": cols["label"], **found}
 
     kinds = dict(df.dtypes)
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
-    source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(order_col).alias("at"), label.alias("label"), F.col(text_col).alias("text"))
-    rows = base.materialize(base.arrow_map(source, run, f"id {kinds[id_col]}, at {kinds[order_col]}, label string, lang string, confidence double, lines array<struct<line_no int, lang string, confidence double, words int>>, units binary"), "profile")
+    source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(order_col).alias("at"), label.alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = base.materialize(base.arrow_map(source, run, f"id {kinds[id_col]}, at {kinds[order_col]}, label string, lang string, confidence double, lines array<struct<line_no int, lang string, confidence double, words int>>, units binary, weight double"), "profile")
     return rows, prose_model(rows)
 
 
@@ -334,24 +350,30 @@ def _moments(rows: DataFrame, models: dict | None) -> dict:
     shared = models
 
     def run(cols: dict) -> dict:
-        u = np.frombuffer(b"".join(cols["units"].to_pylist()), dtype=np.float32).reshape(-1, WIDTH).astype(float)
+        raws = cols["units"].to_pylist()
+        u = np.frombuffer(b"".join(raws), dtype=np.float32).reshape(-1, WIDTH).astype(float)
+        weight = np.repeat(cols["weight"].to_numpy(), [len(r) // (4 * WIDTH) for r in raws])
         out = {"model": [], "m": []}
         for key in np.unique(u[:, -1]).astype(int).tolist():
-            own = u[u[:, -1] == key]
+            mine = u[:, -1] == key
+            own, w = u[mine], weight[mine]
             x, n = own[:, :k], own[:, k]
             if shared is None:
-                x = scaled(x[(n >= 4) & (x[:, 4] >= 0.15) & (x[:, 2] < 0.5)])
+                keep = (n >= 4) & (x[:, 4] >= 0.15) & (x[:, 2] < 0.5)
+                x = scaled(x)
             elif key in shared:
                 mean, inverse, _ = shared[key]
                 x = scaled(x)
-                x = x[(n >= 4) & (contributions(x, mean, inverse).sum(axis=1) <= TRIM)]
+                keep = (n >= 4) & (contributions(x, mean, inverse).sum(axis=1) <= TRIM)
             else:  # nothing there ever looked like a sentence
                 continue
+            x, w = x[keep], w[keep]
+            xw = x * w[:, None]
             out["model"].append(key)
-            out["m"].append([float(len(x)), *x.sum(axis=0), *(x.T @ x).ravel()])
+            out["m"].append([float(w.sum()), *xw.sum(axis=0), *(x.T @ xw).ravel()])
         return out
 
-    parts = base.arrow_map(rows.select("units"), run, "model int, m array<double>")
+    parts = base.arrow_map(rows.select("units", "weight"), run, "model int, m array<double>")
     size = 1 + k + k * k
     agg = parts.groupBy("model").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(size)]).alias("m"))
     out = {}

@@ -174,6 +174,17 @@ def test_prose_is_told_alike_at_any_size(spark):
     assert sum(whole[i] != p for i, p in part.items()) <= 0.03 * len(part) and 0.9 < sum(part.values()) / len(part) < 0.97
 
 
+def test_copies_of_one_text_change_no_verdict(spark, data):
+    """A third of the rows hold one text: the others are judged as without them, and so are the copies."""
+    df, samples = spark.read.parquet(f"{data}/processed_shards.parquet"), spark.read.parquet(f"{data}/lang_samples.parquet")
+    before = {r.id: r.is_prose for r in prose.text_statistics(df, samples).collect()}
+    one = df.where("length(text) > 200").orderBy("id").limit(1)
+    copies = one.select(F.explode(F.sequence(F.lit(0), F.lit(75))).alias("k"), *df.columns).withColumn("id", F.concat(F.lit("copy"), "k")).select(*df.columns)
+    after = {r.id: r.is_prose for r in prose.text_statistics(df.union(copies), samples).collect()}
+    first = one.first().id
+    assert {i: after[i] for i in before} == before and {v for i, v in after.items() if i.startswith("copy")} == {before[first]}
+
+
 def test_tiling():
     p = "a b c d e f".split()
     assert defects.tiling(p, "x a b c y d e f a b c".split(), 3) == (9, 6)
