@@ -12,19 +12,38 @@ from pathlib import Path
 from typing import Any
 
 import pyspark
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 STATS = "stats.json"
 
 
+def _hadoop(path: str):
+    """(file system, path) of a URI in the running session; None for local paths."""
+    if "://" not in path:
+        return None
+    spark = SparkSession.active()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def names_in(path: str) -> list[str]:
+    """Names inside a folder, none if it isn't there; local paths and those of any file system Spark knows."""
+    remote = _hadoop(path)
+    if remote is None:
+        return sorted(os.listdir(path)) if os.path.isdir(path) else []
+    system, target = remote
+    return sorted(x.getPath().getName() for x in system.listStatus(target)) if system.exists(target) else []
+
+
 def prepare_output(path: str, overwrite: bool = False) -> None:
     """A folder with content is refused, unless it may be overwritten and is ours, which its stats file shows."""
-    if not os.path.isdir(path) or not os.listdir(path):
+    names = names_in(path)
+    if not names:
         return
     if not overwrite:
         raise FileExistsError(f"{path} is not empty")
-    if not os.path.exists(os.path.join(path, STATS)):
+    if STATS not in names:
         raise FileExistsError(f"{path} has no {STATS}: not written by this pipeline")
 
 
@@ -57,8 +76,17 @@ def append_ratings(ratings: DataFrame, path: str) -> None:
 
 
 def save_json(path: str, data: Any) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(data, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    text = json.dumps(data, ensure_ascii=False, indent=2, default=str)
+    remote = _hadoop(path)
+    if remote is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    out = remote[0].create(remote[1], True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def run_stats(outcomes: DataFrame, sizes: DataFrame, path: str) -> dict[str, Any]:
@@ -97,7 +125,7 @@ def save_packed(blocks: DataFrame, path: str, manifest: dict[str, Any], evals: d
 
 def load_packed(spark, path: str, build=None, name: str = "train") -> DataFrame:
     """A packed table, train or eval_<set>; built first if there is no manifest and a builder is given."""
-    if not os.path.exists(os.path.join(path, "manifest.json")):
+    if "manifest.json" not in names_in(path):
         if build is None:
             raise FileNotFoundError(os.path.join(path, "manifest.json"))
         build()
@@ -105,4 +133,4 @@ def load_packed(spark, path: str, build=None, name: str = "train") -> DataFrame:
 
 
 def eval_tables(path: str) -> list[str]:
-    return sorted(x for x in os.listdir(path) if x.startswith("eval_"))
+    return [x for x in names_in(path) if x.startswith("eval_")]

@@ -166,8 +166,22 @@ def test_pipeline(spark, tmp_path):
         writers.prepare_output(str(tmp_path / "foreign"), overwrite=True)
 
 
-def test_packed_tables(spark, tmp_path):
-    path = str(tmp_path / "packed")
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_output_folders(spark, tmp_path, scheme):
+    path = f"{scheme}{tmp_path}/out"
+    writers.prepare_output(path)
+    writers.save_json(f"{path}/other.json", {"a": "அ"})
+    for overwrite in (False, True):
+        with pytest.raises(FileExistsError):
+            writers.prepare_output(path, overwrite)
+    writers.save_json(f"{path}/{writers.STATS}", {})
+    writers.prepare_output(path, overwrite=True)
+    assert json.loads((tmp_path / "out" / "other.json").read_text()) == {"a": "அ"}
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_packed_tables(spark, tmp_path, scheme):
+    path = f"{scheme}{tmp_path}/packed"
     with pytest.raises(FileNotFoundError):
         writers.load_packed(spark, path)
     blocks = spark.createDataFrame([(0, [1, 2])], "block long, input_ids array<int>")
