@@ -356,6 +356,7 @@ def tiling(pattern: list[str], text: list[str], least: int = 3) -> tuple[int, in
 
 
 LABEL_WORDS, FEW_LETTERS = 4, 16
+_FOREIGN = regex.compile(r"[\p{L}--\p{Tamil}]", regex.V1)
 SURE = 0.88  # confidence from which the language of words in Latin letters counts; lists of names stay below
 
 
@@ -443,6 +444,8 @@ def wrong_language(model: language.LanguageModel, instruction: str | None, outpu
     if not instruction or not instruction.strip():
         return False
     asked = asked_language(instruction)
+    if not asked and not _FOREIGN.search(instruction) and not _FOREIGN.search(output):
+        return False  # letters of Tamil script only on both sides
     written = prose.script(instruction)
     want = asked or spoken(model, instruction, written, SURE)
     if want is None and written != "LATIN":
