@@ -48,13 +48,16 @@ def token_of(part: str) -> str | None:
     return got[0] if len(got) == 1 else None
 
 
-def is_empty(output: str | None) -> bool:
+def without_markup(output: str) -> str:
+    return _TAG.sub(" ", output) if "<" in output or "`" in output or "&" in output else output
+
+
+def is_empty(output: str | None, bare: str | None = None, words: list[str] | None = None) -> bool:
+    """bare, words: the output without markup and its tokens, where they are known already."""
     if output is None:
         return True
-    bare = _TAG.sub(" ", output) if "<" in output or "`" in output or "&" in output else output
-    if len(bare) > 200 and _TOKEN.search(bare):  # no placeholder is that long
-        return not tokens(bare)
-    words = tokens(bare)
+    bare = without_markup(output) if bare is None else bare
+    words = tokens(bare) if words is None else words
     return not words or (len(words) <= 3 and bool(_words_of_placeholder(bare)))
 
 
@@ -393,6 +396,7 @@ ASKED = (
     ("tamil", r"\b(?:in|into|to)\s+(?:tamil|tanglish)\b|\btamil\s+(?:version|translation|script)|தமிழ(?:ில்|ுக்கு)|latin letters|latin எழுத்த|\btamil\s*(?:script)?\s*la\b|பேச்சு வழக்கில்"),
 )
 _ASKED = [(name, regex.compile(p, regex.I)) for name, p in ASKED]
+_ANY_ASKED = regex.compile("|".join(f"(?:{p})" for _, p in ASKED), regex.I)
 SCRIPT_OF = {"hindi": "DEVANAGARI", "telugu": "TELUGU", "russian": "CYRILLIC"}
 GERMAN = frozenset("der die das und ein eine einen einer nicht ist war oder aber mit für auf von zu im den dem des dieser diese jede jeder nach über unter zwischen durch während gegenüber".split())
 FRENCH = frozenset("le la les et un une des est dans pour que qui avec sur très cette chaque après déjà où mais entre chez par".split())
@@ -433,9 +437,10 @@ def spoken(model: language.LanguageModel, text: str | None, script: str, sure: f
 
 
 def asked_language(instruction: str) -> str | None:
-    for name, pattern in _ASKED:
-        if pattern.search(instruction):
-            return name
+    if _ANY_ASKED.search(instruction):
+        for name, pattern in _ASKED:
+            if pattern.search(instruction):
+                return name
     return None
 
 
@@ -465,11 +470,13 @@ def wrong_language(model: language.LanguageModel, instruction: str | None, outpu
 
 
 def defects(model: language.LanguageModel, instruction: str | None, output: str | None) -> list[str]:
-    if is_empty(output):
+    bare = without_markup(output or "")
+    given = tokens(bare)
+    if is_empty(output, bare, given):
         return ["empty"]
     out = []
+    asked = tokens(instruction)
     correction = bool(instruction and _CORRECTION.search(instruction))
-    asked, given = tokens(instruction), tokens(_TAG.sub(" ", output))
     refusal = is_refusal(output)
     copy = is_copy(asked, given)
     if not refusal and not copy and breaks_off(output):
